@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, secrets, urls
 from .media import media_features, store
 from .pieces import sample_pieces
 from .quality import quality_report
@@ -28,6 +29,19 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store(table(spark, sf_dir, "documents"))).drop("status")
 
 
+def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.url_verdicts(urls.captures_of(pages), urls.entries_of(table(spark, sf_dir, "events"), pages))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -36,7 +50,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_sampling": op1_sentencepiece_sampling,
     "op2_quality_rules": op2_quality_rules,
     "op4_jpeg_media": op4_jpeg_media,
+    "op6_weighted_mix": op6_weighted_mix,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_url_filter": op8_url_filter,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_weighted_mix": mixing.ORACLE_SQL,
+    "op7_secret_scan": secrets.ORACLE_SQL,
+    "op8_url_filter": urls.ORACLE_SQL,
+}
