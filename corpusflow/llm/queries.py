@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, secrets, urls
 from .media import media_features, store
+from .neardup import near_duplicates
 from .pieces import sample_pieces
 from .quality import quality_report
 from .tokencounts import token_counts
@@ -25,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store(table(spark, sf_dir, "documents"))).drop("status")
 
@@ -49,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_sampling": op1_sentencepiece_sampling,
     "op2_quality_rules": op2_quality_rules,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_jpeg_media": op4_jpeg_media,
     "op6_weighted_mix": op6_weighted_mix,
     "op7_secret_scan": op7_secret_scan,
