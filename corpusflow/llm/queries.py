@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, urls
+from . import chat, mixing, secrets, urls
+from .licenses import license_report
 from .media import media_features, store
 from .neardup import near_duplicates
 from .pieces import sample_pieces
@@ -34,6 +35,10 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store(table(spark, sf_dir, "documents"))).drop("status")
 
 
+def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_conversations(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
 def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(urls.captures_of(pages), urls.entries_of(table(spark, sf_dir, "events"), pages))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -56,9 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_jpeg_media": op4_jpeg_media,
+    "op5_chat_prefix_tree": op5_chat_prefix_tree,
     "op6_weighted_mix": op6_weighted_mix,
     "op7_secret_scan": op7_secret_scan,
     "op8_url_filter": op8_url_filter,
+    "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
 }
 
