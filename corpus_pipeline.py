@@ -1,23 +1,60 @@
-"""Corpus pipeline over documents (stages follow as the operators land)."""
+"""Corpus pipeline over documents: quality, near duplicates, secrets, mixing, pieces.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+documents. ``run`` writes each stage's rows to the shared scratch folder, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusflow.llm.mixing import mixed_documents
+from corpusflow.llm.neardup import one_of_each
+from corpusflow.llm.pieces import sample_pieces
 from corpusflow.llm.quality import quality_filter
+from corpusflow.llm.scratch import written
+from corpusflow.llm.secrets import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the base rules and the cascade; the others go."""
     return quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that with the least doc_id."""
+    return one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and n_chars brought up to date."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: never, once or twice."""
+    return mixed_documents(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_pieces, pieces, lossless: a sampled segmentation of each document."""
+    return sample_pieces(docs, keep=("lang", "source"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("secret_scan", secrets),
+    ("weighted_mix", mixing),
+    ("sentencepiece_sampling", pieces),
+]
+
+#: Minhash, zipf-weighted sampling and the piece model are beyond SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
