@@ -59,9 +59,10 @@ def relevance(chunk_type: Column, priority: Column) -> Column:
 
 def chunk_completeness(chunk_type: Column, source_fields: Column, expected=None) -> Column:
     """Share of the type's expected fields that some source field contains; 50 for unknown types."""
+    held = lambda f: F.exists(source_fields, lambda s: F.contains(s, F.lit(f))).cast("int")
     out = None
     for kind, fields in (expected or EXPECTED).items():
-        hits = sum((F.exists(source_fields, lambda s, f=f: F.contains(s, F.lit(f))).cast("int") for f in fields), F.lit(0))
+        hits = sum(map(held, fields), F.lit(0))
         score = hits / len(fields) * 100
         out = F.when(chunk_type == kind, score) if out is None else out.when(chunk_type == kind, score)
     return out.otherwise(50.0)

@@ -61,7 +61,7 @@ def nearest_dense(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int
                 doc = batch.column("doc_id").to_numpy()
                 v = np.array(batch.column("embedding").to_pylist(), np.float64).reshape(len(doc), -1)
                 n = np.linalg.norm(v, axis=1)
-                d = np.round(1 - matrix @ (v / np.where(n == 0, 1, n)[:, None]).T, 6)
+                d = np.round(1 - matrix @ (v / np.where(n == 0, 1, n)[:, None]).T, 6) + 0.0  # no negative zero
                 best_d, best_i = np.hstack((best_d, d)), np.hstack((best_i, np.broadcast_to(doc, d.shape)))
                 order = np.lexsort((best_i, best_d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
@@ -101,9 +101,10 @@ def boost(same_entity: Column, same_type: Column, preferred: Column, query: Colu
 
 
 def hybrid_score(distance: Column, overlap: Column, boosted: Column) -> Column:
-    """0.75 similarity + 0.20 overlap + boost; without a distance 0.90 overlap + boost."""
+    """0.75 similarity + 0.20 overlap + boost; without a distance 0.90 overlap + boost. Six decimals, halves up."""
     lexical = F.coalesce(overlap, F.lit(0.0))
-    return F.round(F.when(distance.isNull(), lexical * LEXICAL_ONLY + boosted).otherwise(F.greatest(F.lit(0.0), 1 - distance) * SIMILARITY + lexical * LEXICAL + boosted), 6)
+    score = F.when(distance.isNull(), lexical * LEXICAL_ONLY + boosted).otherwise(F.greatest(F.lit(0.0), 1 - distance) * SIMILARITY + lexical * LEXICAL + boosted)
+    return F.round(score + 1e-9, 6)
 
 
 def sufficient(best: Column, by_vector: Column) -> Column:
