@@ -39,40 +39,40 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = FETCHED) -> DataFram
     return top_k(sparse_distances(queries, corpus), "query_id", k, F.col("distance"), F.col("doc_id"))
 
 
-def nearest_dense(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
-    """Nearest neighbours of dense vectors by block products: queries come in blocks of at most ``block`` vectors, each
-    scan task keeps k a query, and the rest is a top-k of k rows a task and query. (query_id, embedding), (doc_id, embedding)."""
-    count = queries.count()
-    blocks = max(1, -(-count // block))
-    found = None
-    placed = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    for b in range(blocks):
-        rows = placed.where(F.col("_block") == b).select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows])
-        matrix = np.array([r[1] for r in rows], np.float64)
-        length = np.linalg.norm(matrix, axis=1)
-        matrix /= np.where(length == 0, 1, length)[:, None]
-
-        def local(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            best_d, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                doc = batch.column("doc_id").to_numpy()
-                v = np.array(batch.column("embedding").to_pylist(), np.float64).reshape(len(doc), -1)
-                n = np.linalg.norm(v, axis=1)
-                d = np.round(1 - matrix @ (v / np.where(n == 0, 1, n)[:, None]).T, 6) + 0.0  # no negative zero
-                best_d, best_i = np.hstack((best_d, d)), np.hstack((best_i, np.broadcast_to(doc, d.shape)))
-                order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-            if best_d.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", "doc_id", "distance"])
-
-        part = corpus.select("doc_id", "embedding").mapInArrow(local, "query_id long, doc_id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], "query_id long, doc_id long, distance double")
-    return top_k(found, "query_id", k, F.col("distance"), F.col("doc_id"))
+def in_blocks(vectors: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
+    """(block, ids, vectors): rows of about ``size`` vectors, and how many blocks there are."""
+    blocks = max(1, -(-vectors.count() // size))
+    held = vectors.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.struct(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e")).alias("r"))
+    rows = held.groupBy("block").agg(F.collect_list("r").alias("r"))
+    return rows.select("block", F.col("r.id").alias("ids"), F.flatten("r.e").alias("flat")), blocks
+
+
+def _unit(batch: pa.RecordBatch, ids: str, flat: str, i: int) -> tuple[np.ndarray, np.ndarray]:
+    key = batch.column(ids)[i].values.to_numpy()
+    v = batch.column(flat)[i].values.to_numpy(zero_copy_only=False).reshape(len(key), -1)
+    n = np.linalg.norm(v, axis=1)
+    return key, v / np.where(n == 0, 1, n)[:, None]
+
+
+def nearest_dense(queries: DataFrame, corpus: DataFrame, k: int = 10, query_block: int = 256, corpus_block: int = 4096) -> DataFrame:
+    """Exact nearest neighbours of dense vectors of one length: (query_id, embedding) against (doc_id, embedding).
+
+    Both sides become rows of bounded blocks; each block of queries meets each block of the corpus by an equi-join, one
+    matrix product yields at most k rows a query, and the rest is a top-k. Nothing but two counts comes to the driver."""
+    q, _ = in_blocks(queries, "query_id", query_block)
+    d, n = in_blocks(corpus, "doc_id", corpus_block)
+    everywhere = q.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, x), (b, y) = _unit(batch, "q_ids", "q_flat", i), _unit(batch, "ids", "flat", i)
+                distance = np.round(1 - x @ y.T, 6) + 0.0  # no negative zero
+                place = np.lexsort((np.broadcast_to(b, distance.shape), distance), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, place.shape[1])), pa.array(b[place].ravel()), pa.array(np.take_along_axis(distance, place, 1).ravel())], ["query_id", "doc_id", "distance"])
+
+    met = everywhere.join(d, "block").select("q_ids", "q_flat", "ids", "flat")
+    return top_k(met.mapInArrow(products, "query_id long, doc_id long, distance double"), "query_id", k, F.col("distance"), F.col("doc_id"))
 
 
 def token_sets(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -56,10 +56,10 @@ def column_routing(spark, d):
     return table(spark, d, "part").select("p_partkey", *(c.alias(g) for g, c in shown.items()))
 
 
-@query("""WITH a AS (SELECT l_partkey AS k, round(avg(l_extendedprice / l_quantity), 4) AS price FROM lineitem WHERE l_discount > 0.09 GROUP BY 1)
+@query("""WITH a AS (SELECT l_partkey AS k, round(avg(l_extendedprice / l_quantity) + 0.000000001, 4) AS price FROM lineitem WHERE l_discount > 0.09 GROUP BY 1)
 SELECT p_partkey, p_name, coalesce(a.price, round(p_retailprice, 4)) AS price FROM part LEFT JOIN a ON a.k = p_partkey""")
 def overlay_merge(spark, d):
-    found = table(spark, d, "lineitem").where("l_discount > 0.09").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("price"))
+    found = table(spark, d, "lineitem").where("l_discount > 0.09").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 1e-9, 4).alias("price"))
     parts = table(spark, d, "part").select("p_partkey", "p_name", F.round("p_retailprice", 4).alias("price"))
     return R.overlay(parts, found, "p_partkey", ("price",))
 

@@ -42,7 +42,7 @@ def test_dense_neighbours_equal_brute_force(spark):
     rng = random.Random(1)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)] if i else [0.0] * 8) for i in range(60)]
     df = spark.createDataFrame(vectors, "id long, e array<double>")
-    got = S.nearest_dense(df.select(F.col("id").alias("query_id"), F.col("e").alias("embedding")), df.select(F.col("id").alias("doc_id"), F.col("e").alias("embedding")), 4, block=7)
+    got = S.nearest_dense(df.select(F.col("id").alias("query_id"), F.col("e").alias("embedding")), df.select(F.col("id").alias("doc_id"), F.col("e").alias("embedding")), 4, query_block=7, corpus_block=13)
     norm = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
     expected = []
     for q, a in vectors:

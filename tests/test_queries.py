@@ -23,7 +23,7 @@ def db():
 
 
 def shown(rows, order):
-    return sorted(tuple(None if r[i] is None or r[i] != r[i] else str(r[i]) for i in order) for r in rows)
+    return sorted((tuple(None if r[i] is None or r[i] != r[i] else str(r[i]) for i in order) for r in rows), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
