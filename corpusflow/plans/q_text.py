@@ -176,3 +176,14 @@ SELECT page_id, CASE WHEN regexp_matches(lower(text), '{'|'.join(ERROR_PHRASES)}
 def bad_pages(spark, d):
     t = H.visible_text(F.col("html"))
     return table(spark, d, "pages").select("page_id", t.alias("t")).select("page_id", F.when(F.lower("t").rlike("|".join(ERROR_PHRASES)), "error page").when(F.length("t") < 900, "too short").otherwise("ok").alias("reason"))
+
+
+@query()  # SQL here has no compatibility form
+def text_nfkc(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.nfkc(F.col("text")).alias("nfkc"))
+
+
+@query()  # capitals after any character that is no letter
+def title_words(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", T.title_words(F.lower("p_name"), ("red", "steel")).alias("named"), T.title_case(F.lower("p_type")).alias("title"))

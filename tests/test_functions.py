@@ -118,3 +118,13 @@ def test_freshness(spark):
     df = spark.createDataFrame([(1, "2024-01-09"), (2, "2024-01-03"), (3, "2023-12-20"), (4, "2023-01-01"), (5, None)], "id int, d string")
     got = df.orderBy("id").select(C.freshness(F.to_timestamp(F.lit("2024-01-10")), F.to_timestamp("d"))).collect()
     assert [r[0] for r in got] == ["fresh", "recent", "acceptable", "stale", "unknown"]
+
+
+def test_unicode_forms_and_title_case(spark):
+    import unicodedata
+
+    some = ["ﬁne ①", "plain", "", None, "Å", "mid-cap 3rd o'x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "id int, t string")
+    assert values(df, T.nfkc(F.col("t"))) == [None if t is None else unicodedata.normalize("NFKC", t) for t in some]
+    assert values(df, T.title_case(F.col("t"))) == [None if t is None else t.title() for t in some]
+    assert values(df, T.title_words(F.col("t"), ("cap",)))[5] == "Mid-cap 3rd o'x"
