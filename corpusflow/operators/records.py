@@ -23,9 +23,10 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, order: str | None = None
     return kept.unionByName(fresh.select(base.columns))
 
 
-def numbered(df: DataFrame, prefix: str, order: str, offset: int = 0) -> DataFrame:
-    """Adds ids ``prefix`` + running number from ``offset``, in an order; numbers are dense within range partitions."""
-    return df.withColumn("new_id", F.concat(F.lit(prefix), (F.row_number().over(W.orderBy(order)) + offset - 1).cast("string")))
+def numbered(df: DataFrame, prefix: str, offset: int = 0) -> DataFrame:
+    """Adds unique ids ``prefix`` + number from ``offset`` on. Numbers rise within and across partitions and are not dense:
+    dense ones would take a global order in one task."""
+    return df.withColumn("new_id", F.concat(F.lit(prefix), (F.monotonically_increasing_id() + offset).cast("string")))
 
 
 def slug(name: Column, position: Column) -> Column:

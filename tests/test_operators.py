@@ -28,6 +28,11 @@ def test_upsert_replaces_adds_and_is_idempotent(spark):
     assert rows(R.upsert(once, delta, "id", "seq")) == rows(once)
 
 
+def test_numbers_are_unique(spark):
+    got = [r["new_id"] for r in R.numbered(spark.range(100).repartition(3), "doc_", 7).collect()]
+    assert len(set(got)) == 100 and "doc_7" in got
+
+
 def test_vectors(spark):
     docs = spark.createDataFrame([(1, "the cat the dog"), (2, "The Cat, the DOG!"), (3, ""), (4, None), (5, "zebra")], "id int, t string")
     v = M.sparse_vectors(docs, "id", "t")
