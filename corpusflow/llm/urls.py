@@ -76,16 +76,14 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 
 def entries_of(events: DataFrame, pages: DataFrame) -> DataFrame:
-    """Dated changes: each error, signup or purchase event changes the listing of a key made from a host of ``pages``."""
-    hosts = pages.select(host(F.col("url")).alias("host")).where("host is not null").distinct()
-    ranked = hosts.select("host", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("host")) - 1).alias("rank"), F.count("*").over(W.partitionBy(F.lit(1))).alias("n"))
-    how_many = ranked.select("n").limit(1)
-    n = how_many.first()
-    changes = events.where(F.col("event_type").isin("error", "signup", "purchase"))
-    changes = changes.withColumn("rank", F.pmod("user_id", F.lit(n["n"] if n else 1)).cast("int"))
+    """Dated changes: each error, signup or purchase event changes the listing of a key made from the host of the page
+    whose id is its user id, modulo the number of pages."""
+    n = pages.agg((F.max("page_id") + 1).alias("n")).first()["n"] or 1
+    hosts = pages.select(F.col("page_id").alias("_page"), host(F.col("url")).alias("host")).where("host is not null")
+    changes = events.where(F.col("event_type").isin("error", "signup", "purchase")).withColumn("_page", F.pmod("user_id", F.lit(n)))
     scope = F.col("event_id") % 8
     key = F.when(scope == 0, F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).when(scope < 4, F.concat_ws("/", "host", F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("user_id") % 4 + 1).cast("int")))).otherwise(F.col("host"))
-    return changes.join(ranked.select("host", "rank"), "rank").select(
+    return changes.join(hosts, "_page").select(
         key.alias("key"), F.element_at(F.array(*map(F.lit, LISTS)), (F.col("user_id") % 3 + 1).cast("int")).alias("list"),
         F.when(F.col("event_type") == "error", "add").otherwise("remove").alias("action"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"),
     )
@@ -95,12 +93,11 @@ ORACLE_SQL = r"""
 WITH p AS (SELECT page_id, url, 1704067200 + (page_id * 7919) % 2592000 AS fetched_s,
                   nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1), '') AS host,
                   nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS seg FROM pages),
-h AS (SELECT host, row_number() OVER (ORDER BY host) - 1 AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL)),
 c AS (SELECT CASE WHEN event_id % 8 = 0 THEN regexp_extract(host, '([^.]+\.[^.]+)$', 1)
                   WHEN event_id % 8 < 4 THEN host || '/' || (['en', 'de', 'fr', 'es'])[(user_id % 4 + 1)::INTEGER] ELSE host END AS key,
              (['ads', 'malware', 'spam'])[(user_id % 3 + 1)::INTEGER] AS list,
              CASE WHEN event_type = 'error' THEN 'add' ELSE 'remove' END AS action, epoch_us(ts) // 1000000 AS changed
-      FROM events JOIN h ON user_id % n = rk WHERE event_type IN ('error', 'signup', 'purchase')),
+      FROM events JOIN p ON user_id % (SELECT max(page_id) + 1 FROM pages) = p.page_id WHERE p.host IS NOT NULL AND event_type IN ('error', 'signup', 'purchase')),
 o AS (SELECT key, list, changed, max(action) AS action FROM c GROUP BY ALL),
 v AS (SELECT * FROM (SELECT *, lead(changed) OVER (PARTITION BY key, list ORDER BY changed) AS until FROM o) WHERE action = 'add'),
 k AS (SELECT DISTINCT url, fetched_s, host AS key FROM p WHERE host IS NOT NULL
