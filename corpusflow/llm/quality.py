@@ -17,11 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textarrays as ta
 
-#: Rows of the sample that cost and selectivity are measured on. Only the order of the rules depends on it.
-SAMPLE_ROWS = 1000
+#: Rows of the sample that cost and selectivity are measured on, and the longest text in it, so that the sample has a
+#: bounded size. Only the order of the rules depends on it.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -128,7 +130,7 @@ class RuleEstimate:
 
 def estimate(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[RuleEstimate]:
     """Cost and rejection share of each rule on up to ``sample_rows`` texts, best first."""
-    sample = pa.array([r[0] for r in docs.select(text_col).limit(sample_rows).collect()], pa.string())
+    sample = pa.array([r[0] for r in docs.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).limit(sample_rows).collect()], pa.string())
     if not len(sample):
         return [RuleEstimate(r, 1.0, 0.0) for r in rules]
     buf, offs = ta.buffers(sample)
