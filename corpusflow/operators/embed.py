@@ -16,15 +16,18 @@ def dimension(token: Column, n: int = DIMENSIONS) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % n
 
 
-def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.explode(plain_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def term_frequencies(docs: DataFrame, key: str, text: str, by_key: bool = False) -> DataFrame:
+    """(key, term, tf). Counts combine before the shuffle; with ``by_key`` rows are dealt by the key alone, so that later
+    steps that need a key's rows together have no shuffle of their own."""
+    terms = docs.select(key, F.explode(plain_tokens(F.col(text))).alias("term"))
+    return (terms.repartition(key) if by_key else terms).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def sparse_vectors(docs: DataFrame, key: str, text: str, n: int = DIMENSIONS) -> DataFrame:
     """(key, dim, value): sums of ln(1 + tf) at each term's dimension, scaled to unit length.
 
-    Rows are pre-aggregated to (key, term) before the shuffle; the norm reuses the partitioning on the key."""
-    weights = term_frequencies(docs, key, text).groupBy(key, dimension(F.col("term"), n).alias("dim")).agg(F.sum(F.log1p("tf")).alias("w"))
+    One shuffle, by the key: counts, sums by dimension and the norm all reuse its partitioning."""
+    weights = term_frequencies(docs, key, text, by_key=True).groupBy(key, dimension(F.col("term"), n).alias("dim")).agg(F.sum(F.log1p("tf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
     return weights.select(key, "dim", (F.col("w") / F.when(norm == 0, 1.0).otherwise(norm)).alias("value"))
 

@@ -111,11 +111,10 @@ def sufficient(best: Column, by_vector: Column) -> Column:
     return F.when(by_vector, best >= ENOUGH_VECTOR).otherwise(best >= ENOUGH_LEXICAL)
 
 
-def context(rows: DataFrame, by: str, rank: str, document: str, k: int = FINAL) -> DataFrame:
-    """``- document`` lines of the first k non-empty documents of each query."""
-    first = top_k(rows.where(F.length(F.trim(document)) > 0), by, k, F.col(rank), rank="_place")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", document))), lambda r: F.concat(F.lit("- "), r[document])), "\n")
-    return first.groupBy(by).agg(lines.alias("context"))
+def context(rank: Column, document: Column, k: int = FINAL) -> Column:
+    """Aggregate: ``- document`` lines of a query's first k non-empty documents. For rows that a top-k has bounded."""
+    held = F.collect_list(F.when(F.length(F.trim(document)) > 0, F.struct(rank.alias("rank"), document.alias("document"))))
+    return F.array_join(F.transform(F.slice(F.array_sort(held), 1, k), lambda r: F.concat(F.lit("- "), r["document"])), "\n")
 
 
 def prompt(question: Column, block: Column) -> Column:

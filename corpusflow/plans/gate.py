@@ -12,9 +12,9 @@ THRESHOLDS = {"sources": 5, "success_rate": 80, "document_count": 10, "completen
 
 
 def side_by_side(*rows: DataFrame) -> DataFrame:
-    """One-row tables (global aggregates) as one row."""
-    keyed = [r.withColumn("_one", F.lit(1)) for r in rows]
-    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+    """One-row tables (global aggregates) of different columns as one row: a union and a maximum, no join."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def checks(measures: DataFrame, thresholds: dict[str, float]) -> DataFrame:

@@ -142,10 +142,9 @@ def retrieve(spark, d):
  coalesce('https://' || first(source ORDER BY rank) || '.example/', 'https://example.org/') AS url FROM ret GROUP BY 1""")
 def prompts(spark, d):
     rows = retrieved(_queries(spark, d), _corpus(spark, d))
-    ctx = S.context(rows, "query_id", "rank", "text")
-    first = rows.groupBy("query_id").agg(F.min_by("query", "rank").alias("question"), F.min_by("source", "rank").alias("top"))
+    first = rows.groupBy("query_id").agg(S.context(F.col("rank"), F.col("text")).alias("context"), F.min_by("query", "rank").alias("question"), F.min_by("source", "rank").alias("top"))
     url = S.source_url(F.concat(F.lit("https://"), "top", F.lit(".example/")), F.lit(None).cast("string"), F.lit(None).cast("string"), "https://example.org/")
-    return ctx.join(first, "query_id").select("query_id", "context", "question", S.prompt(F.col("question"), F.col("context")).alias("prompt"), url.alias("url"))
+    return first.select("query_id", "context", "question", S.prompt(F.col("question"), F.col("context")).alias("prompt"), url.alias("url"))
 
 
 # Policy. The test prose has no finance words: these rules use tokens that occur in it.
