@@ -156,3 +156,76 @@ def recommendations(rules: tuple[tuple[Column, Column], ...], otherwise: str) ->
     """Texts of the rules whose condition holds, joined; or a default."""
     found = F.array_compact(F.array(*(F.when(c, t) for c, t in rules)))
     return F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise(otherwise)
+
+
+# Checks of extracted values: true or false, for a pick that takes the first valid value.
+
+
+def valid_percentage(value: Column, most: float = 100) -> Column:
+    """A percentage from 0 to ``most``, or the sentinel."""
+    number = F.regexp_extract(value, r"([0-9]+\.?[0-9]*)%", 1).try_cast("double")
+    return (value == SENTINEL) | F.coalesce(number.between(0, most), F.lit(False))
+
+
+def valid_load(value: Column) -> Column:
+    """No load in words, or a percentage up to 10."""
+    return F.lower(value).isin("no exit load", "nil exit load", "nil", "0%") | valid_percentage(value, 10)
+
+
+def valid_amount(value: Column, least: float = 100, most: float = 1_000_000) -> Column:
+    number = F.regexp_replace(F.regexp_extract(value, r"₹?\s*([0-9,]+)", 1), ",", "").try_cast("double")
+    return (value == SENTINEL) | F.coalesce(number.between(least, most), F.lit(False))
+
+
+def valid_length(value: Column, least: int, most: int) -> Column:
+    return F.coalesce(F.length(value).between(least, most), F.lit(False))
+
+
+def valid_member(value: Column, allowed: tuple[str, ...]) -> Column:
+    return (value == SENTINEL) | value.isin(*allowed)
+
+
+def first_valid(*pairs: tuple[Column, Column]) -> Column:
+    """First value whose check holds."""
+    return F.coalesce(*(F.when(good, value) for value, good in pairs))
+
+
+# Scores of whole stages.
+
+
+def returns_consistency(values: Column) -> Column:
+    """100, less 20 for each odd format and each value over 100 in size, at least 0."""
+    v = F.filter(F.map_values(values), lambda x: x.isNotNull() & (x != SENTINEL))
+    odd = F.size(F.filter(v, lambda x: ~x.rlike(r"^[+-]?\d+\.?\d*%?$")))
+    large = F.size(F.filter(v, lambda x: F.regexp_extract(x, r"(\d+\.?\d*)", 1).try_cast("double") > 100))
+    return F.greatest(F.lit(0.0), 100.0 - 20 * (odd + large))
+
+
+def range_score(value: Column, least: float, most: float) -> Column:
+    """100 in range, 50 outside; null without a number."""
+    n = number_in(value)
+    return F.when(n.between(least, most), 100.0).when(n.isNotNull(), 50.0)
+
+
+def post_clean_score(critical: list[Column], parts: list[Column]) -> Column:
+    """0 if a critical value is missing, else the mean of the parts that are there, or 100."""
+    missing = F.lit(False)
+    for c in critical:
+        missing |= c.isNull() | (c == "")
+    there = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
+    return F.when(missing, 0.0).when(there == 0, 100.0).otherwise(F.round(total / there, 4))
+
+
+def storage_score(dimension_share: Column, missing_fields: Column, bad_labels: Column) -> Column:
+    """0.4 dimension consistency + 0.3 metadata (25 less a missing field) + 0.3 labels (15 less a bad one)."""
+    return dimension_share * 0.4 + F.greatest(F.lit(0), 100 - 25 * missing_fields) * 0.3 + F.greatest(F.lit(0), 100 - 15 * bad_labels) * 0.3
+
+
+def combined(cleaning: Column, extraction: Column, validation: Column) -> tuple[Column, Column, Column]:
+    """Confidence (0.4, 0.6), quality (0.3, 0.3, 0.4) and status of a cleaned record."""
+    confidence = cleaning * 0.4 + extraction * 0.6
+    quality = cleaning * 0.3 + validation * 0.4 + extraction * 0.3
+    every = (cleaning >= 80) & (extraction >= 80) & (validation >= 80)
+    status = F.when(every, "excellent").when(confidence >= 70, "good").when(confidence >= 50, "acceptable").otherwise("needs_improvement")
+    return confidence, quality, status
