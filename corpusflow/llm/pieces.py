@@ -34,7 +34,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = 0x2581
 _LITERAL_MARK = 0x110000  # a U+2581 that the text itself holds
 _ROOM = 1 << 21
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 @dataclass
@@ -316,6 +316,7 @@ def sample_pieces(
                     lists = pa.array([None if z else x for z, x in zip(null, lists.to_pylist(), strict=True)], pa.list_(pa.int32()))
                 columns = [*(part.column(f"k{i}") for i in range(len(keep) + 1)), pa.array(np.diff(offs), pa.int64()), lists, pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, names)
+            pa.default_memory_pool().release_unused()
 
     kinds = ", ".join(f"`{c}` {source.schema[f'k{i}'].dataType.simpleString()}" for i, c in enumerate((id_col, *keep)))
     return source.mapInArrow(run, f"{kinds}, n_pieces long, pieces array<int>, lossless boolean")
