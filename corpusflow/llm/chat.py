@@ -3,16 +3,19 @@
 A turn becomes ``<s>[role]\\n text </s>\\n`` (without the blanks). Control strings inside roles and texts are escaped
 reversibly: U+241B becomes U+241B followed by ``e``, and each control string U+241B followed by its own letter.
 
-Every distinct sequence of first turns is a node. Trees are emitted depth first, a node's tokens once, with
+Every distinct sequence of first turns is a node. Nodes without a branching above them form chains with the nodes that
+they continue: a chain starts at a root or at a child of a node with two or more children. Trees are emitted depth
+first, a node's tokens once, with
 
 * ``start``: the place of its first token in its tree's token sequence,
 * ``position``: the position id of that token, the number of tokens of its ancestors,
-* ``attends``: the (start, end) intervals of its ancestors in the sequence; a token attends to these and to the tokens
-  of its own node up to itself,
+* ``attends``: the (a, b) intervals of its ancestors in the sequence, one for each chain above and one for the part of
+  its own chain before it; a token attends to these and to the tokens of its own node up to itself,
 * ``loss_start``, ``loss_end``: the characters of its segment under the loss mask (an assistant's escaped text).
 
-Depth-first order is the order of paths of node ids, so starts are running sums in that order. They are taken in range
-partitions and added up over the partition sums, so a tree of a third of all rows is spread over tasks.
+Depth-first order is the order of paths of chain ids, so a chain's start is a running sum in that order. Sums are taken
+in range partitions and added up over the partition sums, so a tree of a third of all rows is spread over tasks. Work
+and rows grow with the number of turns and of branchings above a chain, not with the square of a conversation's length.
 
 Defined cases: null roles and texts are empty; turns are ordered by (turn, role, text), null turns first; repeated rows
 are turns of their own; a null conversation id is one conversation; an empty table gives empty tables; other columns are
@@ -65,26 +68,25 @@ def conversations_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
-TURNS = "conv_id long, n_turns long, depth int, node string, parent string, root string, path string, is_last boolean, segment string, loss_start int, loss_end int, text_start int"
+TURNS = "conv_id long, n_turns long, depth int, node string, parent string, root string, leaf string, segment string, loss_start int, loss_end int, text_start int"
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """One row a turn with its node, the hash of the chain of turns so far, and the path of node ids that leads to it."""
+    """One row a turn with its node, the hash of the chain of turns so far, and the last node of its conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = [x.split()[0] for x in TURNS.split(", ")]
         for batch in batches:
             rows = []
             for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-                parent, path = "", []
+                path = [""]
+                for t in turns:
+                    path.append(hashlib.sha256(f"{path[-1]}\n{len(t['role'])}\n{t['role']}\n{t['text']}".encode()).hexdigest()[:32])
                 for depth, t in enumerate(turns):
                     formatted, a, b = segment(t["role"], t["text"])
-                    node = hashlib.sha256(f"{parent}\n{len(t['role'])}\n{t['role']}\n{t['text']}".encode()).hexdigest()[:32]
-                    path.append(node)
                     loss = (a, b) if t["role"] == ASSISTANT else (0, 0)
-                    rows.append((conv, len(turns), depth, node, parent, path[0], "/".join(path), depth == len(turns) - 1, formatted, *loss, a))
-                    parent = node
-            types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+                    rows.append((conv, len(turns), depth, path[depth + 1], path[depth], path[1], path[-1], formatted, *loss, a))
+            types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
             kinds = [types[x.split()[1]] for x in TURNS.split(", ")]
             columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema)
@@ -116,28 +118,46 @@ def running_total(df: DataFrame, order: str, value: str) -> DataFrame:
     return ranged.withColumn("inside", F.coalesce(F.sum(value).over(within), F.lit(0))).join(offsets, "part").withColumn("before", F.col("offset") + F.col("inside")).drop("part", "offset", "inside")
 
 
+def chains_of(nodes: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, chain) and (chain, path): a chain's id is its first node, its path the ids of the chains above and its own."""
+    children = nodes.where("depth > 0").groupBy("parent").agg(F.count("*").alias("children"))
+    heads = nodes.join(children, "parent", "left").select("node", ((F.col("depth") == 0) | (F.col("children") > 1)).alias("is_head"))
+    along = W.partitionBy("leaf").orderBy("depth")
+    last_head = F.last(F.when(F.col("is_head"), F.col("node")), ignorenulls=True).over(along)
+    placed = written(paths.join(heads, "node").withColumn("chain", last_head), "chains")
+    above = placed.where("is_head").withColumn("path", F.array_join(F.collect_list("node").over(along), "/"))
+    return placed.groupBy("node").agg(F.first("chain").alias("chain")), above.groupBy("chain").agg(F.first("path").alias("path"))
+
+
 def prefix_forest(turns: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
-    """One row a node: node, parent, root, depth, segment, loss range, tokens, start, position, attends."""
-    first = [F.first(c).alias(c) for c in ("parent", "root", "depth", "path", "segment", "loss_start", "loss_end", "text_start")]
-    nodes = running_total(tokenised(turns.groupBy("node").agg(*first), ranks_path), "path", "n_tokens")
-    nodes = written(nodes, "nodes")
-    base = nodes.where("depth = 0").select(F.col("node").alias("root"), F.col("before").alias("base"))
-    placed = nodes.join(base, "root").withColumn("start", F.col("before") - F.col("base")).drop("before", "base")
-    above = placed.where("depth > 0").select("node", F.posexplode(F.split("path", "/")).alias("level", "ancestor")).where("ancestor <> node")
-    spans = placed.select(F.col("node").alias("ancestor"), F.col("start").alias("a"), (F.col("start") + F.col("n_tokens")).alias("b"))
-    lines = above.join(spans, "ancestor").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("attends"), F.sum(F.col("b") - F.col("a")).alias("position"))
+    """One row a node: node, parent, root, depth, segment, loss range, tokens, n_tokens, chain, start, position, attends."""
+    first = [F.first(c).alias(c) for c in ("parent", "root", "depth", "segment", "loss_start", "loss_end", "text_start")]
+    nodes = written(tokenised(turns.groupBy("node").agg(*first), ranks_path), "nodes")
+    paths = turns.select("leaf", "depth", "node").distinct()
+    of, ways = chains_of(nodes.select("node", "parent", "depth"), paths)
+    nodes = written(nodes.join(of, "node"), "nodes")
+    totals = nodes.groupBy("chain").agg(F.sum("n_tokens").alias("sum"), F.first("root").alias("root"))
+    chains = written(running_total(ways.join(totals, "chain"), "path", "sum"), "chains")
+    base = chains.where("chain = root").select("root", F.col("before").alias("base"))
+    chains = chains.join(base, "root").select("chain", "path", "sum", (F.col("before") - F.col("base")).alias("chain_start"))
+    above = chains.select("chain", F.explode(F.split("path", "/")).alias("upper")).where("upper <> chain")
+    spans = chains.select(F.col("chain").alias("upper"), F.col("chain_start").alias("a"), (F.col("chain_start") + F.col("sum")).alias("b"))
+    lines = above.join(spans, "upper").groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("uppers"), F.sum(F.col("b") - F.col("a")).alias("upper_tokens"))
+    placed = nodes.join(chains.select("chain", "chain_start"), "chain").join(lines, "chain", "left")
+    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("chain").orderBy("depth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("inside", inside).withColumn("start", F.col("chain_start") + F.col("inside"))
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    return placed.join(lines, "node", "left").withColumns({"attends": F.coalesce("attends", none), "position": F.coalesce("position", F.lit(0))})
+    own = F.when(F.col("inside") > 0, F.array(F.struct(F.col("chain_start").alias("a"), F.col("start").alias("b")))).otherwise(none)
+    return placed.withColumns({"attends": F.concat(F.coalesce("uppers", none), own), "position": F.coalesce("upper_tokens", F.lit(0)) + F.col("inside")}).drop("uppers", "upper_tokens", "inside", "chain_start")
 
 
 READ = "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(leaves: DataFrame, forest: DataFrame) -> DataFrame:
-    """Turns, digests and lengths of the conversation that ends in each leaf, from the segments on its path."""
-    on_path = leaves.select(F.col("node").alias("leaf"), F.posexplode(F.split("path", "/")).alias("level", "node"))
-    pieces = on_path.join(forest.select("node", "segment", "loss_start", "loss_end", "text_start"), "node")
-    whole = pieces.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("level", "segment", "loss_start", "loss_end", "text_start"))).alias("parts"))
+def read_back(paths: DataFrame, forest: DataFrame) -> DataFrame:
+    """Turns, digests and lengths of the conversation that ends in each leaf, from the segments on its path (leaf, depth, node)."""
+    pieces = paths.join(forest.select("node", "segment", "loss_start", "loss_end", "text_start"), "node")
+    whole = pieces.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "segment", "loss_start", "loss_end", "text_start"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ.split(", ")]
@@ -164,11 +184,10 @@ def read_back(leaves: DataFrame, forest: DataFrame) -> DataFrame:
 def formatted_conversations(rows: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """One row a conversation, read back from the forest, with the place of its last turn in it."""
     turns = written(turns_of(conversations_of(rows)), "turns")
-    forest = prefix_forest(turns, ranks_path)
-    last = turns.where("is_last").select("conv_id", F.col("node").alias("leaf"), "path")
-    digests = read_back(last.select(F.col("leaf").alias("node"), "path").distinct(), forest)
+    forest = written(prefix_forest(turns, ranks_path), "forest")
+    digests = read_back(turns.select("leaf", "depth", "node").distinct(), forest)
     where = forest.select(F.col("node").alias("leaf"), F.col("root").alias("tree"), "start", "position", "n_tokens", F.size("attends").cast("long").alias("n_attends"))
-    return last.select("conv_id", "leaf").join(digests, "leaf").join(where, "leaf").drop("leaf")
+    return turns.where("depth = 0").select("conv_id", "leaf").join(digests, "leaf").join(where, "leaf").drop("leaf")
 
 
 #: A conversation of control strings alone, added to those of the table.

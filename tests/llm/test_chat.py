@@ -20,6 +20,7 @@ def conversations():
         rows.append((c, 0, "system", "You help." if c % 3 else f"other {c}", "n", "p"))
         rows.append((c, 1, "user", "Hello" if c % 2 else f"question {c}", "n", "p"))
         rows.append((c, 2, "assistant", NASTY[c % len(NASTY)], "n", "p"))
+    rows += [(200 + c, t, "user" if t % 2 else "assistant", f"turn {t}" if t < 40 + 5 * c else f"turn {t} of {c}", "n", "p") for c in range(3) for t in range(60)]
     rows += [(100, 0, "us]\ner", NASTY[0], "n", "p"), (100, 1, None, "x", "n", "p"), (100, None, "user", None, "n", "p"), (100, 1, None, "x", "n", "p"), (None, 0, "assistant", "no id", "n", "p")]
     return rows
 
@@ -64,9 +65,11 @@ def test_forest(spark):
         while up:
             chain.append((nodes[up]["start"], nodes[up]["start"] + nodes[up]["n_tokens"]))
             up = nodes[up]["parent"]
-        assert [(x["a"], x["b"]) for x in r["attends"]] == chain[::-1]
+        seen = [t for x in r["attends"] for t in range(x["a"], x["b"])]
+        assert seen == sorted(t for a, b in chain for t in range(a, b))
         assert r["position"] == sum(b - a for a, b in chain)
         trees[r["root"]].append(r)
+    assert max(len(r["attends"]) for r in nodes.values()) <= 4  # one for each chain, though paths have 60 nodes
     for members in trees.values():
         members.sort(key=lambda r: r["start"])
         assert [r["start"] for r in members] == list(itertools.accumulate([0] + [r["n_tokens"] for r in members[:-1]]))
