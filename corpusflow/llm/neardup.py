@@ -5,11 +5,13 @@ gets ``trees`` labels of ``depth`` MinHash values; a tree's labels in sort order
 common prefix of some depth are one run of it. Prefixes start at the full depth and are shortened, all trees together,
 until a link at the threshold shares a run with at least the target probability, ``1 - (1 - t**d)**trees``.
 
-In each run every node is paired with one pivot (the run's least node under the tree's own random order), never with all
-others. Pairs whose sketches agree enough connect nodes to candidate components, and within a component **all** pairs
-are verified exactly, so a link is found if its two texts are in one component; a true link meets there through any of
-its shared runs. Components of more than ``BLOCK_WORDS`` words or ``BLOCK_NODES`` texts are split into blocks, and each
-pair of blocks is a task of bounded size that returns counts and a spanning forest, never pairs.
+In each run every node is first paired with one pivot (the run's least node under the tree's own random order). Pairs
+whose sketches agree enough connect nodes to candidate components. Runs whose nodes are then still in several components
+are searched whole: every two of their nodes of different components are compared by sketch, in blocks of ``RUN_NODES``,
+and those that agree connect their components. So two texts of a run whose sketches agree are always in one component,
+whatever the pivot is. Within a component **all** pairs are verified exactly. Components of more than ``BLOCK_WORDS``
+words or ``BLOCK_NODES`` texts are split into blocks, and each pair of blocks is a task of bounded size that returns
+counts and a spanning forest, never pairs.
 
 Defined cases: texts that are null or have no words are linked to nothing and are classes of their own; identical texts
 share a class and count as one node; repeated rows are copies; an empty table gives an empty table; other columns are
@@ -32,9 +34,10 @@ from .scratch import written
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 20, 8, 0.9995
-#: Sketch agreement at which a node and a pivot are connected; 0.8 is over six standard deviations away.
+#: Sketch agreement at which two nodes of a run are connected; 0.8 is over six standard deviations away.
 SKETCH_LEAST = 0.6
 BLOCK_WORDS, BLOCK_NODES, BIN_WORDS = 200_000, 1000, 100_000
+RUN_NODES, BIN_NODES = 2000, 20_000
 
 _rng = np.random.default_rng(5)
 _ODD = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,13 +113,18 @@ def signed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node binary, words long, sketch binary").dropDuplicates(["node"])
 
 
-def pivot_pairs(signs: DataFrame, depth: int) -> DataFrame:
-    """(a, b): each node with the pivot of each of its runs, where their sketches agree enough."""
+def runs(signs: DataFrame, depth: int) -> DataFrame:
+    """(run, node, pivot) of all runs of two or more nodes."""
     label = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sketch", t * 2 * DEPTH + 1, 2 * depth)))
     in_run = signs.select("node", F.posexplode(label).alias("tree", "run"))
     ranked = in_run.withColumn("rank", F.xxhash64("node", "tree"))
-    pivots = ranked.groupBy("run").agg(F.min(F.struct("rank", "node")).alias("p"), F.count("*").alias("n")).where("n > 1").select("run", F.col("p.node").alias("b"))
-    pairs = in_run.join(pivots, "run").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    pivots = ranked.groupBy("run").agg(F.min(F.struct("rank", "node")).alias("p"), F.count("*").alias("n")).where("n > 1").select("run", F.col("p.node").alias("pivot"))
+    return in_run.join(pivots, "run").select("run", "node", "pivot")
+
+
+def pivot_pairs(signs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): each node with the pivot of each of its runs, where their sketches agree enough."""
+    pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     of_a = signs.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     of_b = signs.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
 
@@ -129,6 +137,57 @@ def pivot_pairs(signs: DataFrame, depth: int) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").mapInArrow(close, "a binary, b binary")
 
 
+def bridges(table: pa.Table) -> pa.Table:
+    """(a, b): a spanning forest of the components that agree in one task: whole runs, or one pair of blocks of a run."""
+    run, part = (table.column(c).to_numpy() for c in ("run", "part"))
+    component = table.column("component").to_pylist()
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
+    low, high = (table.column(c).to_numpy() for c in ("low", "high"))
+    number = {c: n for n, c in enumerate(dict.fromkeys(component))}
+    of = np.array([number[c] for c in component])
+    names, out_a, out_b = list(number), [], []
+    order = np.argsort(run, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], run[order][1:] != run[order][:-1], [True])))
+    for c, d in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = order[c:d]
+        same = low[rows[0]] == high[rows[0]]
+        left = rows if same else rows[part[rows] == low[rows[0]]]
+        right = rows if same else rows[part[rows] != low[rows[0]]]
+        parent = {n: n for n in np.unique(of[rows]).tolist()}
+        for k, i in enumerate(left):
+            others = right[k + 1 :] if same else right
+            others = others[of[others] != of[i]]
+            near = others[(sketch[others] == sketch[i]).mean(axis=1) >= SKETCH_LEAST]
+            for n in np.unique(of[near]).tolist():
+                x, y = find(parent, int(of[i])), find(parent, n)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out_a.append(names[of[i]]), out_b.append(names[n])
+    return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+
+
+def candidates(signs: DataFrame, depth: int) -> DataFrame:
+    """(node, component): nodes connected by agreement with any other node of any of their runs."""
+    members = written(runs(signs, depth), "runs")
+    first = written(connected_components(written(pivot_pairs(signs, members), "pivots")), "first")
+    named = members.join(first, "node", "left").select("run", "node", F.coalesce("root", "node").alias("component"))
+    mark = F.xxhash64("component")
+    mixed = named.groupBy("run").agg(F.count("*").alias("n"), F.min(mark).alias("least"), F.max(mark).alias("most")).where("least <> most")
+    parts = F.ceil(F.col("n") / RUN_NODES)
+    open_runs = written(named.join(mixed.select("run", parts.alias("parts")), "run"), "open")
+    bins = max(1, open_runs.count() // BIN_NODES)
+    placed = open_runs.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = placed.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    task = F.when(F.col("parts") > 1, F.concat_ws("-", "run", "low", "high")).otherwise(F.pmod("run", F.lit(bins)).cast("string"))
+    rows = placed.join(signs.select("node", "sketch"), "node").select(task.alias("task"), "run", "part", "low", "high", "component", "sketch")
+    joined = connected_components(written(rows.groupBy("task").applyInArrow(bridges, "a binary, b binary"), "bridges"))
+    wider = joined.select(F.col("node").alias("root"), F.col("root").alias("component"))
+    old = first.join(wider, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+    new = joined.join(first, "node", "left_anti").select("node", F.col("root").alias("component"))
+    return old.union(new)
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of two lists of sorted sets of shingles, by products of incidence matrices."""
     values = np.concatenate([*left, *right])
@@ -213,8 +272,7 @@ def verify(table: pa.Table, threshold: float) -> pa.Table:
 def linked_nodes(texts: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """(node, links, root) of the nodes that were candidates; root is the least node of the class."""
     signs = written(signed(texts), "sketches")
-    near = written(pivot_pairs(signs, prefix_depth(threshold, target)), "pivots")
-    component = connected_components(near).select("node", F.col("root").alias("component"))
+    component = candidates(signs, prefix_depth(threshold, target))
     sized = written(component.join(signs.select("node", "words"), "node"), "components")
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("words") / BLOCK_WORDS), F.ceil(F.count("*") / BLOCK_NODES)).alias("blocks"))
     some = sized.agg(F.sum("words")).first()[0] or 0

@@ -61,6 +61,19 @@ def test_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert got == brute(pairs)
 
 
+@pytest.mark.parametrize("run_nodes", [2000, 8])
+def test_links_are_found_where_pivots_are_unlike(spark, monkeypatch, run_nodes):
+    """One passage in two texts that are linked, and in thousands of longer documents that are not."""
+    monkeypatch.setattr(neardup, "RUN_NODES", run_nodes)
+    rng = np.random.default_rng(8)
+    own = lambda n: " " + " ".join(f"w{w:x}" for w in rng.integers(0, 2**40, n).tolist())
+    passage = own(104).strip()
+    pairs = [(i, passage + own(12)) for i in range(2)] + [(2 + i, passage + own(200)) for i in range(8000)]
+    assert brute(pairs[:40])[0] == (0, 0, 1, 1)
+    got = collected(neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")))
+    assert got == sorted([(0, 0, 1, 1), (1, 0, 1, 1)] + [(i, i, 0, 1) for i in range(2, 8002)], key=repr)
+
+
 def test_one_of_each_keeps_the_least_id_with_its_columns(spark):
     kept = collected(neardup.one_of_each(documents(spark)))
     classes = {r[0]: r[1] for r in brute([(r[0], r[1]) for r in rows()]) if r[0] is not None}
