@@ -1,9 +1,10 @@
 """License scans by conditional compression, confirmed by exact wording differences.
 
-A text's candidate blocks are its lines that hold a license cue; a line of more than ``LONG_BLOCK`` characters becomes
-windows around its cues. Each block is compressed alone and with each template as a zstandard raw dictionary; templates
-are ranked by how many bytes the dictionary saves. The best ones are compared with the block word by word, and the first
-whose own words (the license's name and version) are all there, with few other differences, is confirmed.
+A text's candidate blocks are its paragraphs (runs of lines with words) that hold a license cue; in a paragraph of more
+than ``LONG_BLOCK`` characters they are windows around its cues, joined where they meet. Each block is compressed alone
+and with each template as a zstandard raw dictionary, which ranks the templates by the bytes saved. Every template whose
+own words (the license's name and version) occur in the block is aligned with the block's words; the notice with the
+fewest differences is confirmed with its own span, and the words before and after it are searched again.
 
 Defined cases: a null or empty text has no blocks; blocks that no template explains are counted and not confirmed;
 repeated rows give repeated results; an empty table gives an empty table; only the id and the text column are read.
@@ -11,22 +12,22 @@ repeated rows give repeated results; an empty table gives an empty table; only t
 
 from __future__ import annotations
 
-import difflib
+import bisect
 import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 CUE = re.compile(r"licen[sc]e|licensed|copyright|spdx|permission is hereby|redistribution", re.IGNORECASE)
-LONG_BLOCK, WINDOW = 2000, 300
-#: Templates that are compared word by word after ranking, and the bytes that the first one must save.
-COMPARED, LEAST_SAVED = 3, 4
+#: A window reaches further from its cue than the longest template is long.
+LONG_BLOCK, WINDOW = 2000, 600
 #: Share of the template's and block's words that may differ.
 MOST_DIFFERENT = 0.5
 
-#: License id, notice wording, and the words which tell it from others. Fixed values.
+#: License id, wording of a notice, header or body, and the words which tell it from others. Fixed values.
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
     ("MIT", "Released under the MIT License.", "mit"),
@@ -45,10 +46,20 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
+#: Lines without a word, which end a paragraph.
+_BREAK = re.compile(r"\n[^\w\n]*(?=\n)")
+#: Costs are in steps of this; smaller amounts carry the start of the alignment.
+_STEP = 1 << 32
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def plain(text: str) -> bytes:
+    return " ".join(text.lower().split()).encode()
+
+
 @functools.cache
 def compressors():
     import zstandard
@@ -56,60 +67,83 @@ def compressors():
     own = zstandard.ZstdCompressor(level=3)
     with_template = []
     for _, wording, _ in TEMPLATES:
-        held = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held = zstandard.ZstdCompressionDict(plain(wording), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         with_template.append(zstandard.ZstdCompressor(level=3, dict_data=held))
     return own, with_template
 
 
-def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
-    """Words of the template that the block lacks, and words between the matched ones that it adds."""
-    lacks, adds = [], []
-    codes = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    for n, (op, a, b, c, d) in enumerate(codes):
-        if op in ("delete", "replace"):
-            lacks += template[a:b]
-        if op in ("insert", "replace") and 0 < n < len(codes) - 1:
-            adds += block[c:d]
-    return lacks, adds
+def aligned(block: list[str], template: list[str], telling: set[str]) -> tuple[int, int, int] | None:
+    """(differences, first word, end) of the part of the block that is nearest to the template: words that it lacks and
+    words that it adds, within the bound. Its telling words are all there; of equal parts the first is taken."""
+    most = int(MOST_DIFFERENT * len(template))
+    at = np.arange(len(block) + 1, dtype=np.int64)
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(block):
+        places.setdefault(w, []).append(i)
+    cost = -at  # an alignment may start anywhere, at no cost; later starts are the less
+    for w in template:
+        new = cost + (_STEP * (most + 1) if w in telling else _STEP)
+        if w in places:
+            j = np.array(places[w])
+            new[j + 1] = np.minimum(new[j + 1], cost[j])
+        cost = np.minimum.accumulate(new - _STEP * at) + _STEP * at
+    end = int(np.argmin(-(-cost // _STEP)))
+    n = -(-int(cost[end]) // _STEP)
+    return (n, int(_STEP * n - cost[end]), end) if n <= most else None
 
 
 @functools.lru_cache(maxsize=50_000)
-def classify(block: str) -> tuple[str, int]:
-    """License id of a block, or an empty string, and the bytes that the best template saves."""
+def notices(block: str) -> tuple[tuple[tuple[int, str, int, int], ...], int]:
+    """The confirmed notices (differences, license id, start, end) of a block, by start, and the bytes that the best template saves."""
     own, with_template = compressors()
-    data = block.encode()
+    data = plain(block)
     alone = len(own.compress(data))
     saved = [alone - len(c.compress(data)) for c in with_template]
     ranked = sorted(range(len(TEMPLATES)), key=lambda i: (-saved[i], i))
-    if saved[ranked[0]] < LEAST_SAVED:
-        return "", saved[ranked[0]]
-    have = words(block)
-    best = None
-    for rank, i in enumerate(ranked[:COMPARED]):
-        name, wording, telling = TEMPLATES[i]
-        template = words(wording)
-        lacks, adds = differences(have, template)
-        if set(words(telling)) & set(lacks) or len(lacks) + len(adds) > MOST_DIFFERENT * len(template):
-            continue
-        if best is None or (len(lacks) + len(adds), rank) < best[:2]:
-            best = (len(lacks) + len(adds), rank, name)
-    return (best[2] if best else ""), saved[ranked[0]]
+    low = block.lower()
+    if len(low) != len(block):  # some letters become two; keep the offsets
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in block)
+    at = [m.span() for m in _WORD.finditer(low)]
+    have = [low[a:b] for a, b in at]
+    found, parts = [], [(0, len(have))]
+    while parts:
+        a, b = parts.pop()
+        here, best = set(have[a:b]), None
+        for i in ranked:
+            name, wording, telling = TEMPLATES[i]
+            own_words = set(words(telling))
+            near = aligned(have[a:b], words(wording), own_words) if own_words <= here else None
+            if near and (best is None or near[0] < best[0]):
+                best = (near[0], name, a + near[1], a + near[2])
+        if best:
+            found.append((best[0], best[1], at[best[2]][0], at[best[3] - 1][1]))
+            parts += [(a, best[2]), (best[3], b)]
+    return tuple(sorted(found, key=lambda x: x[2])), saved[ranked[0]]
+
+
+def classify(block: str) -> tuple[str, int]:
+    """License id of a block's notice with the fewest differences, or an empty string, and the bytes that the best template saves."""
+    found, saved = notices(block)
+    return (min(found)[1] if found else ""), saved
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Character ranges of the candidate blocks."""
+    """Character ranges of the candidate blocks, in order and apart from each other."""
     found: list[tuple[int, int]] = []
-    end = -1
-    for m in CUE.finditer(text):
-        if m.start() < end:
-            continue
-        a = text.rfind("\n", 0, m.start()) + 1
-        b = text.find("\n", m.end())
-        b = len(text) if b < 0 else b
+    cues = [m.span() for m in CUE.finditer(text)]
+    breaks = [m.span() for m in _BREAK.finditer(text)] if cues else []
+    firsts = [a for a, _ in breaks]
+    for start, end in cues:
+        n = bisect.bisect_right(firsts, start)
+        a = breaks[n - 1][1] + 1 if n else 0
+        b = breaks[n][0] if n < len(breaks) else len(text)
+        b = max(b, end)
         if b - a > LONG_BLOCK:
-            a, b = max(a, m.start() - WINDOW, end), min(b, m.end() + WINDOW)
-        found.append((a, b))
-        end = b
+            a, b = max(a, start - WINDOW), min(b, end + WINDOW)
+        if found and a <= found[-1][1]:
+            found[-1] = (min(a, found[-1][0]), max(b, found[-1][1]))
+        else:
+            found.append((a, b))
     return found
 
 
@@ -117,7 +151,7 @@ COLUMNS = "n_blocks long, n_confirmed long, licenses string, spans string, most_
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_blocks, n_confirmed, licenses (sorted), spans (license:start:end), most_saved (bytes)."""
+    """One row a document: id, n_blocks, n_confirmed (notices), licenses (sorted), spans (license:start:end of each notice), most_saved (bytes)."""
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +159,8 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = []
             for text in batch.column("text").to_pylist():
                 at = blocks(text or "")
-                named = [(a, b, *classify(text[a:b])) for a, b in at]
-                sure = [(n, a, b) for a, b, n, _ in named if n]
+                named = [(a, *notices(text[a:b])) for a, b in at]
+                sure = [(n, a + c, a + d) for a, held, _ in named for _, n, c, d in held]
                 rows.append((len(at), len(sure), ",".join(sorted({n for n, _, _ in sure})), ",".join(f"{n}:{a}:{b}" for n, a, b in sure), max((s for *_, s in named), default=0)))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())

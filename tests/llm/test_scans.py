@@ -44,6 +44,24 @@ def test_license_query(spark):
     assert licenses.license_report(empty(spark)).count() == 0
 
 
+def scanned(text):
+    return [(n, text[a + c : a + d]) for a, b in licenses.blocks(text) for _, n, c, d in licenses.notices(text[a:b])[0]]
+
+
+def test_every_notice_of_a_block_has_its_span():
+    apache, mit, cc = "Licensed under the Apache License, Version 2.0", "Released under the MIT License", "Licensed under CC BY 4.0"
+    assert scanned(f"{apache}. {mit}.") == [("Apache-2.0", apache), ("MIT", mit)]
+    assert scanned(f"{mit}. {mit}.") == [("MIT", mit)] * 2
+    assert scanned(f"{apache}. {mit}. {cc}.".upper()) == [("Apache-2.0", apache.upper()), ("MIT", mit.upper()), ("CC-BY-4.0", cc.upper())]
+    assert scanned(f"\u0130\u0130 {mit}.") == [("MIT", mit)]
+
+
+@pytest.mark.parametrize("gap", range(250, 700, 7))
+def test_notices_are_whole_at_window_ends(gap):
+    text = "x" * 1500 + " licence " + "y" * gap + " Licensed under CC BY 4.0. " + "z" * 1500
+    assert scanned(text) == [("CC-BY-4.0", "Licensed under CC BY 4.0")]
+
+
 def test_attribution_rules():
     starts, ends = np.array([0, 10, 12]), np.array([10, 12, 20])
     a, b = np.array([0, 7, 11, 16]), np.array([7, 11, 16, 20])  # 7-11 and 11-16 cross
