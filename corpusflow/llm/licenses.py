@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CUE = re.compile(r"licen[sc]e|licensed|copyright|spdx|permission is hereby|redistribution", re.IGNORECASE)
+CUE = re.compile(r"licen[sc]e|licensed|copyright|spdx|permission is hereby|redistribution|neither the name|creative\s+commons", re.IGNORECASE)
 #: A window reaches further from its cue than the longest template is long.
 LONG_BLOCK, WINDOW = 2000, 600
 #: Share of the template's and block's words that may differ.
@@ -41,6 +41,21 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by-sa 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by-nc 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0.", "cc0 1.0"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "permission granted charge restriction merge sublicense sell"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "neither endorse promote derived"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gnu general public 2"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general public 3"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu lesser general public 3"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu affero general public 3"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991", "gnu general public 2"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007", "gnu general public 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007", "gnu lesser general public 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007", "gnu affero general public 3"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution 4.0"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons attribution-sharealike 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution-noncommercial 4.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal", "cc0 1.0"),
 )
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")

@@ -44,10 +44,51 @@ def test_license_query(spark):
     assert licenses.license_report(empty(spark)).count() == 0
 
 
+GPL = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version. */"""
+MIT_BODY = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD_BODY = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of Example Inc. nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission."""
+
+
 def scanned(text):
     return [(n, text[a + c : a + d]) for a, b in licenses.blocks(text) for _, n, c, d in licenses.notices(text[a:b])[0]]
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (GPL.format("", 2), ["GPL-2.0"]),
+        (GPL.format("", 3), ["GPL-3.0"]),
+        (GPL.format("Lesser ", 3), ["LGPL-3.0"]),
+        (GPL.format("Affero ", 3), ["AGPL-3.0"]),
+        (GPL.format("", 4), []),
+        (MIT_BODY, ["MIT"]),
+        (MIT_BODY.upper(), ["MIT"]),
+        (BSD_BODY, ["BSD-3-Clause"]),
+        (BSD_BODY.split("3.")[0], []),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", ["GPL-3.0"]),
+        ("# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0.", ["MPL-2.0"]),
+    ],
+)
+def test_full_texts_and_wrapped_headers(text, names):
+    assert [n for n, _ in scanned(text)] == names
+    assert [n for n, _ in scanned(prose(900, 3) + "\n" + text + "\n" + prose(900, 4))] == names
+
+
 def test_every_notice_of_a_block_has_its_span():
     apache, mit, cc = "Licensed under the Apache License, Version 2.0", "Released under the MIT License", "Licensed under CC BY 4.0"
     assert scanned(f"{apache}. {mit}.") == [("Apache-2.0", apache), ("MIT", mit)]
