@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import BOUNDARIES, available, boundary_cut, first_words, token_estimate
+from ..functions.text import BOUNDARIES, available, boundary_cut, first_words, fitting_parts, token_estimate
 
 #: Sizes, relevance by type, multiplier by priority, expected fields by type.
 OVERLAP_WORDS, LARGEST = 135, 500
@@ -17,8 +17,11 @@ EXPECTED = {"primary": ("name", "type", "category"), "metric": ("expense_ratio",
 Part = tuple[str, str, str, str, tuple[tuple[str, str, Column], ...]]  # id, type, priority, title, (field, label, value)
 
 
-def typed_chunks(records: DataFrame, key: str, parts: tuple[Part, ...], largest: int = LARGEST) -> DataFrame:
-    """One row a non-empty part of each record: key, chunk_no, chunk_id, chunk_type, priority, content, source_fields, token_count."""
+def typed_chunks(records: DataFrame, key: str, parts: tuple[Part, ...], largest: int = LARGEST, long: Part | None = None) -> DataFrame:
+    """One row a non-empty part of each record: key, chunk_no, chunk_id, chunk_type, priority, content, source_fields, token_count.
+
+    A part is cut at a boundary; the ``long`` one, of one field, comes last and becomes as many chunks as its text needs,
+    their numbers appended to its id."""
 
     def one(n: int, part: Part) -> Column:
         name, kind, priority, title, fields = part
@@ -27,7 +30,18 @@ def typed_chunks(records: DataFrame, key: str, parts: tuple[Part, ...], largest:
         content = boundary_cut(F.concat(F.lit(f"{title}:\n"), F.array_join(lines, "\n")), largest)
         return F.struct(F.lit(n).alias("chunk_no"), F.lit(name).alias("chunk_id"), F.lit(kind).alias("chunk_type"), F.lit(priority).alias("priority"), F.when(F.size(lines) > 0, content).alias("content"), used.alias("source_fields"))
 
-    rows = records.select(key, F.explode(F.array(*(one(n, p) for n, p in enumerate(parts, 1)))).alias("c")).select(key, "c.*")
+    def many(n: int, part: Part) -> Column:
+        name, kind, priority, title, ((field, label, value),) = part
+        before = f"{title}:\n{label}: "
+        texts = F.when(available(value), fitting_parts(value, 4 * largest + 3 - len(before)))
+        return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t, i: F.struct(
+            (i + n).alias("chunk_no"), F.format_string("%s_%03d", F.lit(name), i + 1).alias("chunk_id"), F.lit(kind).alias("chunk_type"), F.lit(priority).alias("priority"), F.concat(F.lit(before), t).alias("content"), F.array(F.lit(field)).alias("source_fields"),
+        ))
+
+    chunks = F.array(*(one(n, p) for n, p in enumerate(parts, 1)))
+    if long:
+        chunks = F.concat(chunks, many(len(parts) + 1, long))
+    rows = records.select(key, F.explode(chunks).alias("c")).select(key, "c.*")
     return rows.where("content is not null").withColumn("token_count", token_estimate(F.col("content")))
 
 

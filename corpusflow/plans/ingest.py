@@ -31,15 +31,15 @@ def fields(clean: DataFrame) -> DataFrame:
 
 
 def page_chunks(records: DataFrame) -> DataFrame:
-    """Typed chunks of each page with neighbours' context, scores and the text that is embedded."""
+    """Typed chunks of each page, its whole text among them, with neighbours' context, scores and the text that is embedded."""
     c = F.col
     parts = (
         ("primary_001", "primary", "high", "Overview", (("name", "Name", c("name")), ("type", "Type", c("type")), ("category", "Risk Level", c("riskometer")))),
         ("metric_001", "metric", "high", "Cost Information", (("expense_ratio", "Expense Ratio", c("expense_ratio")), ("exit_load", "Exit Load", c("exit_load")))),
         ("metric_002", "metric", "high", "Investment Information", (("min_sip", "Minimum SIP", c("min_sip")), ("nav", "Current NAV", c("nav")))),
-        ("overview_001", "overview", "medium", "Details", (("description", "Text", c("text")),)),
     )
-    rows = K.with_neighbours(K.typed_chunks(records, "url", parts), "url", "chunk_no")
+    text = ("overview", "overview", "medium", "Details", (("description", "Text", c("text")),))
+    rows = K.with_neighbours(K.typed_chunks(records, "url", parts, long=text), "url", "chunk_no")
     prepared = T.expand_abbreviations(F.concat(F.lit("Page: "), "url", F.lit(" | Type: "), "chunk_type", F.lit(" | "), "with_context"))
     return rows.withColumns({
         "id": F.concat_ws("#", "url", "chunk_id"), "completeness": K.chunk_completeness(c("chunk_type"), c("source_fields")), "relevance": K.relevance(c("chunk_type"), c("priority")), "embedded_text": prepared,

@@ -120,6 +120,18 @@ def pages(spark, n, words=60):
     return spark.createDataFrame([*html, ("https://bad.org/", "<p>404 Not Found</p>")], "url string, html string")
 
 
+def test_long_pages_are_chunked_whole(spark):
+    said = " ".join(f"Sentence {i} has word{i} in it." for i in range(400)) + " " + "x" * 5000 + " end"
+    html = f"<html><body><h1>Title</h1><p>{said}</p></body></html>"
+    found = ingest.transform(spark.createDataFrame([("u", html)], "url string, html string")).where("chunk_type = 'overview'").orderBy("chunk_id").collect()
+    assert [r["chunk_id"] for r in found] == [f"overview_{i:03d}" for i in range(1, len(found) + 1)] and len(found) > 8
+    assert all(r["token_count"] <= 500 and r["content"].startswith("Details:\nText: ") and r["vector"] for r in found)
+    texts = [r["content"].removeprefix("Details:\nText: ") for r in found]
+    whole = ingest.cleaned(spark.createDataFrame([("u", html)], "url string, html string")).first()["text"]
+    assert "".join("".join(texts).split()) == "".join(whole.split()) and "word399" in whole
+    assert texts[0].endswith("it.")
+
+
 def test_gate_leaves_the_published_version(spark, tmp_path):
     c = Collection(spark, f"file://{tmp_path}/c")
     loose = {"sources": 3, "success_rate": 50, "document_count": 4}
