@@ -4,6 +4,7 @@ import itertools
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.llm import chat
 from corpusflow.llm.tokencounts import DEFAULT_RANKS, encoding
@@ -54,7 +55,7 @@ def test_read_back_equals_brute_force(spark):
 
 def test_forest(spark):
     """Each distinct prefix stands once; starts tile a tree depth first; position ids and intervals follow the ancestors."""
-    turns = chat.turns_of(chat.conversations_of(spark.createDataFrame(conversations(), SCHEMA)))
+    turns = chat.turns_of(spark.createDataFrame(conversations(), SCHEMA))
     nodes = {r["node"]: r for r in chat.prefix_forest(turns).collect()}
     assert len(nodes) == len({r["node"] for r in turns.collect()}) < turns.count()
     enc, _ = encoding(DEFAULT_RANKS)
@@ -81,5 +82,25 @@ def test_forest(spark):
             open_path.append(r["node"])
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "date"])
+def test_ids_of_any_type(spark, kind):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (None, 0, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.withColumn("conv_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("conv_id").cast("int")) if kind == "date" else F.col("conv_id").cast(kind))
+    got = chat.formatted_conversations(df)
+    assert dict(got.dtypes)["conv_id"] == kind
+    assert sorted(r["n_turns"] for r in got.collect()) == [1, 1, 2]
+
+
+def test_one_conversation_of_most_rows(spark):
+    """Its turns are spread over range partitions; equal rows stay turns of their own."""
+    rows = [(5, i // 3, "user" if i % 2 else "assistant", f"t {i % 7}", "n", "p") for i in range(3000)] + [(5, 1, "user", "same", "n", "p")] * 1500 + [(i, 0, "assistant", "t 0", "n", "p") for i in range(10, 60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    turns = chat.turns_of(df)
+    assert max(r["count"] for r in turns.groupBy("part").count().collect()) < 0.5 * len(rows)
+    got = sorted((tuple(r) for r in chat.formatted_conversations(df).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()), key=repr)
+    assert got == brute(rows)
+
+
 def test_empty(spark):
     assert chat.formatted_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
