@@ -14,8 +14,9 @@ words or ``BLOCK_NODES`` texts are split into blocks, and each pair of blocks is
 counts and a spanning forest, never pairs.
 
 Defined cases: texts that are null or have no words are linked to nothing and are classes of their own; identical texts
-share a class and count as one node; repeated rows are copies; an empty table gives an empty table; other columns are
-not read (``one_of_each`` passes them through).
+share a class and count as one node; repeated rows are copies; an empty table gives an empty table; a very long text is
+hashed slice by slice and kept as the hashes of its shingles, 8 bytes each; other columns are not read (``one_of_each``
+passes them through, whatever their names).
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ TREES, DEPTH, TARGET_RECALL = 20, 8, 0.9995
 SKETCH_LEAST = 0.6
 BLOCK_WORDS, BLOCK_NODES, BIN_WORDS = 200_000, 1000, 100_000
 RUN_NODES, BIN_NODES = 2000, 20_000
+#: Shingles that are hashed into sketches at once.
+SKETCH_AT_ONCE = 1 << 17
 
 _rng = np.random.default_rng(5)
 _ODD = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,7 +63,7 @@ def prefix_depth(threshold: float = THRESHOLD, target: float = TARGET_RECALL, tr
 def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit shingle hashes (with repeats), their text numbers in order, and the number of words of each text."""
     starts, ends, of = ta.words(buf, offs)
-    h = ta.Hasher(buf)(starts, ends)
+    h = ta.hashes(buf, starts, ends)
     n_words = np.bincount(of, minlength=len(offs) - 1)
     at = np.flatnonzero(of[WORDS - 1 :] == of[: len(of) - WORDS + 1]) if len(of) >= WORDS else np.zeros(0, np.int64)
     value = np.zeros(len(at), np.uint64)
@@ -81,12 +84,14 @@ def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def sketches(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """TREES * DEPTH 16-bit MinHash values of each text, big-endian; zeros for texts without shingles."""
-    out = np.zeros((n, TREES * DEPTH), ">u2")
-    if len(values):
-        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    least = np.full((n, TREES * DEPTH), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(values), SKETCH_AT_ONCE):
+        some, whose = values[a : a + SKETCH_AT_ONCE], of[a : a + SKETCH_AT_ONCE]
+        first = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
         for p in range(TREES * DEPTH):
-            least = np.minimum.reduceat((values ^ _XOR[p]) * _TIMES[p], first)
-            out[of[first], p] = (ta.mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
+            least[whose[first], p] = np.minimum(least[whose[first], p], np.minimum.reduceat((some ^ _XOR[p]) * _TIMES[p], first))
+    out = (ta.mix(least) & np.uint64(0xFFFF)).astype(">u2")
+    out[np.bincount(of, minlength=n) == 0] = 0
     return out
 
 
@@ -119,7 +124,8 @@ def runs(signs: DataFrame, depth: int) -> DataFrame:
     in_run = signs.select("node", F.posexplode(label).alias("tree", "run"))
     ranked = in_run.withColumn("rank", F.xxhash64("node", "tree"))
     pivots = ranked.groupBy("run").agg(F.min(F.struct("rank", "node")).alias("p"), F.count("*").alias("n")).where("n > 1").select("run", F.col("p.node").alias("pivot"))
-    return in_run.join(pivots, "run").select("run", "node", "pivot")
+    # Written, so that the join deals both sides anew and a very large run can be split over tasks.
+    return in_run.join(written(pivots, "run-pivots"), "run").select("run", "node", "pivot")
 
 
 def pivot_pairs(signs: DataFrame, members: DataFrame) -> DataFrame:
@@ -170,11 +176,11 @@ def candidates(signs: DataFrame, depth: int) -> DataFrame:
     """(node, component): nodes connected by agreement with any other node of any of their runs."""
     members = written(runs(signs, depth), "runs")
     first = written(connected_components(written(pivot_pairs(signs, members), "pivots")), "first")
-    named = members.join(first, "node", "left").select("run", "node", F.coalesce("root", "node").alias("component"))
+    named = written(members.join(first, "node", "left").select("run", "node", F.coalesce("root", "node").alias("component")), "named")
     mark = F.xxhash64("component")
     mixed = named.groupBy("run").agg(F.count("*").alias("n"), F.min(mark).alias("least"), F.max(mark).alias("most")).where("least <> most")
     parts = F.ceil(F.col("n") / RUN_NODES)
-    open_runs = written(named.join(mixed.select("run", parts.alias("parts")), "run"), "open")
+    open_runs = written(named.join(written(mixed.select("run", parts.alias("parts")), "mixed-runs"), "run"), "open")
     bins = max(1, open_runs.count() // BIN_NODES)
     placed = open_runs.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection share are measured on a bounded sample of texts; the rules then run in the order of
-rejections per second, and a rule sees only the texts that every rule before it has kept. A text is kept if it passes
-the base rules and all cascade rules, so the order changes the time and never the verdict.
-
-Defined cases: a null text has no words and fails the base rule; an empty table gives an empty table; repeated rows
-give repeated results; columns other than the id and the text are not read (``quality_filter`` passes them through).
+Each rule's cost and rejection share are measured by the executors on a bounded sample of whole texts; the rules then run
+in the order of rejections per second, and a rule sees only the texts that every rule before it has kept. What a rule
+counts is counted when it first asks, so ``quality_filter`` spends nothing on the costly counts of rejected texts. A text
+is kept if it passes the base rules and all others, so the order changes the time and never the verdict.
+
+Defined cases: a null text has no words and fails the base rule; an empty table gives an empty table; repeated rows give
+repeated results; a very long text is counted whole, slice by slice, with some bytes of work a byte; columns other than
+the id and the text are not read (``quality_filter`` passes them through).
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 
-#: Rows of the sample that cost and selectivity are measured on, and the longest text in it, so that the sample has a
-#: bounded size. Only the order of the rules depends on it.
-SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
+#: Expected rows of the sample that cost and selectivity are measured on. Only the order of the rules depends on it.
+SAMPLE_ROWS = 1000
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -38,10 +39,18 @@ _ALPHA[0xE2] = False
 
 
 class Texts:
-    """Some texts of a batch with the base counts; other features are computed when a rule asks."""
+    """Some texts of a batch. Counts and words are computed when they are first asked for."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, known: dict | None = None):
+        self.buf, self.offs, self._known = buf, offs, known or {}
+
+    def __len__(self) -> int:
+        return len(self.offs) - 1
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, base: dict[str, np.ndarray]):
-        self.buf, self.offs, self.base = buf, offs, base
+    def __getitem__(self, name: str):
+        if name not in self._known:
+            self._known[name] = COMPUTED[name](self)
+        return self._known[name]
 
     def take(self, keep: np.ndarray) -> Texts:
         rows = np.flatnonzero(keep)
@@ -49,55 +58,75 @@ class Texts:
             return self
         lengths = np.diff(self.offs)[rows]
         offs = np.concatenate(([0], np.cumsum(lengths)))
-        index = np.repeat(self.offs[rows] - offs[:-1], lengths) + np.arange(offs[-1])
-        return Texts(self.buf[index], offs, {k: v[rows] for k, v in self.base.items()})
-
-
-def base_counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words of each text."""
-    n = len(offs) - 1
-    solid = ~ta.SPACE[buf]
-    starts, ends, of = ta.words(buf, offs)
-    hashed = ta.Hasher(buf)
-    h = hashed(starts, ends)
-    a, b, line_of = ta.lines(buf, offs)
-    inked = np.concatenate(([0], np.cumsum(solid)))
-    worded = inked[b] > inked[a]
-    a, b, line_of = a[worded], b[worded], line_of[worded]
-    _, first = ta.repeated(hashed(a, b) ^ ta.mix(line_of.astype(np.uint64) + np.uint64(1)))
+        parts = [self.buf[a:b] for a, b in zip(self.offs[rows], self.offs[rows + 1], strict=True)]
+        return Texts(np.concatenate(parts) if parts else self.buf[:0], offs, {k: v[rows] for k, v in self._known.items() if k in COUNTS})
+
+
+def _words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return ta.words(t.buf, t.offs)
+
+
+def _lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Lines with a word, and those that equal an earlier one, of each text."""
+    word_starts = t["words"][0]
+    a, b, of = ta.lines(t.buf, t.offs)
+    worded = np.searchsorted(word_starts, b) > np.searchsorted(word_starts, a)
+    a, b, of = a[worded], b[worded], of[worded]
+    _, first = np.unique(ta.hashes(t.buf, a, b) ^ ta.mix(of.astype(np.uint64) + np.uint64(1)), return_index=True)
+    n = np.bincount(of, minlength=len(t))
+    return n, n - np.bincount(of[first], minlength=len(t))
+
+
+def _repeat_words(t: Texts) -> np.ndarray:
+    """Words in three-word windows that the text holds twice or more."""
+    starts, ends, of = t["words"]
+    h = ta.hashes(t.buf, starts, ends)
     three = np.flatnonzero(of[2:] == of[:-2]) if len(of) > 2 else np.zeros(0, np.int64)
-    key = h[three] + ta.mix(h[three + 1] + np.uint64(3)) * np.uint64(5) + ta.mix(h[three + 2] + np.uint64(7)) * np.uint64(11)
-    again, _ = ta.repeated(ta.mix(key) ^ ta.mix(of[three].astype(np.uint64) + np.uint64(1)))
+    key = h[three] + ta.mix(h[three + 1] + np.uint64(3)) * np.uint64(5)
+    key += ta.mix(h[three + 2] + np.uint64(7)) * np.uint64(11)
+    again = three[ta.repeated(ta.mix(key) ^ ta.mix(of[three].astype(np.uint64) + np.uint64(1)))]
     covered = np.zeros(len(of), bool)
     for k in range(3):
-        covered[three[again] + k] = True
-    return {
-        "n_words": np.bincount(of, minlength=n),
-        "word_chars": ta.per_text(solid & ((buf & 0xC0) != 0x80), offs),
-        "n_symbols": ta.per_text(SYMBOL[buf], offs),
-        "n_lines": np.bincount(line_of, minlength=n),
-        "n_dup_lines": np.bincount(line_of[~first], minlength=n),
-        "n_repeat_words": np.bincount(of[covered], minlength=n),
-    }
+        covered[again + k] = True
+    return np.bincount(of[covered], minlength=len(t))
+
+
+COMPUTED: dict[str, Callable[[Texts], object]] = {
+    "words": _words,
+    "lines": _lines,
+    "n_words": lambda t: np.bincount(t["words"][2], minlength=len(t)),
+    "word_chars": lambda t: ta.per_text(~ta.SPACE[t.buf] & ((t.buf & 0xC0) != 0x80), t.offs),
+    "n_symbols": lambda t: ta.per_text(SYMBOL[t.buf], t.offs),
+    "n_lines": lambda t: t["lines"][0],
+    "n_dup_lines": lambda t: t["lines"][1],
+    "n_repeat_words": _repeat_words,
+}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
-    return (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
+def too_few_words(t: Texts) -> np.ndarray:
+    """Base rule: fewer than 50 words."""
+    return t["n_words"] < 50
+
+
+def too_repetitive(t: Texts) -> np.ndarray:
+    """Base rule: more than half of the words stand in repeated windows of three."""
+    return 100 * t["n_repeat_words"] > 50 * t["n_words"]
 
 
 def too_many_symbols(t: Texts) -> np.ndarray:
     """More than one symbol character for ten words."""
-    return 10 * t.base["n_symbols"] > t.base["n_words"]
+    return 10 * t["n_symbols"] > t["n_words"]
 
 
 def too_many_repeated_lines(t: Texts) -> np.ndarray:
     """More than 35 % of the lines are copies of an earlier line."""
-    return 100 * t.base["n_dup_lines"] > 35 * t.base["n_lines"]
+    return 100 * t["n_dup_lines"] > 35 * t["n_lines"]
 
 
 def odd_word_length(t: Texts) -> np.ndarray:
     """Words of fewer than 2.5 or more than 12 characters on average."""
-    chars, n = t.base["word_chars"], t.base["n_words"]
+    chars, n = t["word_chars"], t["n_words"]
     return (2 * chars < 5 * n) | (chars > 12 * n)
 
 
@@ -108,12 +137,13 @@ def shouting(t: Texts) -> np.ndarray:
 
 def few_alphabetic_words(t: Texts) -> np.ndarray:
     """Fewer than 80 % of the words hold a letter."""
-    starts, ends, of = ta.words(t.buf, t.offs)
-    seen = np.concatenate(([0], np.cumsum(_ALPHA[t.buf])))
-    alphabetic = np.bincount(of[seen[ends] > seen[starts]], minlength=len(t.offs) - 1)
-    return 100 * alphabetic < 80 * t.base["n_words"]
+    starts, ends, of = t["words"]
+    letters = np.flatnonzero(_ALPHA[t.buf])
+    alphabetic = np.bincount(of[np.searchsorted(letters, ends) > np.searchsorted(letters, starts)], minlength=len(t))
+    return 100 * alphabetic < 80 * t["n_words"]
 
 
+BASE_RULES: tuple[Callable[[Texts], np.ndarray], ...] = (too_few_words, too_repetitive)
 RULES: tuple[Callable[[Texts], np.ndarray], ...] = (too_many_symbols, too_many_repeated_lines, odd_word_length, shouting, few_alphabetic_words)
 
 
@@ -129,65 +159,73 @@ class RuleEstimate:
 
 
 def estimate(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[RuleEstimate]:
-    """Cost and rejection share of each rule on up to ``sample_rows`` texts, best first."""
-    sample = pa.array([r[0] for r in docs.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).limit(sample_rows).collect()], pa.string())
-    if not len(sample):
-        return [RuleEstimate(r, 1.0, 0.0) for r in rules]
-    buf, offs = ta.buffers(sample)
-    t = Texts(buf, offs, base_counts(buf, offs))
-    found = []
-    for rule in rules:
-        rule(t)
-        began = time.perf_counter()
-        rejected = rule(t)
-        found.append(RuleEstimate(rule, time.perf_counter() - began, float(rejected.mean())))
+    """Cost and rejection share of each rule on about ``sample_rows`` texts, best first. Seven numbers or so come to the driver."""
+    total = docs.count()
+    sample = docs.select(docs[text_col].alias("text")).sample(min(1.0, sample_rows / max(total, 1)), seed=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spent, rejected, seen = [0.0] * len(rules), [0] * len(rules), 0
+        for batch in batches:
+            for part in ta.chunks(batch, "text"):
+                buf, offs = ta.buffers(part.column("text"))
+                seen += len(offs) - 1
+                for i, rule in enumerate(rules):
+                    began = time.perf_counter()
+                    rejected[i] += int(rule(Texts(buf, offs)).sum())
+                    spent[i] += time.perf_counter() - began
+        columns = [pa.array(range(len(rules)), pa.int32()), pa.array(spent), pa.array(rejected, pa.int64()), pa.array([seen] * len(rules), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["rule", "seconds", "rejected", "seen"])
+
+    measured = sample.mapInArrow(run, "rule int, seconds double, rejected long, seen long").groupBy("rule").agg(F.sum("seconds"), F.sum("rejected"), F.sum("seen"))
+    by = {r[0]: r for r in measured.collect()}
+    found = [RuleEstimate(rule, by[i][1], by[i][2] / max(by[i][3], 1)) if i in by else RuleEstimate(rule, 1.0, 0.0) for i, rule in enumerate(rules)]
     return sorted(found, key=lambda e: -e.worth)
 
 
-def verdicts(column: pa.Array, rules) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Base counts, base_failed and kept of one Arrow column, by the cascade in the given order."""
-    buf, offs = ta.buffers(column)
-    base = base_counts(buf, offs)
-    failed = base_failed(base)
-    kept = ~failed
-    alive, t = np.flatnonzero(kept), Texts(buf, offs, base).take(kept)
+def cascade(t: Texts, rules, alive: np.ndarray) -> np.ndarray:
+    """Which texts pass all rules, of those that are alive; each rule sees what the ones before have kept."""
+    kept, rows = np.zeros(len(t), bool), np.flatnonzero(alive)
+    t = t.take(alive)
     for rule in rules:
-        if not len(alive):
+        if not len(rows):
             break
         good = ~rule(t)
-        kept[alive[~good]] = False
-        alive, t = alive[good], t.take(good)
-    return base, failed, kept
-
-
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        rows, t = rows[good], t.take(good)
+    kept[rows] = True
+    return kept
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row a document: id, counts, base_failed, kept."""
     order = [e.rule for e in estimate(docs, text_col, rules, sample_rows)]
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.chunks(batch, "text"):
-                base, failed, kept = verdicts(part.column("text"), order)
-                columns = [part.column("id"), *(pa.array(base[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, *COUNTS, "base_failed", "kept"])
+                t = Texts(*ta.buffers(part.column("text")))
+                counts = [pa.array(t[c], pa.int64()) for c in shown]
+                failed = too_few_words(t) | too_repetitive(t)
+                kept = cascade(t, order, ~failed)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *counts, pa.array(failed), pa.array(kept)], [id_col, *shown, "base_failed", "kept"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in shown) + ", base_failed boolean, kept boolean")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The kept documents with all their columns."""
-    order = [e.rule for e in estimate(docs, text_col, rules, sample_rows)]
+    """The kept documents with all their columns. The base rules take part in the cascade."""
+    order = [e.rule for e in estimate(docs, text_col, (*BASE_RULES, *rules), sample_rows)]
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
-            kept = [verdicts(part.column("text"), order)[2] for part in ta.chunks(texts, "text")]
+            kept = []
+            for part in ta.chunks(texts, "text"):
+                t = Texts(*ta.buffers(part.column("text")))
+                kept.append(cascade(t, order, np.ones(len(t), bool)))
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 

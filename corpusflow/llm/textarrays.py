@@ -2,11 +2,13 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, that is ``[^\\x20\\x09-\\x0D]+``.
 Hashes are 64-bit prefix polynomials with a random value per byte; equal strings have equal hashes, and
-different ones differ but for a chance of about 2**-64 a pair.
+different ones differ but for a chance of about 2**-64 a pair. They are taken slice by slice, so a very long text needs
+some bytes of work a byte and not a hundred.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +20,20 @@ CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once.
+SLICE_BYTES = 1 << 20
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for k, base in enumerate((_BASE, inverse)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0][:n], _powers[1][:n]
+@functools.cache
+def powers(n: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n of the base and of its inverse."""
+    inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+    tables = []
+    for base in (_BASE, inverse):
+        table = np.full(n + 1, base, np.uint64)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table))
+    return tables[0], tables[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,22 +73,29 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 
 def per_text(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """How many True each text has."""
+    if len(offs) == 2:
+        return np.array([np.count_nonzero(mask[offs[0] : offs[1]])], np.int64)
     total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
     return total[offs[1:]] - total[offs[:-1]]
 
 
-class Hasher:
-    """Hashes of byte ranges of one buffer."""
-
-    def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        power, self._inverse = _power_tables(n + 1)
-        self._prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * power[:n], out=self._prefix[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self._prefix[ends] - self._prefix[starts]) * self._inverse[starts]
-        return mix(h ^ (ends - starts).astype(np.uint64))
+def hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges that follow one another; ``values`` are bytes, or 64-bit hashes of longer units."""
+    out = np.zeros(len(starts), np.uint64)
+    power, inverse = powers()
+    for a in range(0, len(values), SLICE_BYTES):
+        part = values[a : a + SLICE_BYTES]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_BYTE[part] if part.dtype == np.uint8 else part) * power[: len(part)], out=prefix[1:])
+        i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, a + len(part), "left")
+        if i == j:
+            continue
+        low, high = np.maximum(starts[i:j] - a, 0), np.minimum(ends[i:j] - a, len(part))
+        h = (prefix[high] - prefix[low]) * inverse[low]
+        if starts[i] < a:  # goes on from the slice before
+            h[:1] *= np.uint64(pow(int(_BASE), int(a - starts[i]), 2**64))
+        out[i:j] += h
+    return mix(out ^ (ends - starts).astype(np.uint64))
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,12 +124,10 @@ def lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts[a], ends[b], text[a]
 
 
-def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flags: an equal key stands anywhere else; this is the first of its kind."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    any_other, first = np.zeros(len(keys), bool), np.ones(len(keys), bool)
-    any_other[order[1:][same]] = True
-    any_other[order[:-1][same]] = True
-    first[order[1:][same]] = False
-    return any_other, first
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Flags: an equal key stands anywhere else."""
+    order = np.sort(keys)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    if not len(twice):
+        return np.zeros(len(keys), bool)
+    return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys

@@ -93,6 +93,47 @@ def test_prefixes_are_shortened_to_the_target():
     assert neardup.prefix_depth(target=0.5) == neardup.DEPTH
 
 
+def test_sketches_do_not_depend_on_slices(monkeypatch):
+    texts = ["", prose(30, 1), prose(4000, 2), "a b", prose(700, 3)]
+    data = [t.encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data])
+    values, of, _ = neardup.shingles(buf, offs)
+    whole = neardup.sketches(values, of, len(texts))
+    monkeypatch.setattr(neardup, "SKETCH_AT_ONCE", 100)
+    assert (neardup.sketches(values, of, len(texts)) == whole).all() and not whole[0].any() and whole[1].any()
+    single = [neardup.shingles(np.frombuffer(d, np.uint8), np.array([0, len(d)]))[0] for d in data]
+    assert all((values[of == i] == s).all() for i, s in enumerate(single))
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes, with and without blanks, meet their near copies."""
+    rng = np.random.default_rng(3)
+    w = [f"w{x:x}" for x in rng.integers(0, 2**40, 300_000).tolist()]
+    long = " ".join(w)
+    edits = " ".join(x if i % 60 else "edited" for i, x in enumerate(w))
+    blob = "x" * 3_000_000
+    pairs = [(1, long), (2, edits), (3, blob), (4, blob), (5, blob + "y"), (6, " ".join(reversed(w)))]
+    got = collected(neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")))
+    assert got == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 0, 2), (4, 3, 0, 2), (5, 5, 0, 1), (6, 6, 0, 1)]
+
+
+def test_recall_on_documents_of_shared_passages(spark):
+    """Documents made of passages that stand in many others: linked pairs end in one class."""
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{x:x}" for x in rng.integers(0, 2**40, 30).tolist()) for _ in range(60)]
+    own = lambda n: " ".join(f"o{x:x}" for x in rng.integers(0, 2**40, n).tolist())
+    pairs, linked = [], 300
+    for i in range(linked):
+        body = " ".join(rng.choice(passages, 3)) + " " + own(30)
+        pairs += [(2 * i, body + " " + own(9)), (2 * i + 1, body + " " + own(9))]
+    pairs += [(10_000 + i, " ".join(rng.choice(passages, 2)) + " " + own(100)) for i in range(600)]
+    sets = {i: shingles(t) for i, t in pairs}
+    links = [(2 * i, 2 * i + 1) for i in range(linked) if 5 * len(sets[2 * i] & sets[2 * i + 1]) >= 4 * len(sets[2 * i] | sets[2 * i + 1])]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert len(links) > 150 and sum(got[a] == got[b] for a, b in links) >= 0.999 * len(links)
+    assert sum(got[10_000 + i] == 10_000 + i for i in range(600)) > 590
+
+
 def test_overlaps():
     rng = np.random.default_rng(1)
     left, right = ([np.unique(rng.integers(0, 5000, 900).astype(np.uint64)) for _ in range(n)] for n in (7, 5))

@@ -69,6 +69,52 @@ def test_a_row_does_not_depend_on_its_batch(lex):
     assert together == [run(lex, [t], keys[i : i + 1])[0][0] for i, t in enumerate(some)]
 
 
+def unspaced(n, seed=5):
+    rng = np.random.default_rng(seed)
+    return "".join(rng.choice(list("abcdefghiklmnoprstu"), n))
+
+
+def test_long_units_are_drawn_as_short_ones(lex, monkeypatch):
+    """Alone and block by block, or level by level: the same sums and the same draws."""
+    some = [unspaced(9000), unspaced(2500) + " two words " + unspaced(3000), "漢" * 3000 + unspaced(2100)]
+    together = run(lex, some)[0]
+    monkeypatch.setattr(pieces, "UNIT_BLOCK", 700)
+    assert run(lex, some)[0] == together
+    monkeypatch.setattr(pieces, "LONG_UNIT", 1 << 40)
+    assert run(lex, some)[0] == together
+
+
+def test_slices_of_a_long_text_change_nothing(lex, monkeypatch):
+    some = [" ".join(unspaced(k % 9 + 1, k) for k in range(4000)) + "  \u2581 é漢🎉 " * 200 + unspaced(6000) + " end "]
+    whole = run(lex, some)
+    monkeypatch.setattr(pieces, "CHUNK_BYTES", 1000)
+    assert run(lex, some) == whole and whole[1] == some
+
+
+def test_very_long_texts(lex):
+    prose, blob = "some words of prose, again and again. " * 300_000, unspaced(1_000_000)
+    for text in (prose, blob):
+        ids, offs = pieces.encode(lex, pa.array([text]), np.array([7], np.uint64))
+        assert pieces.decode(lex, ids, offs)[0].tobytes().decode() == text
+
+
+def test_log_probabilities_are_used_as_they_are(lex):
+    plain = pieces.lexicon(pieces.DEFAULT_MODEL, zipf=False)
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    some = [i for i in range(1000, 1100) if lex.weight[i] > -np.inf]
+    assert [plain.weight[i] for i in some] == pytest.approx([max(model.get_score(i), -model.get_piece_size()) for i in some])
+    assert run(plain, ["hello world ▁"])[1] == ["hello world ▁"]
+
+
+def test_decoding_a_table(spark):
+    docs = documents(spark)
+    back = pieces.decoded_texts(pieces.sample_pieces(docs))
+    assert collected(back) == collected(docs.select("doc_id", "text"))
+    assert pieces.decoded_texts(pieces.sample_pieces(empty(spark))).count() == 0
+
+
 def test_query_rows(spark):
     docs = documents(spark)
     a = collected(pieces.sample_pieces(docs, keep=("lang",)))

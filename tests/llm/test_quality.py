@@ -1,7 +1,12 @@
 import collections
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from corpusflow.llm import quality
+from corpusflow.llm import textarrays as ta
 
 from .data import collected, documents, empty, rows
 
@@ -44,6 +49,7 @@ def test_estimates_put_worth_first(spark):
     found = quality.estimate(documents(spark))
     assert [e.worth for e in found] == sorted((e.worth for e in found), reverse=True)
     assert {e.rule for e in found} == set(quality.RULES)
+    assert all(e.seconds > 0 and 0 <= e.rejected <= 1 for e in found)
 
 
 def test_filter_passes_whole_rows(spark):
@@ -51,6 +57,29 @@ def test_filter_passes_whole_rows(spark):
     assert kept == sorted((r for r in rows() if brute(r[1])[-1]), key=repr)
 
 
+def test_a_rejected_text_costs_no_count():
+    """A rule sees only what the rules before it have kept, and what it counts is counted then."""
+    texts = ["few words"] * 5 + [rows()[0][1]]
+    seen = []
+
+    def spy(t):
+        seen.append(len(t))
+        return quality.too_many_repeated_lines(t)
+
+    buf, offs = ta.buffers(pa.array(texts))
+    t = quality.Texts(buf, offs)
+    kept = quality.cascade(t, (quality.too_few_words, spy), np.ones(6, bool))
+    assert kept.tolist() == [False] * 5 + [True] and seen == [1] and "lines" not in t._known
+
+
+@pytest.mark.parametrize("text", ["words of prose and more\n" * 40_000, "x" * 3_000_000, ("ab " * 70_000 + "\n") * 3, "é" * 600_000 + " " + "y " * 60 + "é" * 600_000], ids=range(4))
+def test_slices_of_a_very_long_text_change_nothing(monkeypatch, text):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    t = quality.Texts(*ta.buffers(pa.array([text])))
+    got = tuple(int(t[n][0]) for n in names)
+    assert got == brute(text)[:5]
+
+
 def test_empty(spark):
     assert quality.quality_report(empty(spark)).count() == 0
     assert quality.quality_filter(empty(spark)).count() == 0
