@@ -1,15 +1,16 @@
 """Secret scans through a trigram inverted index, in DataFrame operations only.
 
 For each rule a Boolean trigram query is derived from its regular expression: a conjunction of clauses, each clause a
-disjunction of strings of which one must occur, each string a conjunction of its trigrams. The index holds postings
-(trigram, text key) for the trigrams that some rule asks for. Postings are intersected by counting, a text becomes a
-candidate of a rule if every clause has a string with all its trigrams, and only candidates are verified by the regular
-expression. Rules without a mandatory trigram (a run of hex digits) scan every text.
-
-A text key is the row's id with a 64-bit hash of its text; equal keys of different texts would only add candidates.
+disjunction of strings of which one must occur, each string a conjunction of trigrams that cover it. The inverted index
+is partitioned by document: a row holds its own part of the posting list of every trigram that some rule asks for, one
+flag a list. Intersecting posting lists is then a test within the row, and neither texts nor postings are shuffled. A
+text is a candidate of a rule if every clause has a string with all its trigrams, and only candidates are verified by
+the regular expression. Rules without a mandatory trigram (a run of hex digits) scan every text. ``inverted`` gives the
+same postings as a table (trigram, id), for an index that is kept.
 
 Defined cases: a null text is empty and has no spans; repeated rows give repeated results; an empty table gives an empty
-table; only the id and the text column are read (``redact`` passes the others through). Positions count code points.
+table; a very long text is one row and is scanned whole; only the id and the text column are read (``redact`` passes the
+others through, whatever their names). Positions count code points.
 """
 
 from __future__ import annotations
@@ -111,7 +112,8 @@ def _walk(tree) -> tuple[set[str] | None, Clauses]:
 
 
 def trigrams(string: str) -> frozenset[str]:
-    return frozenset(string[i : i + 3] for i in range(len(string) - 2))
+    """Trigrams that cover a string: every third one and the last."""
+    return frozenset(string[i : i + 3] for i in {*range(0, len(string) - 2, 3), len(string) - 3} if i >= 0)
 
 
 def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
@@ -119,34 +121,43 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     _, clauses = _walk(regex_parser.parse(pattern))
     found = []
     for clause in dict.fromkeys(clauses):
-        sets = {trigrams(s) for s in clause}
+        shortest = {s for s in clause if not any(t != s and t in s for t in clause)}  # the others hold one of these
+        sets = {trigrams(s) for s in shortest}
         if frozenset() not in sets:
-            least = {a for a in sets if not any(b < a for b in sets)}  # a set with fewer trigrams holds whenever a larger one does
-            found.append(tuple(sorted(least, key=sorted)))
+            found.append(tuple(sorted(sets, key=sorted)))
     return [list(x) for x in dict.fromkeys(found)]
 
 
-def text_key(id_col: Column, text: Column) -> Column:
-    return F.struct(F.coalesce(id_col.cast("string"), F.lit("")).alias("id"), F.xxhash64(text).alias("hash"))
+def wanted_trigrams(rules: Sequence[Rule]) -> list[str]:
+    return sorted({t for r in rules for clause in trigram_query(r.pattern) for s in clause for t in s})
+
 
+def posted(low: Column, wanted: Sequence[str]) -> Column:
+    """A lower-cased text's part of the posting lists: a flag for each of the wanted trigrams."""
+    return F.array(*(F.contains(low, F.lit(t)) for t in wanted)) if wanted else F.array().cast("array<boolean>")
 
-def postings(keyed: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """(trigram, key) of the wanted trigrams in the lower-cased texts."""
-    lowered = keyed.select("key", F.lower("text").alias("low"))
-    there = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted)))
-    return lowered.select("key", F.explode(there).alias("trigram"))
 
+def inverted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The index as a table: (trigram, id) for the trigrams that the rules ask for."""
+    wanted = wanted_trigrams(rules)
+    low = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    lists = F.arrays_zip(F.array(*map(F.lit, wanted)).alias("trigram"), posted(F.col("low"), wanted).alias("there"))
+    return low.select("id", F.explode(lists).alias("p")).where("p.there").select("p.trigram", F.col("id").alias(id_col))
 
-def candidates(posted: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(key, kinds): by intersecting postings, the rules for which a text has to be verified."""
-    asked = [(r.kind, c, a, t, len(alternative), len(query)) for r in rules for query in [trigram_query(r.pattern)] for c, clause in enumerate(query) for a, alternative in enumerate(clause) for t in sorted(alternative)]
-    # The map of what the rules ask for has a fixed size: some entries a rule.
-    entry = lambda k, c, a, n, m: F.struct(F.lit(k).alias("kind"), F.lit(c).alias("clause"), F.lit(a).alias("alternative"), F.lit(n).alias("n"), F.lit(m).alias("clauses"))
-    of = F.create_map(*(x for t in sorted({q[3] for q in asked}) for x in (F.lit(t), F.array(*(entry(k, c, a, n, m) for k, c, a, u, n, m in asked if u == t)))))
-    hits = posted.select("key", "trigram", F.explode(F.element_at(of, F.col("trigram"))).alias("q")).select("key", "q.*")
-    whole = hits.groupBy("key", "kind", "clause", "clauses", "alternative", "n").agg(F.count("*").alias("got")).where("got >= n")
-    matched = whole.groupBy("key", "kind", "clauses").agg(F.count_distinct("clause").alias("met")).where("met = clauses")
-    return matched.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+
+def candidate(lists: Column, wanted: Sequence[str], rule: Rule) -> Column:
+    """Whether a text has to be verified for a rule: its Boolean query on the text's posting lists."""
+    number = {t: i for i, t in enumerate(wanted)}
+    every = F.lit(True)
+    for clause in trigram_query(rule.pattern):
+        some = F.lit(False)
+        for needed in clause:
+            one = F.lit(True)
+            for t in sorted(needed):
+                one &= F.get(lists, F.lit(number[t]))
+            some |= one
+        every &= some
+    return every
 
 
 def spans(text: Column, rule: Rule, number: int) -> Column:
@@ -172,38 +183,27 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule]) -> DataFrame:
-    """(_doc: all columns, text, found: sorted spans of all rules)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).select(text_key(F.col("id"), F.col("text")).alias("key"), "text")
-    indexed = [r for r in rules if trigram_query(r.pattern)]
-    wanted = sorted({t for r in indexed for clause in trigram_query(r.pattern) for s in clause for t in s})
-    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), text.alias("text")).withColumn("_key", text_key(F.col("_id"), F.col("text")))
-    if wanted:
-        found = candidates(postings(keyed, wanted), indexed)
-        rows = rows.join(found, rows["_key"] == found["key"], "left").drop("key")
-    else:
-        rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
-    each = []
-    for number, rule in enumerate(rules):
-        every = spans(F.col("text"), rule, number)
-        if rule in indexed:
-            every = F.when(F.array_contains("kinds", rule.kind), every).otherwise(F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>"))
-        each.append(every)
+def scanned(docs: DataFrame, text_col: str, rules: Sequence[Rule], passed: Column) -> DataFrame:
+    """(_doc: what is passed, text, found: sorted spans of all rules)."""
+    wanted = wanted_trigrams(rules)
+    rows = docs.select(passed.alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("_doc", "text", F.lower("text").alias("low")).select("_doc", "text", posted(F.col("low"), wanted).alias("lists"))
+    none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
+    each = [F.when(candidate(F.col("lists"), wanted, rule), spans(F.col("text"), rule, number)).otherwise(none) for number, rule in enumerate(rules)]
     return rows.select("_doc", "text", F.array_sort(F.concat(*each)).alias("found"))
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row a document: id, n_assign, n_access, n_hex, base_sha256, spans."""
-    rows = scanned(docs.select(id_col, text_col), id_col, text_col, rules)
+    rows = scanned(docs, text_col, rules, F.col(id_col))
     number = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
-    return rows.select(F.col("_doc")[id_col].alias(id_col), *map(number, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    return rows.select(F.col("_doc").alias(id_col), *map(number, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, mark: str = "[SECRET]", length_col: str | None = "n_chars") -> DataFrame:
     """The documents with each span, overlapping ones as one, replaced by ``mark``; ``length_col`` is brought up to date."""
-    rows = scanned(docs, id_col, text_col, rules)
+    rows = scanned(docs, text_col, rules, F.struct("*"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
