@@ -1,14 +1,16 @@
 """Baseline JPEG media columns in numpy: a coefficient writer, a Huffman decoder and DC-only luminance thumbnails.
 
-Scans are decoded in lanes: every restart segment of every image of a chunk advances by one symbol a step, so the work
-is done by whole-array operations. Any baseline (SOF0/SOF1) file with 8-bit samples, one interleaved scan and up to four
-components is read; others get a status and null features.
+Scans are decoded in lanes: every restart segment of a group advances by one symbol a step, so the work is done by
+whole-array operations. Segments are independent: a long file is written and read in groups of them, so work arrays stay
+bounded. Any baseline (SOF0/SOF1) file with 8-bit samples and up to four components, in one scan or in several, is read;
+others get a status and null features.
 
 Bytes are stored losslessly as quantised coefficients, the unit of the format: 64 bytes make one block, byte ``b`` at
 zigzag place ``k`` is coefficient ``k`` with the value of ``b`` as a signed byte, and all quantiser steps are 1.
 
 Defined cases: a null or empty text is the empty payload, 64 zero bytes; equal texts give equal files; repeated rows
-give repeated results; an empty table gives an empty table; only the id and the text column are read.
+give repeated results; an empty table gives an empty table; a very long text is one file (up to 4 GB), whose coefficients
+take 2 bytes a byte while it is read; only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ UNIT = 64
 #: Blocks to a row of an image, and to a restart segment.
 ROW_BLOCKS, RESTART_BLOCKS = 32, 4
 LARGEST_SIDE = 65535
+#: Payload bytes that are coded at once, a multiple of 8 restart segments, and scan bytes that are decoded at once.
+RUN_BYTES, SCAN_BYTES = 1 << 19, 1 << 20
 
 # Code lengths of our files' Huffman tables, symbol by symbol. DC symbols are sizes 0-8 (differences of signed bytes);
 # AC symbols are run * 16 + size. Letters are values of size 6 and 7, so these get the short codes.
@@ -95,6 +99,25 @@ def encode(buf: np.ndarray, offs: np.ndarray) -> list[bytes]:
     if len(high) and max(wide.max(), high.max()) * 8 > LARGEST_SIDE:
         raise ValueError("a payload of more than 4 GB does not fit one baseline image")
     blocks = wide * high
+    if len(n_bytes) == 1:
+        runs, per = [], RUN_BYTES // UNIT
+        for a in range(0, int(blocks[0]), per):
+            some = buf[a * UNIT : (a + per) * UNIT]
+            runs += scans(some, np.array([0, len(some)]), np.array([min(per, int(blocks[0]) - a)]))
+        bodies = [b"\xff\xd7".join(runs)]
+    else:
+        bodies = scans(buf, offs, blocks)
+    files = []
+    for i, body in enumerate(bodies):
+        comment = _segment(0xFE, _COMMENT + struct.pack(">QQ", int(n_bytes[i]), int(payload[i])))
+        frame = _segment(0xC0, struct.pack(">BHHB", 8, int(high[i]) * 8, int(wide[i]) * 8, 1) + bytes([1, 0x11, 0]))
+        files.append(b"".join((b"\xff\xd8", comment, _TABLES, frame, _HUFFMAN, _SCAN, body, b"\xff\xd9")))
+    return files
+
+
+def scans(buf: np.ndarray, offs: np.ndarray, blocks: np.ndarray) -> list[bytes]:
+    """Entropy-coded data of images of so many blocks, whose first coefficients are the bytes."""
+    n_bytes = np.diff(offs)
     first = np.concatenate(([0], np.cumsum(blocks)))
     coef = np.zeros(first[-1] * UNIT, np.int8)
     coef[np.repeat(first[:-1] * UNIT - offs[:-1], n_bytes) + np.arange(len(buf))] = buf.view(np.int8)
@@ -170,12 +193,19 @@ def encode(buf: np.ndarray, offs: np.ndarray) -> list[bytes]:
     image_end = segment_end[closes_image]
     stop = image_end + moved[np.minimum(image_end, size_bytes)]
     start = np.concatenate(([0], stop[:-1]))
-    files = []
-    for i in range(len(n_bytes)):
-        comment = _segment(0xFE, _COMMENT + struct.pack(">QQ", int(n_bytes[i]), int(payload[i])))
-        frame = _segment(0xC0, struct.pack(">BHHB", 8, int(high[i]) * 8, int(wide[i]) * 8, 1) + bytes([1, 0x11, 0]))
-        files.append(b"".join((b"\xff\xd8", comment, _TABLES, frame, _HUFFMAN, _SCAN, out[start[i] : stop[i]].tobytes(), b"\xff\xd9")))
-    return files
+    return [out[a:b].tobytes() for a, b in zip(start, stop, strict=True)]
+
+
+@dataclass
+class Scan:
+    """One scan: where its data lie, which components it interleaves, and the tables in force."""
+
+    at: tuple[int, int]
+    order: list[tuple[int, int, int]]  # component, DC table, AC table of each block of a unit
+    tables: dict[int, bytes]
+    restart: int
+    across: int  # units
+    down: int
 
 
 @dataclass
@@ -186,33 +216,47 @@ class Image:
     width: int = 0
     height: int = 0
     components: list[tuple[int, int, int, int]] = field(default_factory=list)  # id, h, v, quantiser
-    tables: dict[int, bytes] = field(default_factory=dict)  # class * 16 + id -> counts and symbols
     quantisers: dict[int, list[int]] = field(default_factory=dict)
-    restart: int = 0
-    scan: tuple[int, int] = (0, 0)
-    order: list[tuple[int, int, int]] = field(default_factory=list)  # component, DC table, AC table
+    scans: list[Scan] = field(default_factory=list)
     n_bytes: int | None = None
     payload_bytes: int | None = None
     coefficients: list[np.ndarray] = field(default_factory=list)  # by component, in scan order
+    shapes: list[tuple[int, int, int, int]] = field(default_factory=list)  # by component: units down and across, blocks of a unit down and across
 
-    @property
-    def mcu(self) -> tuple[int, int]:
-        """Data units of the scan, across and down."""
-        if len(self.components) == 1:
-            return -(-self.width // 8), -(-self.height // 8)
+    def units(self, chosen: list[int]) -> tuple[int, int]:
+        """Data units of a scan of these components, across and down."""
         h, v = max(c[1] for c in self.components), max(c[2] for c in self.components)
-        return -(-self.width // (8 * h)), -(-self.height // (8 * v))
+        if len(chosen) > 1:
+            return -(-self.width // (8 * h)), -(-self.height // (8 * v))
+        _, own_h, own_v, _ = self.components[chosen[0]]
+        return -(-self.width * own_h // (8 * h)), -(-self.height * own_v // (8 * v))
+
+
+def scan_end(data: bytes, at: int) -> int:
+    """Where the entropy-coded data end: at the next marker that is neither a stuffed byte nor a restart."""
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            return len(data)
+        if data[at + 1] == 0 or 0xD0 <= data[at + 1] <= 0xD7:
+            at += 2
+        elif data[at + 1] == 0xFF:
+            at += 1
+        else:
+            return at
 
 
 def parse(data: bytes) -> Image:
-    """Read the markers of a file up to its scan."""
-    im, at = Image(), 2
+    """Read the markers of a file."""
+    im, at, tables, restart = Image(), 2, {}, 0
     if data[:2] != b"\xff\xd8":
         return Image(status="not a JPEG")
     try:
         while True:
             while data[at + 1] == 0xFF:
                 at += 1
+            if im.scans and data[at + 1] == 0xD9:
+                return im
             marker, (size,) = data[at + 1], struct.unpack_from(">H", data, at + 2)
             body, at = data[at + 4 : at + 2 + size], at + 2 + size
             if marker == 0xDB:
@@ -223,33 +267,35 @@ def parse(data: bytes) -> Image:
             elif marker in (0xC0, 0xC1):
                 bits, im.height, im.width, n = struct.unpack(">BHHB", body[:6])
                 im.components = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
-                if bits != 8 or not im.width or not im.height or not 0 < n <= 4:
+                if bits != 8 or not im.width or not im.height or not 0 < n <= 4 or any(not (c[1] and c[2]) for c in im.components):
                     im.status = "unsupported frame"
+                    return im
             elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 im.status = "not baseline"
                 return im
             elif marker == 0xC4:
                 while body:
                     n = sum(body[1:17])
-                    im.tables[body[0]] = body[1 : 17 + n]
+                    tables = tables | {body[0]: body[1 : 17 + n]}
                     body = body[17 + n :]
             elif marker == 0xDD:
-                (im.restart,) = struct.unpack(">H", body)
+                (restart,) = struct.unpack(">H", body)
             elif marker == 0xFE and body.startswith(_COMMENT) and len(body) == len(_COMMENT) + 16:
                 im.n_bytes, im.payload_bytes = struct.unpack_from(">QQ", body, len(_COMMENT))
             elif marker == 0xDA:
                 by_id = {c[0]: i for i, c in enumerate(im.components)}
                 chosen = [(by_id[body[1 + 2 * i]], body[2 + 2 * i] >> 4, 16 + (body[2 + 2 * i] & 15)) for i in range(body[0])]
-                if len(chosen) != len(im.components):
-                    im.status = "unsupported scan"
-                single = len(chosen) == 1
+                order = []
                 for c, dc, ac in chosen:
-                    im.order += [(c, dc, ac)] * (1 if single else im.components[c][1] * im.components[c][2])
-                end = data.rfind(b"\xff\xd9")
-                im.scan = (at, end if end >= at else len(data))
-                return im
+                    order += [(c, dc, ac)] * (1 if len(chosen) == 1 else im.components[c][1] * im.components[c][2])
+                end = scan_end(data, at)
+                im.scans.append(Scan((at, end), order, tables, restart, *im.units([c for c, _, _ in chosen])))
+                at = end
+                if end >= len(data):
+                    return im
     except (IndexError, struct.error, KeyError):
-        im.status = "truncated"
+        if not im.scans:
+            im.status = "truncated"
         return im
 
 
@@ -272,48 +318,103 @@ def lookup(table: bytes) -> np.ndarray:
     return found
 
 
+@dataclass
+class Lanes:
+    """Some restart segments of one scan that follow one another."""
+
+    image: Image
+    scan: Scan
+    raw: np.ndarray  # their bytes
+    begins: np.ndarray  # of each, in raw
+    counts: np.ndarray  # blocks of each
+    into: np.ndarray  # where the coefficients go
+
+
+def lanes_of(im: Image, scan: Scan, data: bytes) -> Iterator[Lanes]:
+    """The scan's segments in groups of about ``SCAN_BYTES``; raises ValueError where restart marks are missing."""
+    raw = np.frombuffer(data, np.uint8)[scan.at[0] : scan.at[1]]
+    high = np.flatnonzero(raw[:-1] == 0xFF)
+    marks = high[(raw[high + 1] >= 0xD0) & (raw[high + 1] <= 0xD7)]
+    units, n = scan.across * scan.down, len(scan.order)
+    per = scan.restart or units
+    segments = -(-units // per)
+    if len(marks) != segments - 1:
+        raise ValueError("restart marks are missing")
+    begins, ends = np.concatenate(([0], marks + 2)), np.concatenate((marks, [len(raw)]))
+    counts = np.full(segments, per * n)
+    counts[-1] = (units - per * (segments - 1)) * n
+    coef = np.zeros((units * n, 64), np.int16)
+    of = np.tile(np.array([c for c, _, _ in scan.order]), units)
+    for c in {c for c, _, _ in scan.order}:
+        im.coefficients[c] = (coef, of == c) if len({*of[:n].tolist()}) > 1 else (coef, None)
+    a, done = 0, 0
+    while a < segments:
+        b = max(a + 1, int(np.searchsorted(ends, begins[a] + SCAN_BYTES, "right")))
+        blocks = int(counts[a:b].sum())
+        yield Lanes(im, scan, raw[begins[a] : ends[b - 1]], begins[a:b] - begins[a], counts[a:b], coef[done : done + blocks])
+        a, done = b, done + blocks
+
+
 def decode(files: list[bytes]) -> list[Image]:
-    """Images with their coefficients (zigzag order, DC absolute), all scans decoded together."""
-    images = [parse(f) for f in files]
-    good = [i for i, im in enumerate(images) if im.status == "ok"]
-    tables: dict[bytes, int] = {}
-    raw, lanes, plans, n_blocks = [], [], [], 0
-    at, plan_at = 0, 0
-    blocks_at: dict[int, tuple[int, int]] = {}
-    for i in good:
-        im, data = images[i], files[i]
-        try:
-            plan = [(c, tables.setdefault(im.tables[dc], len(tables)), tables.setdefault(im.tables[ac], len(tables))) for c, dc, ac in im.order]
-        except KeyError:
-            im.status = "truncated"
+    """Images with their coefficients (zigzag order, DC absolute), the segments of all scans decoded together in groups."""
+    images, group, size = [parse(f) for f in files], [], 0
+    for im, data in zip(images, files, strict=True):
+        if im.status != "ok":
             continue
-        scan = np.frombuffer(data, np.uint8)[im.scan[0] : im.scan[1]]
-        across, down = im.mcu
-        units = across * down
-        per = im.restart or units
-        follow = np.zeros(len(scan), np.uint8)
-        follow[:-1] = scan[1:]
-        marks = np.flatnonzero((scan == 0xFF) & (follow >= 0xD0) & (follow <= 0xD7))
-        segments = -(-units // per)
-        if len(marks) != segments - 1:
+        im.coefficients = [None] * len(im.components)
+        im.shapes = [(0, 0, 1, 1)] * len(im.components)
+        for scan in im.scans:
+            chosen = list(dict.fromkeys(c for c, _, _ in scan.order))
+            for c in chosen:
+                im.shapes[c] = (scan.down, scan.across, 1, 1) if len(chosen) == 1 else (scan.down, scan.across, im.components[c][2], im.components[c][1])
+            try:
+                for lanes in lanes_of(im, scan, data):
+                    group.append(lanes)
+                    size += len(lanes.raw)
+                    if size >= SCAN_BYTES:
+                        decode_lanes(group)
+                        group, size = [], 0
+            except (ValueError, KeyError):
+                im.status = "truncated"
+        if any(c is None for c in im.coefficients):
             im.status = "truncated"
+    decode_lanes(group)
+    for im in images:
+        if im.status == "ok":
+            im.coefficients = [coef if mask is None else coef[mask] for coef, mask in im.coefficients]
+        else:
+            im.coefficients = []
+    return images
+
+
+def decode_lanes(group: list[Lanes]) -> None:
+    """Decode the segments of a group side by side into their images' coefficients."""
+    tables: dict[bytes, int] = {}
+    raw, starts, plans, at, plan_at, n_blocks = [], [], [], 0, 0, 0
+    some = []
+    for lanes in group:
+        if lanes.image.status != "ok":
+            continue
+        held = lanes.scan.tables
+        if any(t not in held for _, dc, ac in lanes.scan.order for t in (dc, ac)):
+            lanes.image.status = "truncated"
             continue
-        drop = np.zeros(len(scan), bool)
-        drop[1:] = (scan[:-1] == 0xFF) & (scan[1:] == 0)
-        drop[marks] = drop[marks + 1] = True
-        clean = scan[~drop]
-        before = np.cumsum(drop)
-        begins = np.concatenate(([0], marks + 2 - before[marks + 1]))
-        blocks_at[i] = (n_blocks, units * len(plan))
-        count = np.full(segments, per * len(plan))
-        count[-1] = (units - per * (segments - 1)) * len(plan)
-        lanes.append(np.stack((begins + at, n_blocks + np.arange(segments) * per * len(plan), count, np.full(segments, plan_at), np.full(segments, len(plan)))))
-        raw.append(clean)
-        raw.append(np.zeros(8, np.uint8))
+        plan = [(c, tables.setdefault(held[dc], len(tables)), tables.setdefault(held[ac], len(tables))) for c, dc, ac in lanes.scan.order]
+        stuffed = np.zeros(len(lanes.raw), bool)
+        stuffed[1:] = (lanes.raw[:-1] == 0xFF) & (lanes.raw[1:] == 0)
+        marks = lanes.begins[1:]
+        stuffed[marks - 1] = stuffed[marks - 2] = True
+        before = np.concatenate(([0], np.cumsum(stuffed)))
+        clean = lanes.raw[~stuffed]
+        first = np.concatenate(([0], np.cumsum(lanes.counts)))
+        n = len(lanes.begins)
+        starts.append(np.stack((lanes.begins - before[lanes.begins] + at, n_blocks + first[:-1], lanes.counts, np.full(n, plan_at), np.full(n, len(plan)), np.full(n, len(some)))))
+        some.append((lanes, n_blocks))
+        raw += [clean, np.zeros(8, np.uint8)]
         plans += plan
-        plan_at, at, n_blocks = plan_at + len(plan), at + len(clean) + 8, n_blocks + units * len(plan)
-    if not lanes:
-        return images
+        plan_at, at, n_blocks = plan_at + len(plan), at + len(clean) + 8, n_blocks + int(first[-1])
+    if not some:
+        return
     stream = np.concatenate([*raw, np.zeros(8, np.uint8)]).astype(np.uint64)
     window = np.zeros(len(stream) - 5, np.uint64)
     for b in range(5):
@@ -321,10 +422,8 @@ def decode(files: list[bytes]) -> list[Image]:
     window = window.astype(np.int64)
     look = np.concatenate([lookup(t) for t in tables])
     plan_c, plan_dc, plan_ac = (np.array(x, np.int64) for x in zip(*plans, strict=True))
-    lane = np.concatenate(lanes, axis=1)
-    bit, block, left, plan0, plan_n = lane[0] * 8, lane[1], lane[2].copy(), lane[3], lane[4]
-    begin_block = block.copy()
-    block = block.copy()
+    lane = np.concatenate(starts, axis=1)
+    bit, block, left, plan0, plan_n, owner = lane[0] * 8, lane[1].copy(), lane[2].copy(), lane[3], lane[4], lane[5]
     n_lanes, limit = len(bit), (len(window) - 1) * 8
     k, step = np.zeros(n_lanes, np.int64), np.zeros(n_lanes, np.int64)
     coef = np.zeros(n_blocks * 64 + 64, np.int16)
@@ -359,37 +458,32 @@ def decode(files: list[bytes]) -> list[Image]:
         broken = (length == 0) | (bit > limit) | (~is_dc & (place > 63))
         stop = (left == 0) | broken
         if stop.any():
-            bad.update(begin_block[broken].tolist())
+            bad.update(owner[broken].tolist())
             go = ~stop
-            alive, bit, block, left, plan0, plan_n, k, step, pred, begin_block = (x[go] for x in (alive, bit, block, left, plan0, plan_n, k, step, pred, begin_block))
-    for i, (start, n) in blocks_at.items():
-        im = images[i]
-        if any(start <= b < start + n for b in bad):
-            im.status = "truncated"
-            continue
-        mine = coef[start * 64 : (start + n) * 64].reshape(-1, 64)
-        of = np.tile(np.array([c for c, _, _ in im.order]), n // len(im.order))
-        im.coefficients = [mine[of == c] for c in range(len(im.components))] if len(im.components) > 1 else [mine]
-    return images
+            alive, bit, block, left, plan0, plan_n, k, step, pred, owner = (x[go] for x in (alive, bit, block, left, plan0, plan_n, k, step, pred, owner))
+    for i, (lanes, start) in enumerate(some):
+        if i in bad:
+            lanes.image.status = "truncated"
+        lanes.into[:] = coef[start * 64 : (start + len(lanes.into)) * 64].reshape(-1, 64)
 
 
 def thumbnail(im: Image) -> np.ndarray:
     """Luminance of each 8x8 block of the first component from its DC coefficient, as uint8 rows."""
-    across, down = im.mcu
-    _, h, v, q = im.components[0]
-    if len(im.components) == 1:
-        h = v = 1
-    dc = im.coefficients[0][:, 0].astype(np.float64) * im.quantisers[q][0] / 8 + 128
+    down, across, v, h = im.shapes[0]
+    dc = im.coefficients[0][:, 0].astype(np.float64) * im.quantisers[im.components[0][3]][0] / 8 + 128
     dc = dc.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
     return np.clip(np.rint(dc), 0, 255).astype(np.uint8)
 
 
 def difference_hash(thumb: np.ndarray) -> str:
-    """64 bits as hex: the thumbnail drawn on 8 rows of 9 cells by nearest pixels, each cell compared with the next."""
-    rows = np.arange(8) * thumb.shape[0] // 8
-    cols = np.arange(9) * thumb.shape[1] // 9
-    small = thumb[np.ix_(rows, cols)]
-    return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
+    """64 bits as hex: the thumbnail as the means of 8 rows of 9 cells, each cell compared with the next."""
+    high, wide = thumb.shape
+    total = np.zeros((high + 1, wide + 1), np.int64)
+    total[1:, 1:] = thumb.astype(np.int64).cumsum(axis=0).cumsum(axis=1)
+    (r0, r1), (c0, c1) = (((np.arange(n) * size) // n, np.maximum(-(-(np.arange(n) + 1) * size // n), (np.arange(n) * size) // n + 1)) for n, size in ((8, high), (9, wide)))
+    sums = total[np.ix_(r1, c1)] - total[np.ix_(r0, c1)] - total[np.ix_(r1, c0)] + total[np.ix_(r0, c0)]
+    cells = sums / ((r1 - r0)[:, None] * (c1 - c0)[None, :])
+    return np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
 
 
 def payload(im: Image) -> bytes:
@@ -417,8 +511,8 @@ def features(data: bytes | None, im: Image) -> tuple:
     if data is None:
         return ("null", *[None] * 9)
     own = (len(data), hashlib.sha256(data).hexdigest())
-    if im.status != "ok":
-        return (im.status, None, None, None, None, None, None, *own, None)
+    if im.status != "ok" or im.components[0][3] not in im.quantisers:
+        return (im.status if im.status != "ok" else "truncated", None, None, None, None, None, None, *own, None)
     held = (None,) * 4
     if im.payload_bytes is not None:
         body = payload(im)

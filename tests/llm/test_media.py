@@ -16,7 +16,8 @@ def files_of(blobs):
 def scalar_decode(data):
     """Coefficients of a one-component file, symbol by symbol."""
     im = media.parse(data)
-    scan, bits = data[im.scan[0] : im.scan[1]], []
+    (only,) = im.scans
+    scan, bits = data[only.at[0] : only.at[1]], []
     segments, now, i = [], bytearray(), 0
     while i < len(scan):
         if scan[i] == 0xFF and scan[i + 1] == 0:
@@ -31,15 +32,14 @@ def scalar_decode(data):
             i += 1
     segments.append(bytes(now))
     codes = {}
-    for key, table in im.tables.items():
+    for key, table in only.tables.items():
         code, at, codes[key] = 0, 16, {}
         for length in range(1, 17):
             for _ in range(table[length - 1]):
                 codes[key][(length, code)] = table[at]
                 code, at = code + 1, at + 1
             code <<= 1
-    across, down = im.mcu
-    left, blocks = across * down, []
+    left, blocks = only.across * only.down, []
     for s in segments:
         bits = "".join(f"{b:08b}" for b in s)
         at, pred = 0, 0
@@ -61,12 +61,12 @@ def scalar_decode(data):
             v = take(size)
             return v if not size or v >> (size - 1) else v - (1 << size) + 1
 
-        for _ in range(min(im.restart or left, left)):
+        for _ in range(min(only.restart or left, left)):
             block = [0] * 64
-            pred += value(symbol(im.order[0][1]))
+            pred += value(symbol(only.order[0][1]))
             block[0], k = pred, 1
             while k < 64:
-                x = symbol(im.order[0][2])
+                x = symbol(only.order[0][2])
                 if x == 0:
                     break
                 k += x >> 4
@@ -143,6 +143,60 @@ def test_colour_thumbnail(restart):
     assert np.array_equal(thumb, np.clip(np.rint(expected * 4 / 8 + 128), 0, 255))
 
 
+def planar_file(width, height, planes, h=2, v=2):
+    """A file of three scans, one for each component; planes hold the DC values of the components' own blocks."""
+    lengths = {s: 4 for s in range(12)}
+    counts, order, codes = media.canonical(lengths)
+    tables = media._segment(0xC4, bytes([0x00, *counts, *order])) + media._segment(0xC4, bytes([0x10, *([1] + [0] * 15), 0]))
+    out = b"\xff\xd8" + media._segment(0xDB, bytes([0]) + bytes([4] * 64))
+    out += media._segment(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3, 1, h * 16 + v, 0, 2, 0x11, 0, 3, 0x11, 0])) + tables
+    for c, plane in enumerate(planes):
+        bits, pred = "", 0
+        for value in plane:
+            d, pred = value - pred, value
+            size = abs(d).bit_length()
+            code, length = codes[size]
+            bits += f"{code:0{length}b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "") + "0"
+        bits += "1" * (-len(bits) % 8)
+        scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        out += media._segment(0xDA, bytes([1, c + 1, 0x00, 0, 63, 0])) + scan
+    return out + b"\xff\xd9"
+
+
+def test_one_scan_for_each_component():
+    rng = np.random.default_rng(6)
+    luma, other = rng.integers(-200, 200, 5 * 4), rng.integers(-200, 200, 3 * 2)
+    (im,) = media.decode([planar_file(40, 30, [luma.tolist(), other.tolist(), other.tolist()])])
+    assert im.status == "ok" and [c[:, 0].tolist() for c in im.coefficients] == [luma.tolist(), other.tolist(), other.tolist()]
+    assert np.array_equal(media.thumbnail(im), np.clip(np.rint(luma.reshape(4, 5) * 4 / 8 + 128), 0, 255))
+    (cut,) = media.decode([planar_file(40, 30, [luma.tolist(), other.tolist()])])
+    assert cut.status == "truncated"
+
+
+def test_every_cell_reaches_the_hash():
+    thumb = np.full((40, 45), 100, np.uint8)
+    flat = media.difference_hash(thumb)
+    assert flat == "0" * 16
+    for y, x in ((0, 5), (3, 8), (39, 44), (17, 21)):
+        other = thumb.copy()
+        other[y, x] = 200
+        assert media.difference_hash(other) != flat or x < 5
+    assert len(media.difference_hash(np.zeros((1, 1), np.uint8))) == 16
+
+
+@pytest.mark.parametrize("size", [media.RUN_BYTES - 1, media.RUN_BYTES, media.RUN_BYTES + 1, 3 * media.RUN_BYTES + 4097])
+def test_long_texts_are_coded_in_runs(monkeypatch, size):
+    blob = (b"Some prose, then 12345 and \xc3\xa9. " * (size // 20))[:size]
+    (data,) = files_of([blob])
+    monkeypatch.setattr(media, "RUN_BYTES", 1 << 40)
+    assert files_of([blob]) == [data]
+    (im,) = media.decode([data])
+    monkeypatch.setattr(media, "SCAN_BYTES", 5000)
+    (same,) = media.decode([data])
+    assert np.array_equal(im.coefficients[0], same.coefficients[0])
+    assert media.payload(im) == blob + bytes(-size % 64)
+
+
 def test_bad_files_get_a_status():
     good = files_of([b"hello" * 100])[0]
     progressive = good.replace(b"\xff\xc0", b"\xff\xc2", 1)
