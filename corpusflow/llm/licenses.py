@@ -1,13 +1,15 @@
 """License scans by conditional compression, confirmed by exact wording differences.
 
-A text's candidate blocks are its paragraphs (runs of lines with words) that hold a license cue; in a paragraph of more
-than ``LONG_BLOCK`` characters they are windows around its cues, joined where they meet. Each block is compressed alone
-and with each template as a zstandard raw dictionary, which ranks the templates by the bytes saved. Every template whose
-own words (the license's name and version) occur in the block is aligned with the block's words; the notice with the
-fewest differences is confirmed with its own span, and the words before and after it are searched again.
+A text's candidate blocks are the windows of ``WINDOW`` characters around its license cues, ended by their paragraph (a
+run of lines with words) and joined where they meet. Each block is compressed alone and with each template as a
+zstandard raw dictionary, which ranks the templates by the bytes saved. Every template whose own words (the license's
+name and version) occur in the block is aligned with all of its words at once: for each end the start with the fewest
+differences, for each start the best end. Notices are confirmed with their spans, those with fewer differences first,
+then by the templates' rank, then by place; one that overlaps a confirmed one is left out.
 
 Defined cases: a null or empty text has no blocks; blocks that no template explains are counted and not confirmed;
-repeated rows give repeated results; an empty table gives an empty table; only the id and the text column are read.
+repeated rows give repeated results; an empty table gives an empty table; a very long text is scanned whole, in time that
+grows with its length; only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CUE = re.compile(r"licen[sc]e|licensed|copyright|spdx|permission is hereby|redistribution|neither the name|creative\s+commons", re.IGNORECASE)
+CUE = re.compile(r"licen[sc]e|licensed|copyright|spdx|permission is (?:hereby )?granted|permission to use|redistribution|neither the name|creative\s+commons|unencumbered", re.IGNORECASE)
 #: A window reaches further from its cue than the longest template is long.
-LONG_BLOCK, WINDOW = 2000, 600
+WINDOW = 600
 #: Share of the template's and block's words that may differ.
 MOST_DIFFERENT = 0.5
 
 #: License id, wording of a notice, header or body, and the words which tell it from others. Fixed values.
-TEMPLATES: tuple[tuple[str, str, str], ...] = (
+WORDINGS: tuple[tuple[str, str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
     ("MIT", "Released under the MIT License.", "mit"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
@@ -56,7 +58,24 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons attribution-sharealike 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution-noncommercial 4.0"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal", "cc0 1.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache 2.0"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "gnu lesser general public 2.1"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "permission purpose fee granted provided appear copies"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "permission anyone commercial alter redistribute freely restrictions"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "eclipse public 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "boost 1.0"),
 )
+#: License ids that files name in a tag, and the endings that the GNU ones have there.
+TAGGED = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+TAGGED_GNU, ENDINGS = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"), ("", "-only", "-or-later")
+
+
+def tag(name: str, shown: str) -> tuple[str, str, str]:
+    return name, f"SPDX-License-Identifier: {shown}", f"spdx-license-identifier {shown}"
+
+
+TEMPLATES = WORDINGS + tuple(tag(i, i) for i in TAGGED) + tuple(tag(i, i + e) for i in TAGGED_GNU for e in ENDINGS)
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -87,27 +106,33 @@ def compressors():
     return own, with_template
 
 
-def aligned(block: list[str], template: list[str], telling: set[str]) -> tuple[int, int, int] | None:
-    """(differences, first word, end) of the part of the block that is nearest to the template: words that it lacks and
-    words that it adds, within the bound. Its telling words are all there; of equal parts the first is taken."""
+@functools.cache
+def template_words(i: int) -> tuple[list[str], frozenset[str]]:
+    """A template's words, and those which tell it from others."""
+    return words(TEMPLATES[i][1]), frozenset(words(TEMPLATES[i][2]))
+
+
+def aligned(places: dict[str, np.ndarray], n_words: int, template: list[str], telling: frozenset[str]) -> list[tuple[int, int, int]]:
+    """(differences, first word, end) of the parts of a block that are near to the template: words that they lack and words
+    that they add, within the bound, the telling words all there. ``places``: where each word of the block stands."""
     most = int(MOST_DIFFERENT * len(template))
-    at = np.arange(len(block) + 1, dtype=np.int64)
-    places: dict[str, list[int]] = {}
-    for i, w in enumerate(block):
-        places.setdefault(w, []).append(i)
+    at = np.arange(n_words + 1, dtype=np.int64)
     cost = -at  # an alignment may start anywhere, at no cost; later starts are the less
     for w in template:
         new = cost + (_STEP * (most + 1) if w in telling else _STEP)
         if w in places:
-            j = np.array(places[w])
+            j = places[w]
             new[j + 1] = np.minimum(new[j + 1], cost[j])
         cost = np.minimum.accumulate(new - _STEP * at) + _STEP * at
-    end = int(np.argmin(-(-cost // _STEP)))
-    n = -(-int(cost[end]) // _STEP)
-    return (n, int(_STEP * n - cost[end]), end) if n <= most else None
+    differences = -(-cost // _STEP)
+    end = np.flatnonzero(differences <= most)
+    n = differences[end]
+    start = n * _STEP - cost[end]
+    order = np.lexsort((end, n, start))
+    best = order[np.concatenate(([True], start[order][1:] != start[order][:-1]))] if len(order) else order
+    return [(d, a, b) for d, a, b in zip(n[best].tolist(), start[best].tolist(), end[best].tolist(), strict=True) if a < b]
 
 
-@functools.lru_cache(maxsize=50_000)
 def notices(block: str) -> tuple[tuple[tuple[int, str, int, int], ...], int]:
     """The confirmed notices (differences, license id, start, end) of a block, by start, and the bytes that the best template saves."""
     own, with_template = compressors()
@@ -119,23 +144,32 @@ def notices(block: str) -> tuple[tuple[tuple[int, str, int, int], ...], int]:
     if len(low) != len(block):  # some letters become two; keep the offsets
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in block)
     at = [m.span() for m in _WORD.finditer(low)]
-    have = [low[a:b] for a, b in at]
-    found, parts = [], [(0, len(have))]
-    while parts:
-        a, b = parts.pop()
-        here, best = set(have[a:b]), None
-        for i in ranked:
-            name, wording, telling = TEMPLATES[i]
-            own_words = set(words(telling))
-            near = aligned(have[a:b], words(wording), own_words) if own_words <= here else None
-            if near and (best is None or near[0] < best[0]):
-                best = (near[0], name, a + near[1], a + near[2])
-        if best:
-            found.append((best[0], best[1], at[best[2]][0], at[best[3] - 1][1]))
-            parts += [(a, best[2]), (best[3], b)]
+    listed: dict[str, list[int]] = {}
+    for i, (a, b) in enumerate(at):
+        listed.setdefault(low[a:b], []).append(i)
+    places = {w: np.array(v) for w, v in listed.items()}
+    near = []
+    for rank, i in enumerate(ranked):
+        wording, telling = template_words(i)
+        if telling <= places.keys():
+            near += [(n, rank, a, b) for n, a, b in aligned(places, len(at), wording, telling)]
+    taken, found = np.zeros(len(at), bool), []
+    for n, rank, a, b in sorted(near):
+        if not taken[a:b].any():
+            taken[a:b] = True
+            found.append((n, TEMPLATES[ranked[rank]][0], at[a][0], at[b - 1][1]))
     return tuple(sorted(found, key=lambda x: x[2])), saved[ranked[0]]
 
 
+#: Blocks of up to so many characters are remembered, since notices repeat from text to text.
+REMEMBERED = 4096
+
+
+@functools.lru_cache(maxsize=20_000)
+def remembered(block: str) -> tuple[tuple[tuple[int, str, int, int], ...], int]:
+    return notices(block)
+
+
 def classify(block: str) -> tuple[str, int]:
     """License id of a block's notice with the fewest differences, or an empty string, and the bytes that the best template saves."""
     found, saved = notices(block)
@@ -152,9 +186,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
         n = bisect.bisect_right(firsts, start)
         a = breaks[n - 1][1] + 1 if n else 0
         b = breaks[n][0] if n < len(breaks) else len(text)
-        b = max(b, end)
-        if b - a > LONG_BLOCK:
-            a, b = max(a, start - WINDOW), min(b, end + WINDOW)
+        a, b = max(a, start - WINDOW), min(max(b, end), end + WINDOW)
         if found and a <= found[-1][1]:
             found[-1] = (min(a, found[-1][0]), max(b, found[-1][1]))
         else:
@@ -174,7 +206,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = []
             for text in batch.column("text").to_pylist():
                 at = blocks(text or "")
-                named = [(a, *notices(text[a:b])) for a, b in at]
+                named = [(a, *(remembered if b - a <= REMEMBERED else notices)(text[a:b])) for a, b in at]
                 sure = [(n, a + c, a + d) for a, held, _ in named for _, n, c, d in held]
                 rows.append((len(at), len(sure), ",".join(sorted({n for n, _, _ in sure})), ",".join(f"{n}:{a}:{b}" for n, a, b in sure), max((s for *_, s in named), default=0)))
             columns = zip(*rows, strict=True) if rows else [[]] * 5

@@ -103,6 +103,91 @@ def test_notices_are_whole_at_window_ends(gap):
     assert scanned(text) == [("CC-BY-4.0", "Licensed under CC BY 4.0")]
 
 
+def brute_notices(block):
+    """Every part of the block against every template, by plain recursion; the order of taking is that of the docstring."""
+    own, with_template = licenses.compressors()
+    data = licenses.plain(block)
+    saved = [len(own.compress(data)) - len(c.compress(data)) for c in with_template]
+    have, near = licenses.words(block), []
+    for rank, i in enumerate(sorted(range(len(saved)), key=lambda i: (-saved[i], i))):
+        name, wording, telling = licenses.TEMPLATES[i]
+        template, needed = licenses.words(wording), set(licenses.words(telling))
+        if not needed <= set(have):
+            continue
+        most, by_end = int(licenses.MOST_DIFFERENT * len(template)), {}
+        for a in range(len(have)):
+            row = [[0] * (len(have) - a + 1) for _ in range(len(template) + 1)]
+            for x in range(len(template) + 1):
+                for y in range(len(have) - a + 1):
+                    if not x:
+                        row[x][y] = y
+                        continue
+                    cost = [row[x - 1][y] + (most + 1 if template[x - 1] in needed else 1)]
+                    if y:
+                        cost.append(row[x][y - 1] + 1)
+                        if have[a + y - 1] == template[x - 1]:
+                            cost.append(row[x - 1][y - 1])
+                    row[x][y] = min(cost)
+            for y in range(1, len(have) - a + 1):
+                if row[-1][y] <= most:
+                    by_end[a + y] = min(by_end.get(a + y, (most + 1, 0)), (row[-1][y], -a))
+        by_start = {}
+        for b, (n, a) in by_end.items():
+            by_start[-a] = min(by_start.get(-a, (most + 1, 0)), (n, b))
+        near += [(n, rank, a, b, name) for a, (n, b) in by_start.items()]
+    taken, found = set(), []
+    for n, _, a, b, name in sorted(near):
+        if not taken & set(range(a, b)):
+            taken |= set(range(a, b))
+            found.append((n, name, a, b))
+    return sorted(found, key=lambda x: x[2])
+
+
+@pytest.mark.parametrize("k", range(len(licenses.TEMPLATES)))
+def test_notices_equal_brute_force(k):
+    """Each template with words dropped and added, among other notices and prose."""
+    rng = np.random.default_rng(k)
+    name, wording, telling = licenses.TEMPLATES[k]
+    needed, other = set(licenses.words(telling)), licenses.TEMPLATES[int(rng.integers(0, 12))][1]
+    for changes in (0, 6):
+        w = wording.split()
+        for _ in range(changes):
+            at = int(rng.integers(0, len(w) + 1))
+            if rng.random() < 0.5:
+                w.insert(at, "word")
+            elif at < len(w) and not set(licenses.words(w[at])) & needed:
+                w.pop(at)
+        block = " ".join(["Some", "words", *w, "and", *other.split(), "more."])
+        at = [m.span() for m in licenses._WORD.finditer(block.lower())]
+        got, _ = licenses.notices(block)
+        assert list(got) == [(n, x, at[a][0], at[b - 1][1]) for n, x, a, b in brute_notices(block)]
+        if not changes:
+            assert name in {x for _, x, *_ in got}
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("// SPDX-License-Identifier: MIT", ["MIT"]),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later\nimport os", ["GPL-3.0"]),
+        ("SPDX-License-Identifier: LicenseRef-Own", []),
+        ("The files are released under the mit license.", ["MIT"]),
+        ("All of it is licensed under cc by 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under CC BY 4.0. Released under the MIT License.", ["CC-BY-4.0", "MIT"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+    ],
+)
+def test_tags_and_sentences(text, names):
+    assert [n for n, _ in scanned(text)] == names
+
+
+def test_many_notices_of_a_very_long_line():
+    """Cues all along: one block, whose notices are all found in time that grows with its length."""
+    text = "Released under the MIT License. Licensed under CC BY 4.0. " * 4000
+    assert [n for n, _ in scanned(text)] == ["MIT", "CC-BY-4.0"] * 4000
+
+
 def test_attribution_rules():
     starts, ends = np.array([0, 10, 12]), np.array([10, 12, 20])
     a, b = np.array([0, 7, 11, 16]), np.array([7, 11, 16, 20])  # 7-11 and 11-16 cross
