@@ -13,7 +13,8 @@ bucket sums, and the cut is found from a histogram of finish times, in which one
 
 Defined cases: a null text has size 0; a null source is a source of its own; documents of size 0 take nothing; a
 document is taken 0, 1 or 2 times, never in part; repeated rows are separate documents (which of several identical rows
-is taken is open, how many is not); an empty table gives an empty table; other columns pass through unread.
+is taken is open, how many is not); an empty table gives an empty table; a very long text is one document that is taken
+or left whole; other columns pass through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def cut(timed: DataFrame, budget: float, n_rows: int) -> tuple[int, object]:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, keep_columns: bool = False) -> DataFrame:
-    """One row a document: id, size, source_size, target, taken and copies, or (keep_columns) all its columns and ``copies``."""
+    """One row a document: id, size, source_size, target, taken and copies, or (keep_columns) ``_doc``, all its columns, and ``_copies``."""
     if cap != 2:
         raise ValueError("documents are queued twice, so cap is 2")
     named = {"_id": F.col(id_col), "_source": F.col(source_col), "_size": sizes(F.col(text_col)), "_key": shuffle_key(F.col(id_col), F.col(text_col), seed)}
@@ -125,13 +126,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     if not keep_columns:
         return timed.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * copies).alias("taken"), copies.alias("copies"))
     whole_rows = docs.select(F.struct("*").alias("_doc"), *(c.alias(n) for n, c in named.items()))
-    return with_finish(whole_rows, stats, slim).select("_doc.*", copies.alias("_copies"))
+    return with_finish(whole_rows, stats, slim).select("_doc", copies.alias("_copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: each document as often as it is taken, with its columns."""
     counted = mix(docs, id_col, source_col, text_col, keep_columns=True)
-    return counted.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    return counted.where(F.col("_copies") > 0).select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 ORACLE_SQL = r"""
