@@ -10,7 +10,8 @@ a boundary is allocated by ``rule``:
 Sections have a kind: ``heading`` (the first one), ``table`` (holds `` | ``), ``blank`` (no word) or ``body``.
 
 Defined cases: a null or empty text has no tokens and no sections; control strings of a vocabulary are ordinary text;
-repeated rows give repeated results; an empty table gives an empty table; only the id and the text column are read.
+repeated rows give repeated results; an empty table gives an empty table; a very long text is encoded whole, with some
+tens of bytes of work a byte; only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ def encoding(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("the vocabulary has no token for some byte, so tokens would not tile the texts")
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for piece, rank in ranks.items():
         lengths[rank] = len(piece)
@@ -66,10 +69,16 @@ def attribute(token_starts: np.ndarray, token_ends: np.ndarray, starts: np.ndarr
     last = np.searchsorted(starts, token_ends, "left") - 1
     crosses = last > first
     if rule == "largest":
-        chosen = first.copy()
-        for t in np.flatnonzero(crosses):
-            s = np.arange(first[t], last[t] + 1)
-            chosen[t] = s[np.argmax(np.minimum(ends[s], token_ends[t]) - np.maximum(starts[s], token_starts[t]))]
+        chosen, tokens = first.copy(), np.flatnonzero(crosses)
+        if len(tokens):
+            each = (last - first + 1)[tokens]
+            opens = np.cumsum(each) - each
+            t = np.repeat(tokens, each)
+            s = first[t] + np.arange(len(t)) - np.repeat(opens, each)
+            share = np.minimum(ends[s], token_ends[t]) - np.maximum(starts[s], token_starts[t])
+            best = np.flatnonzero(share == np.repeat(np.maximum.reduceat(share, opens), each))
+            at, where = np.unique(t[best], return_index=True)  # the earliest of equal shares
+            chosen[at] = s[best][where]
         return chosen, crosses
     if rule == "first":
         return first, crosses
@@ -91,8 +100,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n_tokens = np.fromiter(map(len, ids), np.int64, n)
                 flat = np.concatenate([np.array(x, np.int64) for x in ids]) if n else np.zeros(0, np.int64)
                 ends = np.cumsum(lengths[flat])
-                if len(ends) and ends[-1] != len(buf) or not len(ends) and len(buf):
-                    raise ValueError("tokens do not tile the texts")
                 s, e, of, kind = sections(buf, offs)
                 chosen, crosses = attribute(ends - lengths[flat], ends, s, e, rule)
                 by_section = np.bincount(chosen, minlength=len(s))
