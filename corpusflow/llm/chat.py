@@ -243,11 +243,24 @@ def with_probe(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 
-ORACLE_SQL = r"""
+_ESCAPED = "replace({0}, '␛', '␛e')"
+for _control, _letter in CONTROL.items():
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '␛{_letter}')"
+
+#: Interval counts follow from the branchings above the last turn; token places have no SQL, tests hold them against brute force.
+ORACLE_SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+t AS (SELECT *, row_number() OVER o AS depth, count(*) OVER (PARTITION BY conv_id) AS n,
+             string_agg(md5(length(role) || chr(10) || role || chr(10) || text), '/') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS node
+      FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+u AS (SELECT *, CASE WHEN depth > 1 THEN left(node, length(node) - 33) END AS parent FROM t),
+b AS (SELECT parent FROM u WHERE depth > 1 GROUP BY parent HAVING count(DISTINCT node) > 1),
+h AS (SELECT u.*, u.depth = 1 OR b.parent IS NOT NULL AS is_head FROM u LEFT JOIN b ON b.parent = u.parent)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY depth)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM c GROUP BY conv_id
+       sha256(coalesce(string_agg(text, '' ORDER BY depth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<s>[' || {_ESCAPED.format("role")} || ']' || chr(10) || {_ESCAPED.format("text")} || '</s>' || chr(10)))::BIGINT AS formatted_chars,
+       (count(*) FILTER (is_head) - 1 + max(CASE WHEN depth = n AND NOT is_head THEN 1 ELSE 0 END))::BIGINT AS n_attends
+FROM h GROUP BY conv_id
 """

@@ -324,3 +324,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), text_node(F.col(text_col)).alias("node"))
     one = named.where("node is not null").groupBy("node").agg(F.min_by("_doc", F.struct(F.col("_id").isNull(), "_id")).alias("_doc"))
     return one.join(keepers, "node", "left_semi").select("_doc.*").unionByName(named.where("node is null").select("_doc.*"))
+
+
+#: Every pair of texts that shares a shingle is compared; classes by the least id that reaches a text over links.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS k, text, min(doc_id) AS id, count(*) AS copies FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY text),
+w AS (SELECT k, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+s AS (SELECT DISTINCT k, array_to_string(ws[i:i+4], ' ') AS shingle FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w)),
+n AS (SELECT k, count(*) AS size FROM s GROUP BY k),
+p AS (SELECT a.k AS x, b.k AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.k <> b.k GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.k = x JOIN n ny ON ny.k = y WHERE 5 * shared >= 4 * (nx.size + ny.size - shared)),
+r(k, id) AS (SELECT k, id FROM t UNION SELECT l.y, r.id FROM r JOIN l ON l.x = r.k JOIN t ON t.k = l.y WHERE r.id < t.id),
+c AS (SELECT k, min(id) AS class_id FROM r GROUP BY k),
+m AS (SELECT x AS k, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(copies, 1) AS n_copies
+FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN c ON c.k = t.k LEFT JOIN m ON m.k = t.k
+"""

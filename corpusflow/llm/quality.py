@@ -230,3 +230,21 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules=RULES, sample_
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT n, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+c AS (SELECT n, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (regexp_matches(word, '[A-Za-z\x{C0}-\x{1FFF}\x{3000}-\x{10FFFF}]')) AS n_alpha FROM w GROUP BY n),
+k AS (SELECT n, i, concat_ws(' ', word, lead(word) OVER x, lead(word, 2) OVER x) AS three, lead(word, 2) OVER x IS NOT NULL AS whole FROM w WINDOW x AS (PARTITION BY n ORDER BY i)),
+r AS (SELECT n, count(DISTINCT i + j) AS n_repeat FROM (SELECT n, i, count(*) OVER (PARTITION BY n, three) AS times FROM k WHERE whole), (VALUES (0), (1), (2)) v(j) WHERE times > 1 GROUP BY n),
+l AS (SELECT n, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT n, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY n),
+a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+             coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_alpha, 0) AS n_alpha,
+             len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters
+      FROM d LEFT JOIN c USING (n) LEFT JOIN r USING (n) LEFT JOIN l USING (n))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 35 * n_lines OR 2 * word_chars < 5 * n_words
+            OR word_chars > 12 * n_words OR 2 * n_upper > n_letters OR 100 * n_alpha < 80 * n_words) AS kept
+FROM a
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, secrets, urls
+from . import chat, mixing, neardup, quality, secrets, urls
 from .licenses import license_report
 from .media import media_features, store
 from .neardup import near_duplicates
@@ -36,7 +36,8 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted_conversations(chat.with_probe(table(spark, sf_dir, "conversations")))
+    # Places in token sequences are left to the operator's other users: SQL can follow the rest.
+    return chat.formatted_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))).drop("tree", "start", "position", "n_tokens")
 
 
 def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.ORACLE_SQL,
+    "op3_ngram_jaccard_join": neardup.ORACLE_SQL,
+    "op5_chat_prefix_tree": chat.ORACLE_SQL,
     "op6_weighted_mix": mixing.ORACLE_SQL,
     "op7_secret_scan": secrets.ORACLE_SQL,
     "op8_url_filter": urls.ORACLE_SQL,
