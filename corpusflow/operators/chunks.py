@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import BOUNDARIES, available, boundary_cut, first_words, fitting_parts, token_estimate
+from ..functions.text import words as text_words
 
 #: Sizes, relevance by type, multiplier by priority, expected fields by type.
 OVERLAP_WORDS, LARGEST = 135, 500
@@ -17,8 +18,8 @@ EXPECTED = {"primary": ("name", "type", "category"), "metric": ("expense_ratio",
 Part = tuple[str, str, str, str, tuple[tuple[str, str, Column], ...]]  # id, type, priority, title, (field, label, value)
 
 
-def typed_chunks(records: DataFrame, key: str, parts: tuple[Part, ...], largest: int = LARGEST, long: Part | None = None) -> DataFrame:
-    """One row a non-empty part of each record: key, chunk_no, chunk_id, chunk_type, priority, content, source_fields, token_count.
+def chunk_array(parts: tuple[Part, ...], largest: int = LARGEST, long: Part | None = None) -> Column:
+    """A record's chunks in order, those without content left out: chunk_no, chunk_id, chunk_type, priority, content, source_fields.
 
     A part is cut at a boundary; the ``long`` one, of one field, comes last and becomes as many chunks as its text needs,
     their numbers appended to its id."""
@@ -41,8 +42,13 @@ def typed_chunks(records: DataFrame, key: str, parts: tuple[Part, ...], largest:
     chunks = F.array(*(one(n, p) for n, p in enumerate(parts, 1)))
     if long:
         chunks = F.concat(chunks, many(len(parts) + 1, long))
-    rows = records.select(key, F.explode(chunks).alias("c")).select(key, "c.*")
-    return rows.where("content is not null").withColumn("token_count", token_estimate(F.col("content")))
+    return F.filter(chunks, lambda c: c["content"].isNotNull())
+
+
+def typed_chunks(records: DataFrame, key: str, parts: tuple[Part, ...], largest: int = LARGEST, long: Part | None = None) -> DataFrame:
+    """One row a chunk of each record: key, the fields of ``chunk_array`` and token_count."""
+    rows = records.select(key, F.explode(chunk_array(parts, largest, long)).alias("c")).select(key, "c.*")
+    return rows.withColumn("token_count", token_estimate(F.col("content")))
 
 
 def map_chunk(title: str, values: Column, suffix: str = "") -> Column:
@@ -51,13 +57,31 @@ def map_chunk(title: str, values: Column, suffix: str = "") -> Column:
     return F.when(F.size(lines) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(lines, "\n")))
 
 
-def with_neighbours(chunks: DataFrame, entity: str, order: str, words: int = OVERLAP_WORDS, text: str = "content") -> DataFrame:
-    """First words of the chunk before and, half as many, of the chunk after; taken from the original contents."""
-    w = W.partitionBy(entity).orderBy(order)
-    before, after = first_words(F.lag(text).over(w), words), first_words(F.lead(text).over(w), words // 2)
+def last_words(text: Column, n: int) -> Column:
+    """The text if it has at most n words, else its last n, joined by blanks."""
+    w = text_words(text)
+    return F.when(F.size(w) <= n, text).otherwise(F.array_join(F.slice(w, -n, n), " "))
+
+
+def in_context(before: Column, content: Column, after: Column, words: int = OVERLAP_WORDS, tail: bool = False) -> Column:
+    """A text with words of the one before (its first ones, or with ``tail`` its last ones) and first words, half as many, of
+    the one after."""
+    before, after = (last_words if tail else first_words)(before, words), first_words(after, words // 2)
     prefix = F.when(F.length(before) > 0, F.concat(F.lit("Context: "), before, F.lit("\n\n"))).otherwise("")
     suffix = F.when(F.length(after) > 0, F.concat(F.lit("\n\nRelated: "), after)).otherwise("")
-    return chunks.withColumn("with_context", F.concat(F.coalesce(prefix, F.lit("")), F.coalesce(F.col(text), F.lit("")), F.coalesce(suffix, F.lit(""))))
+    return F.concat(F.coalesce(prefix, F.lit("")), F.coalesce(content, F.lit("")), F.coalesce(suffix, F.lit("")))
+
+
+def with_neighbours(chunks: DataFrame, entity: str, order: str, words: int = OVERLAP_WORDS, text: str = "content", tail: bool = False) -> DataFrame:
+    """Adds with_context: each row's text in the context of its neighbours' original texts."""
+    w = W.partitionBy(entity).orderBy(order)
+    return chunks.withColumn("with_context", in_context(F.lag(text).over(w), F.col(text), F.lead(text).over(w), words, tail))
+
+
+def neighbours_within(chunks: Column, words: int = OVERLAP_WORDS, tail: bool = False) -> Column:
+    """The same within an array of chunks: (chunk, with_context). No shuffle."""
+    near = lambda i: F.get(chunks, i)["content"]
+    return F.transform(chunks, lambda c, i: F.struct(c.alias("chunk"), in_context(F.when(i > 0, near(i - 1)), c["content"], near(i + 1), words, tail).alias("with_context")))
 
 
 def lookup(values: dict[str, float], key: Column, default: float) -> Column:

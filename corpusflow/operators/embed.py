@@ -1,9 +1,17 @@
-"""Deterministic hashed bag-of-words vectors, in sparse long form and dense, and their quality."""
+"""Deterministic hashed bag-of-words vectors, in sparse long form and dense, and their quality.
+
+A text's tokens stand in its row, so counting them, folding them into dimensions and scaling take no shuffle: one Arrow
+pass over the token arrays, with one md5 for each distinct token of a batch. Each row is a text of its own.
+"""
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_tokens
@@ -16,27 +24,88 @@ def dimension(token: Column, n: int = DIMENSIONS) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % n
 
 
-def term_frequencies(docs: DataFrame, key: str, text: str, by_key: bool = False) -> DataFrame:
-    """(key, term, tf). Counts combine before the shuffle; with ``by_key`` rows are dealt by the key alone, so that later
-    steps that need a key's rows together have no shuffle of their own."""
-    terms = docs.select(key, F.explode(plain_tokens(F.col(text))).alias("term"))
-    return (terms.repartition(key) if by_key else terms).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def counted(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, code and count of each distinct token of each row, by row and code; and the tokens by code."""
+    flat = tokens.flatten().dictionary_encode()
+    code, width = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(flat.dictionary))
+    sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    pairs, n = np.unique(np.repeat(np.arange(len(tokens)), sizes) * width + code, return_counts=True)
+    return pairs // width, pairs % width, n, flat.dictionary
 
 
-def sparse_vectors(docs: DataFrame, key: str, text: str, n: int = DIMENSIONS) -> DataFrame:
-    """(key, dim, value): sums of ln(1 + tf) at each term's dimension, scaled to unit length.
+def lists(row: np.ndarray, n_rows: int, values: pa.Array, null: pa.Array) -> pa.ListArray:
+    """Values by row as one list a row; null where the row is null."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n_rows)))), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values, mask=null)
+
+
+def folded(tokens: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, dimension and value of the rows' vectors: sums of ln(1 + tf) at each term's dimension, scaled to unit length."""
+    row, code, tf, terms = counted(tokens)
+    dims = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % n for t in terms.to_pylist()], np.int64)
+    place, of = np.unique(row * n + dims[code], return_inverse=True)
+    weight = np.bincount(of, weights=np.log1p(tf), minlength=len(place))
+    row = place // n
+    length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(tokens)))
+    return row, place % n, weight / np.where(length == 0, 1, length)[row]
+
+
+@functools.cache
+def _term_counts():
+    @F.arrow_udf("array<struct<term:string,tf:bigint>>")
+    def term_counts(tokens: pa.Array) -> pa.Array:
+        row, code, tf, terms = counted(tokens)
+        pairs = pa.StructArray.from_arrays([terms.take(pa.array(code)), pa.array(tf.astype(np.int64))], ["term", "tf"])
+        return lists(row, len(tokens), pairs, tokens.is_null())
+
+    return term_counts
+
+
+@functools.cache
+def _sparse(n: int):
+    @F.arrow_udf("array<struct<dim:bigint,value:double>>")
+    def sparse(tokens: pa.Array) -> pa.Array:
+        row, dim, value = folded(tokens, n)
+        return lists(row, len(tokens), pa.StructArray.from_arrays([pa.array(dim), pa.array(value)], ["dim", "value"]), tokens.is_null())
+
+    return sparse
 
-    One shuffle, by the key: counts, sums by dimension and the norm all reuse its partitioning."""
-    weights = term_frequencies(docs, key, text, by_key=True).groupBy(key, dimension(F.col("term"), n).alias("dim")).agg(F.sum(F.log1p("tf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
-    return weights.select(key, "dim", (F.col("w") / F.when(norm == 0, 1.0).otherwise(norm)).alias("value"))
+
+@functools.cache
+def _dense(n: int):
+    @F.arrow_udf("array<double>")
+    def dense(tokens: pa.Array) -> pa.Array:
+        row, dim, value = folded(tokens, n)
+        whole = np.zeros((len(tokens), n))
+        whole[row, dim] = value
+        return lists(np.repeat(np.arange(len(tokens)), n), len(tokens), pa.array(whole.ravel()), tokens.is_null())
+
+    return dense
+
+
+def sparse_vector(text: Column, n: int = DIMENSIONS) -> Column:
+    """Array of (dim, value) by dimension; empty for a text without tokens, null for a null text."""
+    return _sparse(n)(plain_tokens(text))
+
+
+def dense_vector(text: Column, n: int = DIMENSIONS) -> Column:
+    """Array of n values; all 0 for a text without tokens, null for a null text."""
+    return _dense(n)(plain_tokens(text))
+
+
+def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of each row."""
+    return docs.select(key, F.explode(_term_counts()(plain_tokens(F.col(text)))).alias("t")).select(key, "t.term", "t.tf")
+
+
+def sparse_vectors(docs: DataFrame, key: str, text: str, n: int = DIMENSIONS) -> DataFrame:
+    """(key, dim, value) of each row's vector."""
+    return docs.select(key, F.explode(sparse_vector(F.col(text), n)).alias("v")).select(key, "v.dim", "v.value")
 
 
-def dense(sparse: DataFrame, key: str, n: int = DIMENSIONS) -> DataFrame:
-    """(key, embedding array<double>)."""
-    held = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return held.select(key, filled.alias("embedding"))
+def dense_vectors(docs: DataFrame, key: str, text: str, n: int = DIMENSIONS) -> DataFrame:
+    """(key, embedding array<double>) of each row."""
+    return docs.select(key, dense_vector(F.col(text), n).alias("embedding"))
 
 
 def norm(vector: Column) -> Column:

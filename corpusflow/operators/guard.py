@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import first_sentences, normalise, strip_urls
+from .records import containing
 
 #: Default pack, in order of priority within each group. Fixed values.
 PERSONAL = (r"\bpan\b", r"\baadhaar\b|\baadhar\b", r"\botp\b", r"\baccount number\b|\bbank account\b", r"\bifsc\b", r"\bemail\b|\be-mail\b", r"\bphone number\b|\bmobile number\b", r"[a-z]{5}[0-9]{4}[a-z]", r"\b\d{12}\b")
@@ -80,13 +81,10 @@ def route(question: Column, scope: Column, enough: Column, policy: Policy | None
 
 
 def resolve_entities(questions: DataFrame, aliases: DataFrame, guard: str) -> DataFrame:
-    """(query_id, entity): of the aliases (alias, entity, priority, free) that a question contains, the first by priority;
-    an alias that is not free counts only where the guard word occurs. Candidates come from an equi-join on the alias's
-    first word, not from a nested loop."""
-    asked = questions.select("query_id", F.concat(F.lit(" "), normalise(F.col("text")), F.lit(" ")).alias("q"))
-    words = asked.select("query_id", "q", F.explode(F.array_distinct(F.split(F.trim("q"), "[^a-z0-9]+"))).alias("word"))
-    named = aliases.withColumn("word", F.element_at(F.split("alias", "[^a-z0-9]+"), 1))
-    hits = words.join(named, "word").where(F.contains("q", F.col("alias")) & (F.col("free") | F.contains("q", F.lit(guard))))
+    """(query_id, entity): of the aliases (alias, entity, priority, free) that a question contains as substrings, the first
+    by priority; an alias that is not free counts only where the guard word occurs."""
+    asked = questions.select("query_id", normalise(F.col("text")).alias("q"))
+    hits = containing(aliases, "alias", asked, "q").where(F.col("free") | F.contains("q", F.lit(guard)))
     return hits.groupBy("query_id").agg(F.min_by("entity", F.struct("priority", "alias")).alias("entity"))
 
 

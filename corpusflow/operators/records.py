@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,10 +25,26 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, order: str | None = None
     return kept.unionByName(fresh.select(base.columns))
 
 
-def numbered(df: DataFrame, prefix: str, offset: int = 0) -> DataFrame:
-    """Adds unique ids ``prefix`` + number from ``offset`` on. Numbers rise within and across partitions and are not dense:
-    dense ones would take a global order in one task."""
-    return df.withColumn("new_id", F.concat(F.lit(prefix), (F.monotonically_increasing_id() + offset).cast("string")))
+def numbered(df: DataFrame, prefix: str, order: str, offset: int = 0) -> DataFrame:
+    """Adds ids ``prefix`` + number, dense from ``offset`` on, in the order of a column (unique, so a rerun gives the same).
+
+    Rows are dealt to range partitions; a row's number is its rank within its partition and the sizes of those before it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    ranked = placed.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(order)))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    before = W.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_rank") - 1 + offset
+    return ranked.join(offsets, "_part").withColumn("new_id", F.concat(F.lit(prefix), number.cast("string"))).drop("_part", "_rank", "_before")
+
+
+def filled(docs: DataFrame, text: str, embed: Callable[[Column], Column], metadata: str = "metadata", embedding: str = "embedding") -> DataFrame:
+    """Defaults of rows that are added: an empty map where the metadata are null, and a vector of the text where the
+    embedding is null; other texts are not embedded."""
+    plain = F.create_map().cast(docs.schema[metadata].dataType)
+    own = embed(F.when(F.col(embedding).isNull(), F.col(text)))
+    return docs.withColumns({metadata: F.coalesce(metadata, plain), embedding: F.coalesce(F.col(embedding), own)})
 
 
 def slug(name: Column, position: Column) -> Column:
@@ -130,10 +148,36 @@ def missing_from(expected: DataFrame, found: DataFrame, column: str) -> DataFram
     return expected.join(found.select(column).distinct(), column, "left_anti")
 
 
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """All distinct substrings of up to three characters, the empty one among them."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(of(n) for n in range(1, GRAM + 1))))
+
+
+def name_grams(name: Column) -> Column:
+    """Of a name, its substrings of three characters; a shorter name is one gram itself."""
+    n = F.length(name)
+    return F.when(n < GRAM, F.array(name)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring(name, i, F.lit(GRAM)))))
+
+
+def containing(names: DataFrame, name: str, texts: DataFrame, text: str) -> DataFrame:
+    """Names and texts, with all their columns, where the text contains the name as a substring.
+
+    They meet by an equi-join on one gram of the name, the one that the fewest texts hold, which every containing text
+    holds too; then the substring test decides. Both tables keep their own columns, so their names must differ."""
+    held = texts.withColumn("_gram", F.explode(grams(F.col(text))))
+    often = held.groupBy("_gram").agg(F.count("*").alias("_often"))
+    own = names.select(F.col(name).alias("_name")).distinct().withColumn("_gram", F.explode(name_grams(F.col("_name"))))
+    best = own.join(often, "_gram").groupBy("_name").agg(F.count("*").alias("_n"), F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"), F.first(F.size(name_grams(F.col("_name")))).alias("_all"))
+    keyed = names.join(best.where("_n = _all").select("_name", "_gram"), names[name] == F.col("_name")).drop("_name")  # else no text holds some gram
+    return keyed.join(held, "_gram").where(F.contains(F.col(text), F.col(name))).drop("_gram")
+
+
 def missing_by_substring(expected: DataFrame, found: DataFrame, name: str, text: str) -> DataFrame:
-    """Expected names which no found text contains. Names and texts of one token match by an equi-join on it: a text's
-    tokens are exploded, so the candidates come from a shuffle on the name's first token instead of a nested loop."""
-    first = F.element_at(F.split(F.lower(name), r"[^a-z0-9]+"), 1)
-    tokens = found.select(text, F.explode(F.array_distinct(F.split(F.lower(text), r"[^a-z0-9]+"))).alias("_token"))
-    hits = expected.withColumn("_token", first).join(tokens, "_token").where(F.contains(F.lower(text), F.lower(name))).select(name).distinct()
-    return expected.join(hits, name, "left_anti")
+    """Expected names which no found text contains, whatever the case."""
+    names = expected.select(F.lower(name).alias("_expected")).distinct()
+    hits = containing(names, "_expected", found.select(F.lower(text).alias("_found")).distinct(), "_found").select("_expected").distinct()
+    return expected.join(hits, F.lower(expected[name]) == F.col("_expected"), "left_anti")

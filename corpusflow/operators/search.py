@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,66 +26,125 @@ def top_k(pairs: DataFrame, by: str, k: int, *order: Column, rank: str = "rank")
     return pairs.withColumn(rank, F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def sparse_distances(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, doc_id, distance) of all pairs that share a dimension, from (id, dim, value) unit vectors.
+#: So many queries at most are broadcast, with the vectors or tokens of one text each; more are dealt out with the corpus.
+BROADCAST_QUERIES = 4096
+#: So many rows of slim candidates (ids and numbers) at most are broadcast.
+BROADCAST_ROWS = 200_000
+QUERY_BLOCK, CORPUS_BLOCK = 256, 4096
 
-    An equi-join on the dimension; products are summed per pair with map-side combine. Spark broadcasts the side that it
-    measures to be small."""
-    q = queries.select("query_id", "dim", F.col("value").alias("qv"))
-    d = corpus.select("doc_id", "dim", F.col("value").alias("dv"))
-    return d.join(q, "dim").groupBy("query_id", "doc_id").agg(F.round(1 - F.sum(F.col("qv") * F.col("dv")), 6).alias("distance"))
 
+def packed(rows: DataFrame, kinds: str, size: int = CORPUS_BLOCK) -> DataFrame:
+    """Rows of up to ``size`` rows each, every column as an array, made where the rows are: no shuffle."""
+    names = rows.columns
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = FETCHED) -> DataFrame:
-    return top_k(sparse_distances(queries, corpus), "query_id", k, F.col("distance"), F.col("doc_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in part.columns], names)
+
+    return rows.mapInArrow(run, kinds)
+
+
+def dealt(rows: DataFrame, key: str, size: int, blocks: int) -> DataFrame:
+    """(block, columns as arrays): rows of about ``size`` rows, dealt out by a hash of the key."""
+    held = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.struct("*").alias("r"))
+    return held.groupBy("block").agg(F.collect_list("r").alias("r")).select("block", *(F.col("r")[c].alias(c) for c in rows.columns))
+
+
+def met(queries: DataFrame, corpus: DataFrame, kinds: str) -> DataFrame:
+    """Each block of queries (columns q0, q1, ...) with each block of the corpus (d0, d1, ...), key columns first.
 
+    Up to ``BROADCAST_QUERIES`` queries are broadcast to corpus blocks that are packed where they lie. Beyond it both sides
+    are dealt out in blocks, and every block of queries is sent to each block of the corpus by an equi-join."""
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    q = dealt(queries, queries.columns[0], QUERY_BLOCK, blocks)
+    if n <= BROADCAST_QUERIES:
+        everywhere = packed(corpus, kinds).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        return everywhere.join(F.broadcast(q), "block")
+    parts = max(1, -(-corpus.count() // CORPUS_BLOCK))
+    sent = q.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return sent.join(dealt(corpus, corpus.columns[0], CORPUS_BLOCK, parts), "block")
 
-def in_blocks(vectors: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
-    """(block, ids, vectors): rows of about ``size`` vectors, and how many blocks there are."""
-    blocks = max(1, -(-vectors.count() // size))
-    held = vectors.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.struct(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e")).alias("r"))
-    rows = held.groupBy("block").agg(F.collect_list("r").alias("r"))
-    return rows.select("block", F.col("r.id").alias("ids"), F.flatten("r.e").alias("flat")), blocks
 
+def _matrix(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+    rows = batch.column(column)[i].values
+    v = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    length = np.linalg.norm(v, axis=1)
+    return v / np.where(length == 0, 1, length)[:, None]
 
-def _unit(batch: pa.RecordBatch, ids: str, flat: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    key = batch.column(ids)[i].values.to_numpy()
-    v = batch.column(flat)[i].values.to_numpy(zero_copy_only=False).reshape(len(key), -1)
-    n = np.linalg.norm(v, axis=1)
-    return key, v / np.where(n == 0, 1, n)[:, None]
 
+def _ids(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+    return batch.column(column)[i].values.to_numpy()
 
-def nearest_dense(queries: DataFrame, corpus: DataFrame, k: int = 10, query_block: int = 256, corpus_block: int = 4096) -> DataFrame:
-    """Exact nearest neighbours of dense vectors of one length: (query_id, embedding) against (doc_id, embedding).
 
-    Both sides become rows of bounded blocks; each block of queries meets each block of the corpus by an equi-join, one
-    matrix product yields at most k rows a query, and the rest is a top-k. Nothing but two counts comes to the driver."""
-    q, _ = in_blocks(queries, "query_id", query_block)
-    d, n = in_blocks(corpus, "doc_id", corpus_block)
-    everywhere = q.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
+def nearest_dense(queries: DataFrame, corpus: DataFrame, k: int = 10, overlapping: bool = False) -> DataFrame:
+    """Exact nearest neighbours of dense vectors of one length: (query_id, embedding) against (doc_id, embedding), as
+    (query_id, doc_id, distance, rank); ``overlapping`` leaves out pairs whose product is not positive.
+
+    One matrix product for each two blocks yields at most k rows a query, and the rest is a top-k. Only counts come to the
+    driver. Null vectors are left out."""
+    q = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("q0"), F.col("embedding").cast("array<double>").alias("q1"))
+    d = corpus.where("embedding is not null").select(F.col("doc_id").cast("long").alias("d0"), F.col("embedding").cast("array<double>").alias("d1"))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (a, x), (b, y) = _unit(batch, "q_ids", "q_flat", i), _unit(batch, "ids", "flat", i)
-                distance = np.round(1 - x @ y.T, 6) + 0.0  # no negative zero
+                a, b = _ids(batch, "q0", i), _ids(batch, "d0", i)
+                similarity = _matrix(batch, "q1", i) @ _matrix(batch, "d1", i).T
+                distance = np.round(1 - similarity, 6) + 0.0  # no negative zero
+                if overlapping:
+                    distance[similarity <= 0] = np.inf
                 place = np.lexsort((np.broadcast_to(b, distance.shape), distance), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, place.shape[1])), pa.array(b[place].ravel()), pa.array(np.take_along_axis(distance, place, 1).ravel())], ["query_id", "doc_id", "distance"])
+                found = np.take_along_axis(distance, place, 1).ravel()
+                rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(a, place.shape[1])), pa.array(b[place].ravel()), pa.array(found)], ["query_id", "doc_id", "distance"])
+                yield rows.filter(pa.array(np.isfinite(found)))
+
+    pairs = met(q, d, "d0 array<long>, d1 array<array<double>>").select("q0", "q1", "d0", "d1").mapInArrow(products, "query_id long, doc_id long, distance double")
+    return top_k(pairs, "query_id", k, F.col("distance"), F.col("doc_id"))
+
 
-    met = everywhere.join(d, "block").select("q_ids", "q_flat", "ids", "flat")
-    return top_k(met.mapInArrow(products, "query_id long, doc_id long, distance double"), "query_id", k, F.col("distance"), F.col("doc_id"))
+def fetched(candidates: DataFrame, corpus: DataFrame, most_rows: int) -> DataFrame:
+    """Slim candidates with their rows of the corpus, by doc_id. ``most_rows`` is a bound on the candidates: within
+    ``BROADCAST_ROWS`` they are broadcast and the corpus stays where it is."""
+    return corpus.join(F.broadcast(candidates) if most_rows <= BROADCAST_ROWS else candidates, "doc_id")
 
 
-def token_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n): distinct query tokens, with how many the row has."""
-    return docs.select(key, F.array_distinct(query_tokens(F.col(text))).alias("t")).select(key, F.size("t").alias("n"), F.explode("t").alias("token"))
+def lexical_overlap(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, overlap): share of the query's distinct tokens that the document holds, over 0; the k largest of
+    each query, by doc_id among equals, or all.
 
+    Blocks meet as dense vectors do: a product of token incidences gives the counts, so no frequent token is a join key."""
+    tokens = lambda: F.array_distinct(query_tokens(F.col("text")))
+    q = queries.where("text is not null").select(F.col("query_id").cast("long").alias("q0"), tokens().alias("q1"))
+    d = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("d0"), tokens().alias("d1"))
 
-def lexical_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, overlap): share of the query's distinct tokens that the document holds, over 0; equi-join on tokens."""
-    q = token_sets(queries, "query_id", "text")
-    d = token_sets(docs, "doc_id", "text").select("doc_id", "token")
-    return d.join(q, "token").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("shared")).select("query_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = _ids(batch, "q0", i), _ids(batch, "d0", i)
+                asked, held = batch.column("q1")[i].values, batch.column("d1")[i].values
+                words = pc.unique(asked.flatten())
+                sizes = asked.value_lengths().to_numpy()
+                left = np.zeros((len(a), len(words)), np.float32)
+                left[np.repeat(np.arange(len(a)), sizes), pc.index_in(asked.flatten(), words).to_numpy()] = 1
+                at = pc.index_in(held.flatten(), words)
+                of = np.repeat(np.arange(len(b)), held.value_lengths().to_numpy())[np.asarray(at.is_valid())]
+                right = np.zeros((len(b), len(words)), np.float32)
+                right[of, at.drop_null().to_numpy()] = 1
+                shared = (left @ right.T).astype(np.int64)
+                if k is None:
+                    x, y = np.nonzero(shared)
+                else:
+                    y = np.lexsort((np.broadcast_to(b, shared.shape), -shared), axis=1)[:, :k]
+                    x, y = np.repeat(np.arange(len(a)), y.shape[1]), y.ravel()
+                    x, y = x[shared[x, y] > 0], y[shared[x, y] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[y]), pa.array(shared[x, y]), pa.array(sizes[x].astype(np.int64))], ["query_id", "doc_id", "shared", "n"])
+
+    pairs = met(q, d, "d0 array<long>, d1 array<array<string>>").select("q0", "q1", "d0", "d1").mapInArrow(products, "query_id long, doc_id long, shared long, n long")
+    found = pairs.select("query_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
+    return found if k is None else top_k(found, "query_id", k, F.desc("overlap"), F.col("doc_id")).drop("rank")
 
 
 def keep_matching(candidates: DataFrame, by: str, match: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import extract as E
@@ -19,10 +19,10 @@ LEAST_TEXT = 100
 
 
 def cleaned(pages: DataFrame) -> DataFrame:
-    """(url, html, text, heading, lang, reason): reason is ``ok`` or why the page is left out."""
-    rows = pages.select("url", "html", H.visible_text(F.col("html")).alias("visible"))
+    """The pages' columns and text, name, type and reason: reason is ``ok`` or why the page is left out."""
+    rows = pages.select("*", H.visible_text(F.col("html")).alias("visible"))
     reason = F.when(F.col("html").isNull(), "no content").when(F.lower("visible").rlike("|".join(ERROR_PHRASES)), "error page").when(F.length("visible") < LEAST_TEXT, "too short").otherwise("ok")
-    return rows.select("url", "html", T.strip_noise(F.col("visible")).alias("text"), H.heading(F.col("html")).alias("name"), H.attribute(F.col("html"), "html", "lang").alias("type"), reason.alias("reason"))
+    return rows.select(*pages.columns, T.strip_noise(F.col("visible")).alias("text"), H.heading(F.col("html")).alias("name"), H.attribute(F.col("html"), "html", "lang").alias("type"), reason.alias("reason"))
 
 
 def fields(clean: DataFrame) -> DataFrame:
@@ -31,7 +31,9 @@ def fields(clean: DataFrame) -> DataFrame:
 
 
 def page_chunks(records: DataFrame) -> DataFrame:
-    """Typed chunks of each page, its whole text among them, with neighbours' context, scores and the text that is embedded."""
+    """Typed chunks of each page, its whole text among them, with neighbours' context, scores and the text that is embedded.
+
+    Chunks and their contexts are made in the page's row, and the rows of chunks come last."""
     c = F.col
     parts = (
         ("primary_001", "primary", "high", "Overview", (("name", "Name", c("name")), ("type", "Type", c("type")), ("category", "Risk Level", c("riskometer")))),
@@ -39,31 +41,62 @@ def page_chunks(records: DataFrame) -> DataFrame:
         ("metric_002", "metric", "high", "Investment Information", (("min_sip", "Minimum SIP", c("min_sip")), ("nav", "Current NAV", c("nav")))),
     )
     text = ("overview", "overview", "medium", "Details", (("description", "Text", c("text")),))
-    rows = K.with_neighbours(K.typed_chunks(records, "url", parts, long=text), "url", "chunk_no")
+    made = records.select("*", K.chunk_array(parts, long=text).alias("chunks"))
+    rows = made.select("*", F.explode(K.neighbours_within(c("chunks"))).alias("r")).select("*", "r.chunk.*", "r.with_context").drop("chunks", "r")
     prepared = T.expand_abbreviations(F.concat(F.lit("Page: "), "url", F.lit(" | Type: "), "chunk_type", F.lit(" | "), "with_context"))
     return rows.withColumns({
-        "id": F.concat_ws("#", "url", "chunk_id"), "completeness": K.chunk_completeness(c("chunk_type"), c("source_fields")), "relevance": K.relevance(c("chunk_type"), c("priority")), "embedded_text": prepared,
+        "id": F.concat_ws("#", "url", "chunk_id"), "token_count": T.token_estimate(c("content")), "completeness": K.chunk_completeness(c("chunk_type"), c("source_fields")),
+        "relevance": K.relevance(c("chunk_type"), c("priority")), "embedded_text": prepared,
+    })
+
+
+def with_metadata(chunks: DataFrame) -> DataFrame:
+    """Adds what is kept about a chunk: structs of its page, its chunking, its quality and its source."""
+    c = F.col
+    return chunks.withColumns({
+        "page_metadata": F.struct(c("name"), F.coalesce("type", F.lit(T.SENTINEL)).alias("type"), T.to_sentinel(c("riskometer")).alias("risk_level"), T.to_sentinel(c("aum")).alias("size")),
+        "chunking_metadata": F.struct("chunk_id", "chunk_type", "priority", (c("with_context") != c("content")).alias("overlap_applied")),
+        "quality_metadata": F.struct("token_count", F.size("source_fields").alias("source_field_count"), c("completeness").alias("completeness_score"), c("relevance").alias("relevance_score")),
+        "source_metadata": F.struct(c("url").alias("source_url"), c("fetched_at")),
     })
 
 
+METADATA = ("page_metadata", "chunking_metadata", "quality_metadata", "source_metadata")
+
+
 def embedded(chunks: DataFrame) -> DataFrame:
     """Chunks with their sparse vector as a map; the text stays beside it."""
-    vectors = M.sparse_vectors(chunks, "id", "embedded_text").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("vector"))
-    return chunks.join(vectors, "id", "left").select("id", "url", "chunk_id", "chunk_type", "content", "with_context", "token_count", "completeness", "relevance", "vector")
+    vector = F.map_from_entries(M.sparse_vector(F.col("embedded_text")))
+    return with_metadata(chunks).select("id", "url", "chunk_id", "chunk_type", "content", "with_context", "token_count", "completeness", "relevance", vector.alias("vector"), *METADATA)
+
+
+def one_version(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """(url, html, fetched_at): one version of each page, the last by ``order``; equal or without one, that with the greatest
+    content hash, so a rerun takes the same."""
+    at = F.col(order) if order else F.lit(None).cast("timestamp")
+    rows = pages.select("url", "html", at.cast("string").alias("fetched_at"), F.struct(at.alias("at"), F.md5("html").alias("hash")).alias("_order"))
+    return R.last_per_key(rows, "url", "_order").drop("_order")
 
 
-def transform(pages: DataFrame) -> DataFrame:
-    """All stages from pages to rows of a collection; also what a stream applies to each micro-batch."""
-    good, _ = R.split_by(cleaned(pages.dropDuplicates(["url"])), F.col("reason") == "ok")
+def transform(pages: DataFrame, order: str | None = None, seen: Observation | None = None) -> DataFrame:
+    """All stages from pages to rows of a collection; also what a stream applies to each micro-batch. ``seen`` gets the
+    number of pages and of good ones when the rows are written."""
+    clean = cleaned(one_version(pages, order))
+    if seen is not None:
+        clean = clean.observe(seen, F.count("*").alias("sources"), F.count_if(F.col("reason") == "ok").alias("good"))
+    good, _ = R.split_by(clean, F.col("reason") == "ok")
     return embedded(page_chunks(fields(good)))
 
 
-def run(pages: DataFrame, collection: Collection, at: str, thresholds: dict[str, float] | None = None, report: str | None = None) -> dict:
+def run(pages: DataFrame, collection: Collection, at: str, thresholds: dict[str, float] | None = None, report: str | None = None, order: str | None = None) -> dict:
     """Stage, check and publish; a failed gate leaves the published version as it was.
 
     Returns success, the check rows and the version; the checks are small (one row a threshold)."""
-    stages = cleaned(pages).agg(F.count("*").alias("sources"), F.round(F.avg((F.col("reason") == "ok").cast("int")) * 100, 4).alias("success_rate"))
-    version = collection.stage(transform(pages))
+    seen = Observation()
+    version = collection.stage(transform(pages, order, seen))
+    counts = seen.get
+    rate = round(100 * counts["good"] / counts["sources"], 4) if counts["sources"] else None
+    stages = collection.spark.createDataFrame([(counts["sources"], rate)], "sources long, success_rate double")
     staged = collection.read(version)
     q = staged.agg(F.count("*").alias("document_count"), F.round(F.avg("completeness"), 4).alias("completeness"), F.round(F.avg("relevance"), 4).alias("quality"))
     checked = gate.checks(gate.side_by_side(stages, q), thresholds or gate.THRESHOLDS)

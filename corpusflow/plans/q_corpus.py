@@ -149,10 +149,11 @@ def missing_entities(spark, d):
     return R.missing_from(nations, found, "n_nationkey").select("n_name")
 
 
-@query("SELECT t AS name FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS t FROM part UNION SELECT DISTINCT lower(p_name) FROM part) WHERE NOT EXISTS (SELECT 1 FROM part p WHERE contains(lower(p.p_type), t) AND list_contains(string_split_regex(lower(p.p_type), '[^a-z0-9]+'), string_split_regex(t, '[^a-z0-9]+')[1]))")
+@query("SELECT t AS name FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS t FROM part UNION SELECT DISTINCT lower(p_name) FROM part UNION SELECT DISTINCT lower(substr(p_brand, 7, 2)) FROM part UNION SELECT 'ee') WHERE NOT EXISTS (SELECT 1 FROM part p WHERE contains(lower(p.p_type), t))")
 def missing_by_substring(spark, d):
     p = table(spark, d, "part")
-    names = p.select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("name")).union(p.select(F.lower("p_name").alias("name"))).distinct()
+    names = p.select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("name")).union(p.select(F.lower("p_name").alias("name"))).union(p.select(F.lower(F.substring("p_brand", 7, 2)).alias("name")))
+    names = names.union(p.select(F.lit("ee").alias("name"))).distinct()
     return R.missing_by_substring(names, p.select("p_type").distinct(), "name", "p_type")
 
 

@@ -32,7 +32,7 @@ def hashed_vectors(spark, d):
 
 @query("SELECT id AS item_id, sum(dim)::BIGINT AS dims, round(sum(v * (dim + 1)), 4) AS weighted FROM (" + _VECTOR.format(QUESTIONS) + ") GROUP BY 1")
 def dense_vectors(spark, d):
-    v = M.dense(M.sparse_vectors(table(spark, d, "benchmark"), "item_id", "text"), "item_id")
+    v = M.dense_vectors(table(spark, d, "benchmark"), "item_id", "text")
     weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     dims = F.aggregate(F.transform("embedding", lambda x, i: F.when(x != 0, i.cast("long")).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
     return v.select("item_id", dims.alias("dims"), F.round(weighted, 4).alias("weighted"))
@@ -46,18 +46,19 @@ def _corpus(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "source", "lang")
 
 
-def _sparse(df, key):
-    return M.sparse_vectors(df, key, "text")
-
-
 _NEAREST = f"""q AS ({_VECTOR.format(QUESTIONS)}), c AS ({_VECTOR.format(DOCS)}),
 dist AS (SELECT q.id AS query_id, c.id AS doc_id, round(1 - sum(q.v * c.v), 6) AS distance FROM q JOIN c ON q.dim = c.dim GROUP BY ALL),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM dist) WHERE rank <= 30)"""
 
 
+def nearest(queries, corpus):
+    """The 30 nearest documents of each query that share a dimension with it."""
+    return S.nearest_dense(M.dense_vectors(queries, "query_id", "text"), M.dense_vectors(corpus, "doc_id", "text"), S.FETCHED, overlapping=True)
+
+
 @query(f"WITH {_NEAREST} SELECT query_id, doc_id, distance, rank::INTEGER AS rank FROM near")
 def nearest_documents(spark, d):
-    return S.nearest(_sparse(_queries(spark, d), "query_id"), _sparse(_corpus(spark, d), "doc_id"))
+    return nearest(_queries(spark, d), _corpus(spark, d))
 
 
 @query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings),
@@ -100,7 +101,7 @@ def lexical_overlap(spark, d):
 @query(f"""WITH {_LEX}, r AS (SELECT *, round(overlap * 0.9 + 0.000000001, 6) AS score FROM lex), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r)
 SELECT query_id, doc_id, score, rank::INTEGER AS rank, max(score) OVER (PARTITION BY query_id) >= 0.10 AS enough FROM t WHERE rank <= 6""")
 def retrieve_lexical(spark, d):
-    rows = S.lexical_overlap(_queries(spark, d), _corpus(spark, d)).withColumn("score", S.hybrid_score(F.lit(None).cast("double"), F.col("overlap"), F.lit(0.0)))
+    rows = S.lexical_overlap(_queries(spark, d), _corpus(spark, d), S.FINAL).withColumn("score", S.hybrid_score(F.lit(None).cast("double"), F.col("overlap"), F.lit(0.0)))
     top = S.top_k(rows, "query_id", S.FINAL, F.desc("score"), F.col("doc_id"))
     best = F.max("score").over(W.partitionBy("query_id"))
     return top.select("query_id", "doc_id", "score", "rank", S.sufficient(best, F.lit(False)).alias("enough"))
@@ -110,9 +111,9 @@ def retrieved(queries, corpus):
     """Fetch 30 by vector, keep the requested entity's where there are any, rescore, keep 6.
 
     Texts stay out of the vector join: candidates carry ids, and the few that are left fetch their texts by an equi-join."""
-    near = S.nearest(_sparse(queries, "query_id"), _sparse(corpus, "doc_id"))
+    near = nearest(queries, corpus)
     wanted = queries.select("query_id", F.col("text").alias("query"), F.concat(F.lit("src"), F.pmod("query_id", F.lit(20)).cast("string")).alias("entity"), F.lit("en").alias("kind"))
-    rows = near.join(wanted, "query_id").join(corpus.select("doc_id", "text", "source", "lang"), "doc_id")
+    rows = S.fetched(near, corpus.select("doc_id", "text", "source", "lang"), queries.count() * S.FETCHED).join(wanted, "query_id")
     rows = S.keep_matching(rows, "query_id", F.col("source") == F.col("entity"))
     q, t = F.array_distinct(T.query_tokens(F.col("query"))), T.query_tokens(F.col("text"))
     overlap = F.when(F.size(q) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(q, t)) / F.size(q), 6))
@@ -167,11 +168,11 @@ def policy_routes(spark, d):
     )
 
 
-@query("""WITH a AS (SELECT word AS alias, upper(word) AS entity, p AS priority, p % 2 = 0 AS free FROM (VALUES ('the', 3), ('sur', 2), ('oder', 1), ('von der', 0)) v(word, p)),
-q AS (SELECT conv_id * 1000 + turn AS query_id, ' ' || trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || ' ' AS q FROM conversations)
-SELECT query_id, arg_min(entity, priority) AS entity FROM q JOIN a ON contains(q, alias) AND (free OR contains(q, 'and')) AND list_contains(string_split_regex(trim(q), '[^a-z0-9]+'), string_split(alias, ' ')[1]) GROUP BY 1""")
+@query("""WITH a AS (SELECT word AS alias, upper(word) AS entity, p AS priority, p % 2 = 0 AS free FROM (VALUES ('the', 4), ('sur', 3), ('oder', 2), ('von der', 0), ('ü', 5), ('ch', 1)) v(word, p)),
+q AS (SELECT conv_id * 1000 + turn AS query_id, trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS q FROM conversations)
+SELECT query_id, arg_min(entity, priority) AS entity FROM q JOIN a ON contains(q, alias) AND (free OR contains(q, 'and')) GROUP BY 1""")
 def entity_aliases(spark, d):
-    names = (("the", 3), ("sur", 2), ("oder", 1), ("von der", 0))
+    names = (("the", 4), ("sur", 3), ("oder", 2), ("von der", 0), ("ü", 5), ("ch", 1))
     aliases = spark.createDataFrame([(w, w.upper(), p, p % 2 == 0) for w, p in names], "alias string, entity string, priority int, free boolean")
     questions = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     return G.resolve_entities(questions, aliases, "and")

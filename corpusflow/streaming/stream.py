@@ -14,11 +14,12 @@ from ..sources.store import Collection
 
 
 def upsert_stream(pages: DataFrame, transform: Callable[[DataFrame], DataFrame], collection: Collection, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Each micro-batch is transformed and upserted. A batch that is delivered again after a failure changes nothing:
-    its reason names the batch, and a published batch is skipped."""
+    """Each micro-batch is transformed and upserted. A batch that is delivered again after a failure changes nothing: its
+    reason names the stream, by its checkpoint, and the batch, and a published batch is skipped. Streams with checkpoints of
+    their own may feed one collection, one after another: a publication names the version that it came from."""
 
     def put(batch: DataFrame, number: int) -> None:
-        reason = f"batch {number}"
+        reason = f"stream {checkpoint} batch {number}"
         if collection.manifest().where(F.col("reason") == reason).isEmpty():
             collection.upsert(transform(batch), reason, "", order)
 

@@ -1,5 +1,6 @@
 """Invariants of records, search, policy, stores, ingestion and streams."""
 
+import hashlib
 import json
 import random
 import time
@@ -28,26 +29,62 @@ def test_upsert_replaces_adds_and_is_idempotent(spark):
     assert rows(R.upsert(once, delta, "id", "seq")) == rows(once)
 
 
-def test_numbers_are_unique(spark):
-    got = [r["new_id"] for r in R.numbered(spark.range(100).repartition(3), "doc_", 7).collect()]
-    assert len(set(got)) == 100 and "doc_7" in got
+def test_numbers_are_dense_and_follow_the_order(spark):
+    df = spark.range(100).select((F.col("id") * 37 % 101).alias("k")).repartition(3)
+    got = {r["k"]: r["new_id"] for r in R.numbered(df, "doc_", "k", 7).collect()}
+    assert [got[k] for k in sorted(got)] == [f"doc_{i + 7}" for i in range(100)]
+
+
+def test_defaults_are_filled(spark):
+    docs = spark.createDataFrame([(1, "the cat", None, [1.0]), (2, "the dog", {"a": "b"}, None), (3, None, None, None)], "id int, text string, metadata map<string,string>, embedding array<double>")
+    got = {r["id"]: r for r in R.filled(docs, "text", M.dense_vector).collect()}
+    assert got[1]["metadata"] == {} and got[1]["embedding"] == [1.0] and got[2]["metadata"] == {"a": "b"} and got[3]["embedding"] is None
+    assert got[2]["embedding"] == docs.where("id = 2").select(M.dense_vector(F.col("text"))).first()[0] and len(got[2]["embedding"]) == 384
+
+
+DOCS = [(1, "the cat the dog"), (2, "The Cat, the DOG!"), (3, ""), (4, None), (5, "zebra"), (6, "the zebra")]
 
 
 def test_vectors(spark):
-    docs = spark.createDataFrame([(1, "the cat the dog"), (2, "The Cat, the DOG!"), (3, ""), (4, None), (5, "zebra")], "id int, t string")
+    docs = spark.createDataFrame(DOCS, "id int, t string")
     v = M.sparse_vectors(docs, "id", "t")
     norms = {r[0]: r[1] for r in v.groupBy("id").agg(F.sum(F.col("value") * F.col("value"))).collect()}
-    assert set(norms) == {1, 2, 5} and all(abs(n - 1) < 1e-12 for n in norms.values())
-    d = S.sparse_distances(v.withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "doc_id"))
-    assert {(r[0], r[1]): r[2] for r in d.collect()}[(1, 2)] == 0.0
-    assert M.dense(v, "id").select(F.size("embedding")).distinct().collect()[0][0] == 384
-
-
-def test_dense_neighbours_equal_brute_force(spark):
+    assert set(norms) == {1, 2, 5, 6} and all(abs(n - 1) < 1e-12 for n in norms.values())
+    assert rows(M.term_frequencies(docs.where("id = 1"), "id", "t")) == [(1, "cat", 1), (1, "dog", 1), (1, "the", 2)]
+    d = M.dense_vectors(docs, "id", "t")
+    assert [r[1] for r in d.select("id", F.size("embedding")).orderBy("id").collect()] == [384, 384, 384, None, 384, 384]
+    plan = M.sparse_vectors(docs, "id", "t")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+    q, c = d.select(F.col("id").alias("query_id"), "embedding"), d.select(F.col("id").alias("doc_id"), "embedding")
+    near = S.nearest_dense(q, c, 3, overlapping=True)
+    by = {(r["query_id"], r["doc_id"]): r["distance"] for r in near.collect()}
+    assert by[(1, 2)] == 0.0 and (5, 1) not in by and 0 < by[(5, 6)] < 1 and not any(3 in k for k in by)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lexical_overlap_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 4096 if broadcast else 0)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 2)
+    docs = spark.createDataFrame(DOCS, "doc_id int, text string")
+    asked = [(1, "the cat sat"), (2, "zebra zebra"), (3, "none"), (4, "the the cat dog"), (5, None)]
+    got = S.lexical_overlap(spark.createDataFrame(asked, "query_id int, text string"), docs)
+    tokens = lambda t: {w for w in "".join(c if c.isalnum() or c in "%.-" else " " for c in (t or "").lower()).split() if len(w) >= 3}
+    expected = [(q, d, round(len(tokens(a) & tokens(b)) / len(tokens(a)), 6)) for q, a in asked for d, b in DOCS if tokens(a) & tokens(b)]
+    assert rows(got) == sorted(expected, key=repr)
+    best = S.lexical_overlap(spark.createDataFrame(asked, "query_id int, text string"), docs, 2)
+    kept = [sorted((x for x in expected if x[0] == q), key=lambda x: (-x[2], x[1]))[:2] for q, _ in asked]
+    assert rows(best) == sorted((x for k in kept for x in k), key=repr)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_dense_neighbours_equal_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 4096 if broadcast else 0)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(S, "CORPUS_BLOCK", 13)
     rng = random.Random(1)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)] if i else [0.0] * 8) for i in range(60)]
     df = spark.createDataFrame(vectors, "id long, e array<double>")
-    got = S.nearest_dense(df.select(F.col("id").alias("query_id"), F.col("e").alias("embedding")), df.select(F.col("id").alias("doc_id"), F.col("e").alias("embedding")), 4, query_block=7, corpus_block=13)
+    got = S.nearest_dense(df.select(F.col("id").alias("query_id"), F.col("e").alias("embedding")), df.select(F.col("id").alias("doc_id"), F.col("e").alias("embedding")), 4)
     norm = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
     expected = []
     for q, a in vectors:
@@ -81,10 +118,12 @@ def test_aliases(spark):
     assert rows(G.resolve_entities(asked, aliases, "acme")) == [(1, "Mid"), (3, "Tax")]
 
 
-def test_missing_by_substring_equals_brute_force(spark):
-    names, texts = ["alpha", "beta fund", "gamma"], ["the Alpha one", "betas", "beta fund ii"]
-    got = R.missing_by_substring(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(t,) for t in texts], "t string"), "name", "t")
-    assert rows(got) == [(n,) for n in names if not any(n in t.lower() for t in texts)]
+def test_substring_joins_equal_brute_force(spark):
+    names = ["alpha", "beta fund", "gamma", "steel", "économie", "", "é", "ta", "zz", "Beta"]
+    texts = ["the Alpha one", "betas", "beta fund ii", "stainlesssteel", "l'économie", "", None, "x"]
+    n, t = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in texts], "t string")
+    assert rows(R.missing_by_substring(n, t, "name", "t")) == sorted((x,) for x in names if not any(x.lower() in (y or "").lower() for y in texts if y is not None))
+    assert rows(R.containing(n, "name", t, "t")) == sorted(((x, y) for x in names for y in texts if y is not None and x in y), key=repr)
 
 
 # Stores
@@ -158,6 +197,30 @@ def test_upsert_stream_equals_batch(spark, tmp_path):
     assert rows(c.read().select("id", "content")) == rows(ingest.transform(p).select("id", "content"))
 
 
+def test_streams_of_their_own_lose_no_rows(spark, tmp_path):
+    """Two streams, and one with a new checkpoint, feed one collection: each starts at batch 0."""
+    c = Collection(spark, f"file://{tmp_path}/c")
+    p = pages(spark, 4)
+    for n, some in enumerate((p.where("url < 'https://s2'"), p.where("url >= 'https://s2'"))):
+        some.write.parquet(f"{tmp_path}/in{n}")
+        ST.upsert_stream(spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in{n}"), ingest.transform, c, f"{tmp_path}/check{n}").awaitTermination(120)
+    assert {r["url"] for r in c.read().collect()} == {f"https://s{i}.org/p" for i in range(4)}
+    again = ST.upsert_stream(spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in0"), ingest.transform, c, f"{tmp_path}/new")
+    again.awaitTermination(120)
+    assert rows(c.read().select("id", "content")) == rows(ingest.transform(p).select("id", "content")) and c.manifest().count() == 3
+
+
+def test_one_version_of_a_page_is_taken(spark):
+    body = lambda t: f"<html><h1>{t} heading</h1><p>{t * 40}</p></html>"
+    two = [("u", body("old "), "2024-01-01"), ("u", body("new "), "2024-01-02"), ("v", body("one "), None), ("v", body("two "), None)]
+    for order in (two, two[::-1]):
+        df = spark.createDataFrame(order, "url string, html string, day string").repartition(2)
+        by = {r["url"]: r["html"] for r in ingest.one_version(df, "day").collect()}
+        assert "new" in by["u"] and by["v"] == max((h for u, h, _ in two if u == "v"), key=lambda h: hashlib.md5(h.encode()).hexdigest())
+    found = ingest.transform(df, "day").where("url = 'u'").first()
+    assert found["source_metadata"]["fetched_at"] == "2024-01-02" and found["quality_metadata"]["token_count"] == found["token_count"]
+
+
 def brute_limits(requests, seconds, most):
     state, out = {}, []
     for client, at in sorted(requests):
