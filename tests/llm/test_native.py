@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.llm import mixing, secrets, urls
 
@@ -163,9 +164,11 @@ def test_redaction(spark):
 
 PAGES = [
     ("https://a.b.example.com/x/y", 50), ("http://user:p@A.B.example.com:80/x", 150), ("https://example.com", 250), ("https://example.com", 250), ("ftp://other.org/", 90_000), (None, 10), ("not a url", 10),
+    ("http://1.2.3.4/x", 30), ("https://old.net/", 2_000_000_000), ("https://old.net/", 400), ("https://old.net/", 1_000_000_001),
     ("https://a.b.example.com./q?r#s", None), ("https://b.example.com/x", 199), ("https://b.example.com/x", 200), ("https://one/", 100_000),
 ]
-ENTRIES = [("example.com", "spam", "add", 100), ("example.com", "spam", "remove", 200), ("b.example.com", "ads", "add", 0), ("a.b.example.com/x", "malware", "add", 40), ("other.org", "ads", "add", 10), ("other.org", "ads", "add", 20), ("one", "spam", "add", 5), ("one", "spam", "remove", 5)]
+ENTRIES = [("example.com", "spam", "add", 100), ("example.com", "spam", "remove", 200), ("b.example.com", "ads", "add", 0), ("a.b.example.com/x", "malware", "add", 40), ("other.org", "ads", "add", 10), ("other.org", "ads", "add", 20), ("one", "spam", "add", 5), ("one", "spam", "remove", 5),
+    ("3.4", "ads", "add", 0), ("old.net", "spam", "add", 500), ("old.net", "ads", "add", 100), ("old.net", "ads", "remove", 1_000_000_000)]
 
 
 def brute_lists(url, at):
@@ -174,7 +177,7 @@ def brute_lists(url, at):
         return ""
     host = m[1].lower().rstrip(".")
     labels = host.split(".")
-    keys = {host, *(".".join(labels[i:]) for i in range(1, len(labels) - 1))}
+    keys = {host} if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", host) else {host, *(".".join(labels[i:]) for i in range(1, len(labels) - 1))}
     if seg := re.match(r"[^/]*//[^/?#]*/([^/?#]+)", url):
         keys.add(f"{host}/{seg[1]}")
     found = set()
@@ -185,6 +188,36 @@ def brute_lists(url, at):
     return ",".join(sorted(found))
 
 
+@pytest.mark.parametrize("bucket_s", [7, 3600])
+def test_any_interval_is_found_in_its_buckets(spark, bucket_s):
+    """Intervals of all lengths, from one second to years, against captures at and around their ends."""
+    rng = __import__("random").Random(5)
+    spans = [(f"s{i}.org", a, a + rng.choice([1, bucket_s, 40 * bucket_s, rng.randrange(1, 10**8)])) for i in range(60) for a in [rng.randrange(-(10**8), 10**9)]]
+    entries = [(k, "ads", a, t) for k, x, y in spans for a, t in (("add", x), ("remove", y))]
+    times = [(k, t) for k, x, y in spans for t in {x - 1, x, y - 1, y, (x + y) // 2, x + bucket_s, y - bucket_s, rng.randrange(x, y)}]
+    captures = spark.createDataFrame([(f"http://{k}/", t) for k, t in times], "url string, fetched_s long")
+    got = urls.url_verdicts(captures, spark.createDataFrame(entries, "key string, list string, action string, at long"), bucket_s=bucket_s)
+    within = {k: (x, y) for k, x, y in spans}
+    for r in got.collect():
+        x, y = within[r["host"]]
+        assert r["n_listings"] == int(x <= r["fetched_s"] < y), (r, x, y)
+
+
+def test_cover_is_exact_and_short(spark):
+    rows = [(a, a + n) for a in (-70, -1, 0, 3, 511, 4095) for n in (1, 2, 7, 8, 9, 64, 100, 5000, 300_000)]
+    df = spark.createDataFrame(rows, "a long, b long").select("a", "b", urls.cover(F.col("a"), F.col("b"), 5).alias("n"))
+    for r in df.collect():
+        held = [i for x in r["n"] for i in range(x["node"] << (3 * x["level"]), (x["node"] + 1) << (3 * x["level"]))]
+        assert sorted(held) == list(range(r["a"], r["b"])) and len(r["n"]) <= 2 * 7 * 4 + 300_000 // 4096 + 1
+
+
+def test_clashing_and_undated_columns(spark):
+    captures = spark.createDataFrame([("http://a.org/", 5, "h", "l", 9, "b", 1, 2)], "url string, fetched_s long, host string, lists string, n_listings int, blocked string, visit int, u int")
+    entries = spark.createDataFrame([("a.org", "ads", "add", 1), ("a.org", "ads", "remove", None), ("a.org", None, "add", 1), (None, "ads", "add", 1)], "key string, list string, action string, at long")
+    (r,) = urls.url_verdicts(captures, entries).collect()
+    assert r.asDict() == {"url": "http://a.org/", "fetched_s": 5, "visit": 1, "u": 2, "host": "a.org", "lists": "ads", "n_listings": 1, "blocked": True}
+
+
 def test_urls_equal_brute_force(spark):
     captures = spark.createDataFrame([(i, u, t, "x", "y") for i, (u, t) in enumerate(PAGES)], "page_id long, url string, fetched_s long, list string, key string")
     entries = spark.createDataFrame(ENTRIES, "key string, list string, action string, at long")
