@@ -23,7 +23,8 @@ def element(tag: str) -> str:
 
 def removed_counts(html: Column, tags: tuple[str, ...] = BOILERPLATE) -> Column:
     """Text such as ``script:1,nav:1`` for the elements that are there."""
-    return F.array_join(F.array_compact(F.array(*(F.when(F.regexp_count(html, F.lit(element(t))) > 0, F.concat(F.lit(f"{t}:"), F.regexp_count(html, F.lit(element(t))))) for t in tags))), ",")
+    counts = F.array(*(F.struct(F.lit(t).alias("tag"), F.regexp_count(html, F.lit(element(t))).alias("n")) for t in tags))
+    return F.array_join(F.transform(F.filter(counts, lambda c: c["n"] > 0), lambda c: F.concat_ws(":", c["tag"], c["n"])), ",")
 
 
 def without_boilerplate(html: Column, tags: tuple[str, ...] = BOILERPLATE) -> Column:
@@ -71,6 +72,12 @@ def first_of(html: Column, selectors: tuple[tuple[str, str], ...]) -> Column:
     return F.coalesce(*(by_selector(html, n, v) for n, v in selectors))
 
 
+def described(html: Column, classes: tuple[str, ...] = ("fund-description", "description", "about-fund"), least: int = 50) -> Column:
+    """Text of the first element whose class holds one of the words, if it has more than ``least`` characters."""
+    texts = (collapse(F.regexp_extract(html, rf"""(?is)<[^>]*\bclass="[^"]*{c}[^"]*"[^>]*>([^<]*)""", 1)) for c in classes)
+    return F.coalesce(*(F.when(F.length(t) > least, t) for t in texts))
+
+
 def clean_page(html: Column) -> Column:
     """Struct of original_length, cleaned_length, removed and text."""
     text = strip_noise(visible_text(html))

@@ -84,6 +84,20 @@ def neighbours_within(chunks: Column, words: int = OVERLAP_WORDS, tail: bool = F
     return F.transform(chunks, lambda c, i: F.struct(c.alias("chunk"), in_context(F.when(i > 0, near(i - 1)), c["content"], near(i + 1), words, tail).alias("with_context")))
 
 
+def with_metadata(chunks: DataFrame, page: dict[str, Column], source: dict[str, Column]) -> DataFrame:
+    """Adds what is kept about a chunk: structs of its record, its chunking, its quality and its source."""
+    c = F.col
+    return chunks.withColumns({
+        "page_metadata": F.struct(*(v.alias(k) for k, v in page.items())),
+        "chunking_metadata": F.struct("chunk_id", "chunk_type", "priority", (c("with_context") != c("content")).alias("overlap_applied")),
+        "quality_metadata": F.struct("token_count", F.size("source_fields").alias("source_field_count"), c("completeness").alias("completeness_score"), c("relevance").alias("relevance_score")),
+        "source_metadata": F.struct(*(v.alias(k) for k, v in source.items())),
+    })
+
+
+METADATA = ("page_metadata", "chunking_metadata", "quality_metadata", "source_metadata")
+
+
 def lookup(values: dict[str, float], key: Column, default: float) -> Column:
     out = None
     for k, v in values.items():

@@ -12,7 +12,7 @@ from ..functions.text import first_sentences, normalise, strip_urls
 from .records import containing
 
 #: Default pack, in order of priority within each group. Fixed values.
-PERSONAL = (r"\bpan\b", r"\baadhaar\b|\baadhar\b", r"\botp\b", r"\baccount number\b|\bbank account\b", r"\bifsc\b", r"\bemail\b|\be-mail\b", r"\bphone number\b|\bmobile number\b", r"[a-z]{5}[0-9]{4}[a-z]", r"\b\d{12}\b")
+PERSONAL = (r"\bpan\b", r"\baadhaar\b|\baadhar\b", r"\botp\b", r"\baccount number\b|\bbank account\b", r"\bifsc\b", r"\bemail\b|\be-mail\b", r"\bphone number\b|\bmobile number\b", r"[A-Z]{5}[0-9]{4}[A-Z]", r"\b\d{12}\b")
 ADVISORY = (r"\bshould i invest\b", r"\bwhich fund is better\b", r"\brecommend\b", r"\bbest fund\b", r"\bwhat should i buy\b")
 PERFORMANCE = (r"\breturn(s)?\b", r"\bperformance\b", r"\bcagr\b", r"\bxirr\b", r"\bcompare\b", r"\bbeat(s)?\s+the\s+market\b", r"\boutperform\b")
 FACTUAL = (
@@ -20,11 +20,13 @@ FACTUAL = (
     r"\bfund\s*manager\b", r"\bfund\s*category\b", r"\bholding(s)?\b|\bportfolio\b", r"\bsector\s*allocation\b|\bsector\b|\bindustry\b", r"\basset\s*allocation\b|\ballocation\b", r"\btop\s*holdings?\b|\blargest\s*holdings?\b",
 )
 OUT_OF_SCOPE = (r"\bflexi\s*cap\b", r"\bsmall\s*cap\b", r"\bbalanced\b", r"\bhybrid\b", r"\bdebt\b", r"\bliquid\s*fund\b", r"\bindex\s*fund\b")
+#: Intents in order of priority. Fixed values.
 INTENTS = (
     (r"\bexpense\s*ratio\b", "metric"), (r"\bexit\s*load\b", "metric"), (r"\bminimum\s*sip\b|\bmin\s*sip\b|\bsip\b", "metric"), (r"\bnav\b|\bnet\s*asset\s*value\b", "metric"), (r"\baum\b|\bassets?\s*under\s*management\b", "metric"), (r"\block.?in\b", "metric"),
     (r"\brisk\b|\briskometer\b", "primary"), (r"\bbenchmark\b", "primary"), (r"\bfund\s*manager\b|\bmanager\b", "primary"), (r"\bcategory\b|\bfund\s*type\b", "primary"), (r"\breturn(s)?\b|\bperformance\b|\bcagr\b|\bxirr\b", "performance"),
     (r"\bholding(s)?\b|\bportfolio\b|\bstocks?\s*held\b", "metric"), (r"\bsector\b|\bsector\s*allocation\b|\bindustry\b", "metric"), (r"\basset\s*allocation\b|\ballocation\b", "metric"), (r"\btop\s*holdings?\b|\blargest\s*holdings?\b", "metric"),
 )
+#: Phrases of advice, and what a refusal is recorded as. Fixed values.
 ADVISORY_PHRASES = ("should i invest", "should i buy", "should i sell", "recommend", "best fund", "top fund", "advice", "suggestion", "which fund to invest", "is it good to invest", "worth investing")
 REASONS = {"personal_info": "personal_or_sensitive_information", "advisory": "investment_advice_request", "performance": "performance_or_return_query"}
 

@@ -74,6 +74,21 @@ def merged_maps(first: Column, second: Column) -> Column:
     return F.map_zip_with(first, second, lambda _, a, b: F.coalesce(b, a))
 
 
+def unwrapped(documents: DataFrame, record: str, fallback: dict[str, Column], required: str) -> DataFrame:
+    """Records out of a nested container: the ``record`` struct where it is there, else one made of other parts of the
+    container; those without the required field are left out. Fields that the fallback lacks are null in it."""
+    names = documents.schema[record].dataType.fieldNames()
+    made = F.struct(*(fallback.get(n, F.lit(None)).cast(documents.schema[record].dataType[n].dataType).alias(n) for n in names))
+    rows = documents.withColumn(record, F.coalesce(F.col(record), made)).where(F.length(F.trim(F.col(f"{record}.{required}"))) > 0)
+    return rows.select(*(c for c in documents.columns if c != record), f"{record}.*")
+
+
+def rebuilt(old: DataFrame, enriched: DataFrame, key: str, content: str) -> DataFrame:
+    """Rows of a rebuilt collection: old chunks with key and content, and enriched ones, which win over old ones of their key."""
+    kept = old.where(F.col(key).isNotNull() & (F.length(content) > 0))
+    return upsert(kept, enriched.select(*kept.columns), key)
+
+
 def labelled_text(pairs: tuple[tuple[str, Column], ...]) -> Column:
     """``Label: value`` lines of the values that are there, without repeats."""
     lines = F.array(*(F.when(available(v), F.concat(F.lit(f"{label}: "), v)) for label, v in pairs))

@@ -50,24 +50,12 @@ def page_chunks(records: DataFrame) -> DataFrame:
     })
 
 
-def with_metadata(chunks: DataFrame) -> DataFrame:
-    """Adds what is kept about a chunk: structs of its page, its chunking, its quality and its source."""
-    c = F.col
-    return chunks.withColumns({
-        "page_metadata": F.struct(c("name"), F.coalesce("type", F.lit(T.SENTINEL)).alias("type"), T.to_sentinel(c("riskometer")).alias("risk_level"), T.to_sentinel(c("aum")).alias("size")),
-        "chunking_metadata": F.struct("chunk_id", "chunk_type", "priority", (c("with_context") != c("content")).alias("overlap_applied")),
-        "quality_metadata": F.struct("token_count", F.size("source_fields").alias("source_field_count"), c("completeness").alias("completeness_score"), c("relevance").alias("relevance_score")),
-        "source_metadata": F.struct(c("url").alias("source_url"), c("fetched_at")),
-    })
-
-
-METADATA = ("page_metadata", "chunking_metadata", "quality_metadata", "source_metadata")
-
-
 def embedded(chunks: DataFrame) -> DataFrame:
     """Chunks with their sparse vector as a map; the text stays beside it."""
     vector = F.map_from_entries(M.sparse_vector(F.col("embedded_text")))
-    return with_metadata(chunks).select("id", "url", "chunk_id", "chunk_type", "content", "with_context", "token_count", "completeness", "relevance", vector.alias("vector"), *METADATA)
+    page = {"name": F.col("name"), "type": T.to_sentinel(F.col("type")), "risk_level": T.to_sentinel(F.col("riskometer")), "size": T.to_sentinel(F.col("aum"))}
+    rows = K.with_metadata(chunks, page, {"source_url": F.col("url"), "fetched_at": F.col("fetched_at")})
+    return rows.select("id", "url", "chunk_id", "chunk_type", "content", "with_context", "token_count", "completeness", "relevance", vector.alias("vector"), *K.METADATA)
 
 
 def one_version(pages: DataFrame, order: str | None = None) -> DataFrame:

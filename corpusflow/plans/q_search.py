@@ -206,7 +206,3 @@ def window_counts(spark, d):
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return ST.counts_per_window(rows, "user_id", "ts", "1 hour").select("user_id", F.unix_timestamp("window_start").alias("start_s"), "requests")
 
-
-@query("SELECT count(*) AS pages, count(DISTINCT url) AS urls FROM (SELECT DISTINCT url FROM pages)")
-def delivered_pages(spark, d):
-    return ST.deduplicated(table(spark, d, "pages").select("url", F.current_timestamp().alias("at")), ["url"], "at").agg(F.count("*").alias("pages"), F.count_distinct("url").alias("urls"))

@@ -88,7 +88,7 @@ SELECT p_partkey, name, price, ratio, ((name <> p0.p_name)::INTEGER + 2)::INTEGE
 def record_cleaning(spark, d):
     p = table(spark, d, "part")
     raw = {"name": F.col("p_name"), "price": F.concat(F.lit("  ₹"), F.col("p_size").cast("string"), F.lit(" ")), "ratio": F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" % "))}
-    clean = {k: T.clean_field(k, v) for k, v in raw.items()}
+    clean = {k: T.clean_field(k, v, (*T.FIELD_KINDS, ("price", "amount"))) for k, v in raw.items()}
     changed = sum(((raw[k] != clean[k]).cast("int") for k in raw), F.lit(0))
     return p.select("p_partkey", *(c.alias(k) for k, c in clean.items()), changed.alias("changed"))
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.records import upsert
+from ..operators.records import rebuilt, upsert
 
 MANIFEST = "number long, version string, reason string, rows long, at string"
 
@@ -73,6 +73,10 @@ class Collection:
         merged = upsert(base, delta, self.key, order) if base is not None else upsert(delta.limit(0), delta, self.key, order)
         return self.publish(self.stage(merged), reason, at)
 
+    def rebuild(self, old: DataFrame, enriched: DataFrame, at: str, content: str = "content") -> int:
+        """Start anew from old chunks and enriched ones, and publish; the versions before stay for a restore."""
+        return self.publish(self.stage(rebuilt(old, enriched, self.key, content)), "rebuild", at)
+
     def reset(self, at: str) -> int:
         """Publish an empty version of the same columns."""
         return self.publish(self.stage(self.read().limit(0)), "reset", at)

@@ -99,6 +99,37 @@ def test_no_load_and_order_of_rules(spark):
     assert [r[0] for r in rows.select(E.exit_load(F.col("t"))).collect()] == ["Nil", "Nil", "1%", None]
 
 
+LABELLED = """Fund Name: Alpha Growth
+Scheme direct growth in equity
+Expense Ratio: 0.79 %
+No exit load
+Minimum SIP: ₹500
+NAV: ₹1,433
+Risk level: very high"""
+
+
+def test_text_rules(spark):
+    """First rule that matches and passes its check; line breaks become blanks first, so open-ended rules run to the end."""
+    tail = "\nequity: 61.0% debt: 34 % others: 3%\n1Y: 12.5 % 3Y: -300 5 year return: 9"
+    df = spark.createDataFrame([(1, LABELLED), (2, "nothing here"), (3, LABELLED.replace("Fund Name: ", "") + tail), (4, None)], "id int, t string")
+    a, b, c, d = E.extracted(df, T.tidied(F.col("t"))).orderBy("id").collect()
+    assert a["name"].startswith("Alpha Growth Scheme") and a["category"] == "Equity" and a["expense_ratio"] == "0.79%" and a["exit_load"] == "No Exit Load"
+    assert a["min_sip"] == "₹500" and a["nav"] == "₹1,433" and a["riskometer"] == "Very High" and a["type"] is None and a["benchmark"] is None
+    assert a["validation_status"] == "passed" and a["returns"] == {} and a["extraction_confidence"] == 100.0
+    assert b["validation_status"] == "failed" and b["extraction_confidence"] == -55.0 and d["name"] is None
+    assert c["name"] is None and c["allocation"] == {"equity": "62.2%", "debt": "34.7%", "others": "3.1%"} and c["returns"] == {"1Y": "12.5%", "5Y": "9%"}
+
+
+def test_generic_rules_are_off_unless_asked_for(spark):
+    df = spark.createDataFrame([("about ₹2,500 or so",)], "t string")
+    plain, generic = (df.select(*(c.alias(k) for k, c in E.text_fields(F.col("t"), generic=g).items())).first() for g in (False, True))
+    assert plain["expense_ratio"] is None and generic["expense_ratio"] == "2%" and plain["nav"] is None and generic["nav"] == "₹2,500"
+
+
+def test_field_kinds():
+    assert [T.field_kind(n) for n in ("fund_name", "Expense_Ratio", "return_1y", "min_sip", "nav", "category", "text")] == ["title", "percent", "percent", "amount", "amount", "label", "text"]
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("1.25%", "₹500", "Low", "https://x.org/a", "Fund A", "2024-01-01 12:00:00"), ("9%", "₹5", "Odd", "ftp://x", "x", "1.1.2024"), ("abc", "500", None, None, None, None)], "p string, c string, e string, u string, t string, d string")
     scores = lambda col: [None if r[0] is None else (r[0]["score"], r[0]["failed"], r[0]["warning"]) for r in df.select(col).collect()]

@@ -143,6 +143,16 @@ def test_versions_roll_back(spark, tmp_path):
         Collection(spark, f"file://{tmp_path}/none").restore("t")
 
 
+def test_rebuild_keeps_the_versions_before(spark, tmp_path):
+    c = Collection(spark, f"file://{tmp_path}/c")
+    c.upsert(spark.createDataFrame([("x", "old")], "id string, content string"), "first", "t1")
+    old = spark.createDataFrame([("a", "kept"), ("b", "replaced"), (None, "no key"), ("e", "")], "id string, content string")
+    assert c.rebuild(old, spark.createDataFrame([("b", "new"), ("h", "added")], "id string, content string"), "t2") == 2
+    assert rows(c.read()) == [("a", "kept"), ("b", "new"), ("h", "added")]
+    c.restore("t3")
+    assert rows(c.read()) == [("x", "old")]
+
+
 def test_json_sources_and_reports(spark, tmp_path):
     (tmp_path / "store.json").write_text(json.dumps({"ids": ["a", "b"], "documents": ["x", "y"], "metadatas": [{"k": "1"}, {}], "embeddings": [[0.5], [1.0]]}))
     assert [tuple(r) for r in load_arrays(spark, str(tmp_path / "store.json")).orderBy("id").collect()] == [("a", "x", {"k": "1"}, [0.5]), ("b", "y", {}, [1.0])]
