@@ -42,10 +42,19 @@ def visible_text(html: Column, tags: tuple[str, ...] = BOILERPLATE) -> Column:
     return collapse(F.regexp_replace(without_tags(without_boilerplate(html, tags)), r"&[a-zA-Z0-9#]+;", " "))
 
 
+#: An attribute's value, and tags with the text between them.
+VALUE, PIECES = r"""\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", r"<[^>]*>|[^<]+|<"
+
+
+def attribute_pattern(keep: tuple[str, ...] = KEPT_ATTRIBUTES) -> str:
+    """Any attribute of a tag; its first group holds those to keep."""
+    return rf"(?i)(\s+(?:{'|'.join(keep)}){VALUE})|\s+[a-z_:][-\w:.]*(?:{VALUE})?"
+
+
 def pruned_attributes(html: Column, keep: tuple[str, ...] = KEPT_ATTRIBUTES) -> Column:
-    """Tags without attributes other than the kept ones."""
-    one = r"""\s+(?!(?:""" + "|".join(keep) + r""")\s*=)[a-zA-Z_:][-\w:.]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?(?=[^<]*>)"""
-    return F.regexp_replace(html, one, "")
+    """Tags without attributes other than the kept ones, whose values stay whole; comments and text stay."""
+    pieces = F.regexp_extract_all(html, F.lit(PIECES), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^<[^!]"), F.regexp_replace(p, attribute_pattern(keep), "$1")).otherwise(p)), "")
 
 
 def first_element(html: Column, tag: str) -> Column:

@@ -196,7 +196,10 @@ def request_limits(spark, d):
     return G.limited(rows, "user_id", "ts", 3600, 1).select("event_id", "allowed")
 
 
-@query()  # windows are anchored at each client's first request: a recurrence; tests hold it against Python
+@query("""WITH RECURSIVE e AS (SELECT user_id AS client, ts AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+w(client, began) AS (SELECT client, min(t) FROM e GROUP BY client UNION ALL SELECT w.client, min(e.t) FROM w JOIN e ON e.client = w.client AND e.t >= w.began + INTERVAL 86400 SECOND GROUP BY w.client, w.began),
+i AS (SELECT e.client, e.t, e.n, max(w.began) AS began FROM e JOIN w ON w.client = e.client AND w.began <= e.t GROUP BY ALL)
+SELECT client, t AS "at", row_number() OVER (PARTITION BY client, began ORDER BY n) <= 3 AS allowed FROM i""")
 def request_limits_anchored(spark, d):
     return ST.limit_batch(table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("at")), 86_400, 3)
 

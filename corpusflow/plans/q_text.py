@@ -27,7 +27,22 @@ def text_redact(spark, d):
     return table(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))
 
 
-@query()  # back-references are beyond RE2; tests hold these against Python
+#: A word character and a blank, as Unicode has them.
+_W, _B = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]", r"[\s\x{0B}\x{85}\p{Z}]"
+
+
+@query(rf"""
+WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE length(text) > 0),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, c, min(i) AS i, count(*) AS n FROM g GROUP BY doc_id, c, run),
+a AS (SELECT doc_id, string_agg(CASE WHEN n >= 4 AND c NOT IN (chr(10), chr(13), chr(133), chr(8232), chr(8233)) THEN c ELSE repeat(c, n) END, '' ORDER BY i) AS characters FROM r GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_W}+|[^{_W[1:-1]}]+') AS ts FROM documents)),
+w AS (SELECT *, regexp_matches(t, '^{_W}') AS is_word, lag(t, 2) OVER o AS before, regexp_matches(lag(t) OVER o, '^{_B}+$') AS joined FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT *, is_word AND NOT coalesce(joined AND before = t, false) AS head FROM w),
+n AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM h),
+m AS (SELECT *, count(*) FILTER (is_word) OVER (PARTITION BY doc_id, k) AS words, max(CASE WHEN is_word THEN i END) OVER (PARTITION BY doc_id, k) AS last FROM n),
+b AS (SELECT doc_id, string_agg(t, '' ORDER BY i) FILTER (NOT (words >= 3 AND k > 0 AND NOT head AND i <= last)) AS words FROM m GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text = '' THEN '' ELSE characters END AS characters, CASE WHEN text = '' THEN '' ELSE words END AS words FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def text_squash(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", T.squash_characters(t).alias("characters"), T.squash_words(t).alias("words"))
@@ -135,7 +150,11 @@ def html_boilerplate(spark, d):
     return table(spark, d, "pages").select("page_id", H.removed_counts(F.col("html")).alias("removed"))
 
 
-@query()  # look-ahead is beyond RE2
+_PRUNED = H.attribute_pattern().replace("'", "''")
+_PIECES = f"regexp_extract_all(html, '{H.PIECES}')"
+
+
+@query(f"SELECT page_id, array_to_string(list_transform({_PIECES}, lambda p: CASE WHEN regexp_matches(p, '^<[^!]') THEN regexp_replace(p, '{_PRUNED}', '\\1', 'g') ELSE p END), '') AS html FROM pages")
 def html_attributes(spark, d):
     return table(spark, d, "pages").select("page_id", H.pruned_attributes(F.col("html")).alias("html"))
 

@@ -89,6 +89,12 @@ def test_page(spark):
     assert '<a href="/x">' in pruned and "<h1>" in pruned and "data-testid" not in pruned
 
 
+def test_kept_attributes_stay_whole(spark):
+    html = "<a class='x y' title=\"two words\" href=/u data-k disabled>a b=c</a> <!-- x y=z --> 1 < 2 <br/><img ALT='it is' width=3>"
+    got = spark.createDataFrame([(html,)], "h string").select(H.pruned_attributes(F.col("h"))).first()[0]
+    assert got == "<a title=\"two words\" href=/u>a b=c</a> <!-- x y=z --> 1 < 2 <br/><img ALT='it is'>"
+
+
 def test_parser_handles_nesting(spark):
     page = spark.createDataFrame([("<div><nav>a<nav>b</nav>c</nav>d &amp; e<script>x</script></div>",), (None,)], "h string")
     assert [r[0] for r in page.select(H.parsed_text("h")).collect()] == ["d & e", None]
