@@ -148,6 +148,21 @@ def test_index_loses_no_match(spark):
     assert secrets.trigram_query("abc(de|fg)?h[ij]k+") and secrets.trigram_query("a.c") == []
 
 
+def test_inverted_index_equals_brute_force(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(SECRET_TEXTS)], "doc_id long, text string")
+    wanted = secrets.wanted_trigrams(secrets.RULES)
+    expected = sorted((t, i) for i, text in enumerate(SECRET_TEXTS) for t in wanted if t in (text or "").lower())
+    assert sorted(map(tuple, secrets.inverted(docs).collect())) == expected
+    lists = collections.defaultdict(set)
+    for t, i in expected:
+        lists[t].add(i)
+    for rule in secrets.RULES[:2]:  # the documents that the posting lists give are those that the rows' own flags give
+        query = secrets.trigram_query(rule.pattern)
+        by_lists = set.intersection(*(set.union(*(set.intersection(*(lists[t] for t in s)) for s in clause)) for clause in query))
+        low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low")).select("doc_id", secrets.posted(F.col("low"), wanted).alias("p"))
+        assert {r["doc_id"] for r in low.where(secrets.candidate(F.col("p"), wanted, rule)).collect()} == by_lists
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame(secret_rows(), SCHEMA)
     got = secrets.redact(docs).collect()
