@@ -26,8 +26,8 @@ def top_k(pairs: DataFrame, by: str, k: int, *order: Column, rank: str = "rank")
     return pairs.withColumn(rank, F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-#: So many queries at most are broadcast, with the vectors or tokens of one text each; more are dealt out with the corpus.
-BROADCAST_QUERIES = 4096
+#: So many queries at most are broadcast, with so many values or characters in all; more are dealt out with the corpus.
+BROADCAST_QUERIES, BROADCAST_VALUES = 4096, 1 << 22
 #: So many rows of slim candidates (ids and numbers) at most are broadcast.
 BROADCAST_ROWS = 200_000
 QUERY_BLOCK, CORPUS_BLOCK = 256, 4096
@@ -55,12 +55,15 @@ def dealt(rows: DataFrame, key: str, size: int, blocks: int) -> DataFrame:
 def met(queries: DataFrame, corpus: DataFrame, kinds: str) -> DataFrame:
     """Each block of queries (columns q0, q1, ...) with each block of the corpus (d0, d1, ...), key columns first.
 
-    Up to ``BROADCAST_QUERIES`` queries are broadcast to corpus blocks that are packed where they lie. Beyond it both sides
-    are dealt out in blocks, and every block of queries is sent to each block of the corpus by an equi-join."""
-    n = queries.count()
+    Up to ``BROADCAST_QUERIES`` queries of ``BROADCAST_VALUES`` numbers or characters are broadcast to corpus blocks that are
+    packed where they lie. Beyond it both sides are dealt out in blocks, and every block of queries is sent to each block of
+    the corpus by an equi-join."""
+    held = queries.columns[1]
+    values = F.length(F.array_join(held, " ")) if "string" in dict(queries.dtypes)[held] else F.size(held)
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(values), F.lit(0))).first()
     blocks = max(1, -(-n // QUERY_BLOCK))
     q = dealt(queries, queries.columns[0], QUERY_BLOCK, blocks)
-    if n <= BROADCAST_QUERIES:
+    if n <= BROADCAST_QUERIES and size <= BROADCAST_VALUES:
         everywhere = packed(corpus, kinds).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         return everywhere.join(F.broadcast(q), "block")
     parts = max(1, -(-corpus.count() // CORPUS_BLOCK))
