@@ -89,6 +89,14 @@ def rebuilt(old: DataFrame, enriched: DataFrame, key: str, content: str) -> Data
     return upsert(kept, enriched.select(*kept.columns), key)
 
 
+def duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, copies, first_id) of texts that stand in several rows, null ones among them; keys are unique.
+
+    Rows are grouped by a digest, so texts stay out of the shuffle; those of the few groups come back by their first key."""
+    groups = df.groupBy(F.unhex(F.md5(text)).alias("digest")).agg(F.count("*").alias("copies"), F.min(key).alias("first_id")).where("copies > 1").drop("digest")
+    return df.select(text, F.col(key).alias("first_id")).join(groups, "first_id").select(text, "copies", "first_id")
+
+
 def labelled_text(pairs: tuple[tuple[str, Column], ...]) -> Column:
     """``Label: value`` lines of the values that are there, without repeats."""
     lines = F.array(*(F.when(available(v), F.concat(F.lit(f"{label}: "), v)) for label, v in pairs))

@@ -92,7 +92,7 @@ def field_gaps(spark, d):
 
 @query("SELECT text, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_texts(spark, d):
-    return table(spark, d, "documents").groupBy("text").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return R.duplicates(table(spark, d, "documents"), "doc_id", "text")
 
 
 _CONSISTENCY = """SELECT (SELECT count(*) FROM (SELECT url FROM pages GROUP BY url HAVING count(*) > 1)) AS duplicates, (SELECT count(DISTINCT lang) FROM documents) AS categories, (SELECT count(*) FROM pages WHERE url IS NULL OR trim(url) = '' OR html IS NULL) AS malformed"""
