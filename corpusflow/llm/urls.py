@@ -90,7 +90,7 @@ def as_of(visits: DataFrame, intervals: DataFrame, bucket_s: int = BUCKET_S) ->
     until = F.lit(last + 1 if last is not None else -(1 << 62)).cast("long")
     spans = intervals.where(F.col("valid_from") < until).withColumn("end", F.least(F.coalesce("valid_to", until), until))
     spans = spans.withColumns({"a": F.floor(F.col("valid_from") / bucket_s), "b": F.floor((F.col("end") - 1) / bucket_s)})
-    asked = visits.select("visit", "fetched", F.floor(F.col("fetched") / bucket_s).alias("bucket"), F.explode(keys(F.col("url"))).alias("key"))
+    asked = written(visits.select("visit", "fetched", F.floor(F.col("fetched") / bucket_s).alias("bucket"), F.explode(keys(F.col("url"))).alias("key")), "asked")
     edges = spans.withColumn("bucket", F.explode(F.array_distinct(F.array("a", "b"))))
     inside = (F.col("fetched") >= F.col("valid_from")) & (F.col("fetched") < F.col("end"))
     at_edges = asked.join(edges, ["key", "bucket"]).where(inside).select("visit", "list")
