@@ -1,7 +1,7 @@
 """Deterministic hashed bag-of-words vectors, in sparse long form and dense, and their quality.
 
 A text's tokens stand in its row, so counting them, folding them into dimensions and scaling take no shuffle: one Arrow
-pass over the token arrays, with one md5 for each distinct token of a batch. Each row is a text of its own.
+pass over the texts, with one md5 for each distinct token of a batch. Each row is a text of its own.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_tokens
-
 DIMENSIONS = 384
 
 
@@ -24,12 +23,32 @@ def dimension(token: Column, n: int = DIMENSIONS) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % n
 
 
-def counted(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+#: Each byte as the token rule has it: lower case of A-Z, a-z and 0-9 as they are, a blank for all others.
+_PLAIN = np.full(256, 0x20, np.uint8)
+for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
+    _PLAIN[[_c, ord(chr(_c).upper())]] = _c
+
+
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts as ``functions.text.plain_tokens`` sees them. Two characters outside ASCII have an ASCII letter as lower case."""
+    for c, low in (("\u0130", "i "), ("\u212a", "k")):
+        texts = pc.replace_substring(texts, c, low)
+    valid, offsets, data = texts.buffers()
+    mapped = pa.py_buffer(_PLAIN[np.frombuffer(data, np.uint8)]) if data is not None else data
+    return pa.Array.from_buffers(texts.type, len(texts), [valid, offsets, mapped], texts.null_count, texts.offset)
+
+
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Row, code and count of each distinct token of each row, by row and code; and the tokens by code."""
+    tokens = pc.ascii_split_whitespace(plain(texts))
     flat = tokens.flatten().dictionary_encode()
     code, width = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(flat.dictionary))
     sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    pairs, n = np.unique(np.repeat(np.arange(len(tokens)), sizes) * width + code, return_counts=True)
+    row = np.repeat(np.arange(len(tokens)), sizes)
+    blank = flat.dictionary.index("").as_py()  # before and after the words of some texts
+    if blank >= 0:
+        row, code = row[code != blank], code[code != blank]
+    pairs, n = np.unique(row * width + code, return_counts=True)
     return pairs // width, pairs % width, n, flat.dictionary
 
 
@@ -39,24 +58,24 @@ def lists(row: np.ndarray, n_rows: int, values: pa.Array, null: pa.Array) -> pa.
     return pa.ListArray.from_arrays(offsets, values, mask=null)
 
 
-def folded(tokens: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def folded(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, dimension and value of the rows' vectors: sums of ln(1 + tf) at each term's dimension, scaled to unit length."""
-    row, code, tf, terms = counted(tokens)
+    row, code, tf, terms = counted(texts)
     dims = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % n for t in terms.to_pylist()], np.int64)
     place, of = np.unique(row * n + dims[code], return_inverse=True)
     weight = np.bincount(of, weights=np.log1p(tf), minlength=len(place))
     row = place // n
-    length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(tokens)))
+    length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(texts)))
     return row, place % n, weight / np.where(length == 0, 1, length)[row]
 
 
 @functools.cache
 def _term_counts():
     @F.arrow_udf("array<struct<term:string,tf:bigint>>")
-    def term_counts(tokens: pa.Array) -> pa.Array:
-        row, code, tf, terms = counted(tokens)
+    def term_counts(texts: pa.Array) -> pa.Array:
+        row, code, tf, terms = counted(texts)
         pairs = pa.StructArray.from_arrays([terms.take(pa.array(code)), pa.array(tf.astype(np.int64))], ["term", "tf"])
-        return lists(row, len(tokens), pairs, tokens.is_null())
+        return lists(row, len(texts), pairs, texts.is_null())
 
     return term_counts
 
@@ -64,9 +83,9 @@ def _term_counts():
 @functools.cache
 def _sparse(n: int):
     @F.arrow_udf("array<struct<dim:bigint,value:double>>")
-    def sparse(tokens: pa.Array) -> pa.Array:
-        row, dim, value = folded(tokens, n)
-        return lists(row, len(tokens), pa.StructArray.from_arrays([pa.array(dim), pa.array(value)], ["dim", "value"]), tokens.is_null())
+    def sparse(texts: pa.Array) -> pa.Array:
+        row, dim, value = folded(texts, n)
+        return lists(row, len(texts), pa.StructArray.from_arrays([pa.array(dim), pa.array(value)], ["dim", "value"]), texts.is_null())
 
     return sparse
 
@@ -74,28 +93,28 @@ def _sparse(n: int):
 @functools.cache
 def _dense(n: int):
     @F.arrow_udf("array<double>")
-    def dense(tokens: pa.Array) -> pa.Array:
-        row, dim, value = folded(tokens, n)
-        whole = np.zeros((len(tokens), n))
+    def dense(texts: pa.Array) -> pa.Array:
+        row, dim, value = folded(texts, n)
+        whole = np.zeros((len(texts), n))
         whole[row, dim] = value
-        return lists(np.repeat(np.arange(len(tokens)), n), len(tokens), pa.array(whole.ravel()), tokens.is_null())
+        return lists(np.repeat(np.arange(len(texts)), n), len(texts), pa.array(whole.ravel()), texts.is_null())
 
     return dense
 
 
 def sparse_vector(text: Column, n: int = DIMENSIONS) -> Column:
     """Array of (dim, value) by dimension; empty for a text without tokens, null for a null text."""
-    return _sparse(n)(plain_tokens(text))
+    return _sparse(n)(text)
 
 
 def dense_vector(text: Column, n: int = DIMENSIONS) -> Column:
     """Array of n values; all 0 for a text without tokens, null for a null text."""
-    return _dense(n)(plain_tokens(text))
+    return _dense(n)(text)
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) of each row."""
-    return docs.select(key, F.explode(_term_counts()(plain_tokens(F.col(text)))).alias("t")).select(key, "t.term", "t.tf")
+    return docs.select(key, F.explode(_term_counts()(F.col(text))).alias("t")).select(key, "t.term", "t.tf")
 
 
 def sparse_vectors(docs: DataFrame, key: str, text: str, n: int = DIMENSIONS) -> DataFrame:

@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.functions import text as T
 from corpusflow.operators import embed as M
 from corpusflow.operators import guard as G
 from corpusflow.operators import records as R
@@ -61,6 +62,13 @@ def test_vectors(spark):
     assert by[(1, 2)] == 0.0 and (5, 1) not in by and 0 < by[(5, 6)] < 1 and not any(3 in k for k in by)
 
 
+def test_terms_are_those_of_the_token_rule(spark):
+    some = ["A-b c9\x0bd", "  İstanbul \u212aelvin é漢x ", "", None, "ſtraße\tTAB\r\n", "word " * 50]
+    docs = spark.createDataFrame(list(enumerate(some)), "id int, t string").repartition(2)
+    expected = docs.select("id", F.explode(T.plain_tokens(F.col("t"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    assert rows(M.term_frequencies(docs, "id", "t")) == rows(expected)
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_lexical_overlap_equals_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(S, "BROADCAST_QUERIES", 4096 if broadcast else 0)
