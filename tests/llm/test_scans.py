@@ -212,13 +212,18 @@ def test_token_query_equals_brute_force(spark):
             at += len(line) + 1
         if at < len(data):
             bounds.append((at, len(data)))
-        counts, crossing, at = [0] * len(bounds), 0, 0
+        counts, crossing, at, line = [0] * len(bounds), 0, 0, 0
         ids = enc.encode_ordinary(r[1]) if r[1] else []
         for t in ids:
             end = at + len(enc.decode_single_token_bytes(t))
-            share = [min(b, end) - max(a, at) for a, b in bounds]
-            crossing += sum(s > 0 for s in share) > 1
-            counts[share.index(max(share))] += 1
+            while bounds[line][1] <= at:
+                line += 1
+            share, last = [], line
+            while last < len(bounds) and bounds[last][0] < end:
+                share.append(min(bounds[last][1], end) - max(bounds[last][0], at))
+                last += 1
+            crossing += len(share) > 1
+            counts[line + share.index(max(share))] += 1
             at = end
         expected.append((r[0], len(ids), len(bounds), crossing, counts))
     got = tokencounts.token_counts(documents(spark))
