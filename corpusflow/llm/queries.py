@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, neardup, quality, secrets, urls
+from . import chat, contamination, mixing, neardup, quality, repair, secrets, urls
+from .alignment import aligned_documents
 from .licenses import license_report
 from .media import media_features, store
 from .neardup import near_duplicates
@@ -61,6 +62,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_sampling": op1_sentencepiece_sampling,
     "op2_quality_rules": op2_quality_rules,
@@ -72,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_weighted_mix": mixing.ORACLE_SQL,
     "op7_secret_scan": secrets.ORACLE_SQL,
     "op8_url_filter": urls.ORACLE_SQL,
+    "op11_benchmark_decontamination": contamination.ORACLE_SQL,
+    "op12_conversation_repair": repair.ORACLE_SQL,
 }

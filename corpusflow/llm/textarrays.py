@@ -98,12 +98,12 @@ def hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(out ^ (ends - starts).astype(np.uint64))
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of each word."""
+def words(buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each word, a maximal run of bytes that are no ``breaks``."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~SPACE[buf]
+    solid = ~breaks[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offs] = True
     first, last = solid.copy(), solid.copy()
