@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runs import earlier, ranged
+from .runs import earlier, earlier_all, ranged
 from .scratch import written
 from .tokencounts import DEFAULT_RANKS, encoding
 
@@ -87,10 +87,8 @@ def turns_of(rows: DataFrame) -> DataFrame:
     counted = written(earlier(slim, "conv", "depth", F.lit(1)).withColumn("depth", F.coalesce("depth", F.lit(0)).cast("int")), "depths")
     word = F.md5(F.concat_ws("\n", F.col("depth").cast("string"), "content"))
     named = counted.withColumn("own", F.array(*(F.conv(F.substring(word, 8 * k + 1, 8), 16, 10).cast("long") for k in range(PARTS))))
-    columns = []
-    for k in range(PARTS):
-        named = earlier(named, "conv", f"before{k}", F.col("own")[k])
-        columns.append(f"before{k}")
+    columns = [f"before{k}" for k in range(PARTS)]
+    named = earlier_all(named, "conv", {c: F.col("own")[k] for k, c in enumerate(columns)})
     name = lambda *sums: F.concat(*(F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")) for x in sums))
     node = name(*(F.coalesce(F.col(c), F.lit(0)) + F.col("own")[k] for k, c in enumerate(columns)))
     parent = F.when(F.col("depth") > 0, name(*map(F.col, columns)))
@@ -165,14 +163,18 @@ def forest_of(nodes: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]
     ), uppers
 
 
+def attended(placed: DataFrame, uppers: DataFrame) -> DataFrame:
+    """Rows of ``forest_of`` with ``attends`` in place of what it is made of: the chains above and the own chain before the node."""
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    own = F.when(F.col("inside") > 0, F.array(F.struct((F.col("start") - F.col("inside")).alias("a"), F.col("start").alias("b")))).otherwise(none)
+    return placed.join(uppers, "chain", "left").withColumn("attends", F.concat(F.coalesce("uppers", none), own)).drop("uppers", "inside")
+
+
 def prefix_forest(turns: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """One row a node: NODES, chain, root, start, position, n_attends, attends."""
     nodes = nodes_of(turns, ranks_path)
     placed, uppers = forest_of(nodes, paths_of(turns)[1])
-    placed = written(placed, "placed").join(uppers, "chain", "left")
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    own = F.when(F.col("inside") > 0, F.array(F.struct((F.col("start") - F.col("inside")).alias("a"), F.col("start").alias("b")))).otherwise(none)
-    return nodes.join(placed.withColumn("attends", F.concat(F.coalesce("uppers", none), own)).drop("uppers", "inside"), "node")
+    return nodes.join(attended(written(placed, "placed"), uppers), "node")
 
 
 READ = "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -220,14 +222,29 @@ def read_back(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return in_order.mapInArrow(run, READ)
 
 
+def digested(rows: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
+    """One row a conversation, read back from the segments on its path: what a reader of the output gets, without places."""
+    turns = turns_of(rows)
+    nodes = nodes_of(turns, ranks_path)
+    distinct, paths = paths_of(turns)
+    return _for_each(turns, written(distinct.join(read_back(paths, nodes), "conv").drop("conv"), "ends"))
+
+
 def formatted_conversations(rows: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
-    """One row a conversation, read back from the forest, with the place of its last turn in it."""
+    """One row a conversation, read back from the forest, with the place of its last turn in it: its tree, the start and number
+    of its tokens in the tree's sequence, their first position id, and the intervals of the ancestors that they attend to."""
     turns = turns_of(rows)
     nodes = nodes_of(turns, ranks_path)
     distinct, paths = paths_of(turns)
-    placed, _ = forest_of(nodes, paths)
-    where = placed.select(F.col("node").alias("leaf"), F.col("root").alias("tree"), "start", "position", "n_attends").join(nodes.select(F.col("node").alias("leaf"), "n_tokens"), "leaf")
-    ends = written(distinct.join(read_back(paths, nodes), "conv").drop("conv").join(where, "leaf"), "ends")
+    placed, uppers = forest_of(nodes, paths)
+    sizes = nodes.select(F.col("node").alias("leaf"), "n_tokens")
+    leaves = attended(placed.withColumnRenamed("node", "leaf").join(sizes, "leaf").join(distinct.select("leaf"), "leaf"), uppers)
+    where = leaves.select("leaf", F.col("root").alias("tree"), "start", "n_tokens", "position", "n_attends", "attends")
+    return _for_each(turns, written(distinct.join(read_back(paths, nodes), "conv").drop("conv").join(where, "leaf"), "ends"))
+
+
+def _for_each(turns: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows of distinct conversations (by leaf) for each conversation that ends there."""
     convs = written(turns.groupBy("conv").agg(F.max_by("node", "depth").alias("leaf"), F.first("conv_id").alias("conv_id")).select("conv_id", "leaf"), "conversations")
     return convs.join(ends, "leaf").drop("leaf")
 
@@ -247,20 +264,14 @@ _ESCAPED = "replace({0}, '␛', '␛e')"
 for _control, _letter in CONTROL.items():
     _ESCAPED = f"replace({_ESCAPED}, '{_control}', '␛{_letter}')"
 
-#: Interval counts follow from the branchings above the last turn; token places have no SQL, tests hold them against brute force.
+#: Of ``digested``; token places have no SQL, tests hold them against brute force.
 ORACLE_SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
-t AS (SELECT *, row_number() OVER o AS depth, count(*) OVER (PARTITION BY conv_id) AS n,
-             string_agg(md5(length(role) || chr(10) || role || chr(10) || text), '/') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS node
-      FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-u AS (SELECT *, CASE WHEN depth > 1 THEN left(node, length(node) - 33) END AS parent FROM t),
-b AS (SELECT parent FROM u WHERE depth > 1 GROUP BY parent HAVING count(DISTINCT node) > 1),
-h AS (SELECT u.*, u.depth = 1 OR b.parent IS NOT NULL AS is_head FROM u LEFT JOIN b ON b.parent = u.parent)
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS depth FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY depth)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY depth) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length('<s>[' || {_ESCAPED.format("role")} || ']' || chr(10) || {_ESCAPED.format("text")} || '</s>' || chr(10)))::BIGINT AS formatted_chars,
-       (count(*) FILTER (is_head) - 1 + max(CASE WHEN depth = n AND NOT is_head THEN 1 ELSE 0 END))::BIGINT AS n_attends
-FROM h GROUP BY conv_id
+       sum(length('<s>[' || {_ESCAPED.format("role")} || ']' || chr(10) || {_ESCAPED.format("text")} || '</s>' || chr(10)))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
 """

@@ -37,8 +37,12 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Places in token sequences are left to the operator's other users: SQL can follow the rest.
-    return chat.formatted_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))).drop("tree", "start", "position", "n_tokens")
+    return chat.formatted_conversations(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op5 SQL can follow."""
+    return chat.digested(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
 def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_jpeg_media": op4_jpeg_media,
     "op5_chat_prefix_tree": op5_chat_prefix_tree,
+    "chat_digests": chat_digests,
     "op6_weighted_mix": op6_weighted_mix,
     "op7_secret_scan": op7_secret_scan,
     "op8_url_filter": op8_url_filter,
@@ -93,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op3_ngram_jaccard_join": neardup.ORACLE_SQL,
-    "op5_chat_prefix_tree": chat.ORACLE_SQL,
+    "chat_digests": chat.ORACLE_SQL,
     "op6_weighted_mix": mixing.ORACLE_SQL,
     "op7_secret_scan": secrets.ORACLE_SQL,
     "op8_url_filter": urls.ORACLE_SQL,

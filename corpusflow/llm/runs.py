@@ -22,15 +22,26 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     return written(placed.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "ranged")
 
 
-def earlier(placed: DataFrame, group: str, name: str, value: Column, total: Callable[[Column], Column] = F.sum) -> DataFrame:
-    """Adds ``name``, the total of ``value`` over the earlier rows of the row's group; null where there are none.
-
-    ``placed`` comes from ``ranged``; ``total`` is ``F.sum``, or ``F.max`` for values that rise with ``at``."""
-    table = placed.withColumn("_value", value)
-    sums = table.groupBy(group, "part").agg(total(F.col("_value")).alias("_sum"))
+def earlier_all(placed: DataFrame, group: str, values: dict[str, Column], total: Callable[[Column], Column] = F.sum) -> DataFrame:
+    """Adds for each name the total of its value over the earlier rows of the row's group; null where there are none.
+
+    ``placed`` comes from ``ranged``; ``total`` is ``F.sum``, or ``F.max`` for values that rise with ``at``. All values share
+    the aggregation, the join and the sort."""
+    names = list(values)
+    table = placed.withColumns({f"_value_{n}": v for n, v in values.items()})
+    sums = table.groupBy(group, "part").agg(*(total(F.col(f"_value_{n}")).alias(f"_sum_{n}") for n in names))
     before = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each part of a group
-    carried = sums.withColumn("_carried", total(F.col("_sum")).over(before)).where("_carried is not null").select(group, "part", "_carried")
+    carried = sums.select(group, "part", *(total(F.col(f"_sum_{n}")).over(before).alias(f"_carried_{n}") for n in names)).where(F.greatest(F.lit(False), *(F.col(f"_carried_{n}").isNotNull() for n in names)))
     within = W.partitionBy("part", group).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    rows = table.withColumn("_inside", total(F.col("_value")).over(within)).join(carried, ["part", group], "left")
-    both = F.coalesce(F.col("_inside") + F.col("_carried"), "_inside", "_carried") if total is F.sum else F.coalesce("_inside", "_carried")
-    return rows.withColumn(name, both).drop("_value", "_inside", "_carried")
+    rows = table.withColumns({f"_inside_{n}": total(F.col(f"_value_{n}")).over(within) for n in names}).join(carried, ["part", group], "left")
+
+    def both(n: str) -> Column:
+        inside, before_it = F.col(f"_inside_{n}"), F.col(f"_carried_{n}")
+        return F.coalesce(inside + before_it, inside, before_it) if total is F.sum else F.coalesce(inside, before_it)
+
+    return rows.withColumns({n: both(n) for n in names}).drop(*(f"{x}_{n}" for n in names for x in ("_value", "_inside", "_carried")))
+
+
+def earlier(placed: DataFrame, group: str, name: str, value: Column, total: Callable[[Column], Column] = F.sum) -> DataFrame:
+    """``earlier_all`` for one value."""
+    return earlier_all(placed, group, {name: value}, total)

@@ -104,3 +104,25 @@ def test_one_conversation_of_most_rows(spark):
 
 def test_empty(spark):
     assert chat.formatted_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_places_of_conversations(spark):
+    """The place of a conversation's last turn is that of a node whose path spells the conversation; position and intervals
+    are those of the turns before it."""
+    df = spark.createDataFrame(conversations(), SCHEMA)
+    nodes = {r["node"]: r for r in chat.prefix_forest(chat.turns_of(df)).collect()}
+    at = {(r["root"], r["start"]): r for r in nodes.values()}
+    expected, got = {r[0]: r for r in brute(conversations())}, chat.formatted_conversations(df).collect()
+    assert len(got) == len(expected)
+    for r in got:
+        leaf, path = at[r["tree"], r["start"]], []
+        up = leaf["node"]
+        while up:
+            path.append(nodes[up])
+            up = nodes[up]["parent"]
+        said = [(s["segment"][len(chat.OPEN) + 1 : s["text_start"] - 2], s["segment"][s["text_start"] : -len(chat.CLOSE)]) for s in reversed(path)]
+        digest = hashlib.sha256("".join(f"{chat.unescape(a)}\n{chat.unescape(b)}\n" for a, b in said).encode()).hexdigest()
+        assert digest == r["turns_sha256"] == expected[r["conv_id"]][2]
+        assert (r["position"], r["n_tokens"]) == (sum(s["n_tokens"] for s in path[1:]), leaf["n_tokens"])
+        assert sorted(t for x in r["attends"] for t in range(x["a"], x["b"])) == sorted(t for s in path[1:] for t in range(s["start"], s["start"] + s["n_tokens"]))
+        assert r["n_attends"] == len(r["attends"])
