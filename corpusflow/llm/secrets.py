@@ -16,7 +16,7 @@ others through, whatever their names). Positions count code points.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 try:
@@ -160,23 +160,31 @@ def candidate(lists: Column, wanted: Sequence[str], rule: Rule) -> Column:
     return every
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of ints that are not negative: in each step the array is combined with itself moved by 1, 2,
+    4 and so on. That takes n log n, where a fold that appends to an array would copy it for each element."""
+    n = F.size(values)
+
+    def step(acc: Column, k: Column) -> Column:
+        by = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), by), F.slice(acc, F.lit(1), n - by)), lambda x, y: F.coalesce(combine(x, y), F.lit(0)))
+
+    return F.when(n < 2, values).otherwise(F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1), values, step))
+
+
+SPANS = "array<struct<start:int,number:int,end:int,kind:string>>"
+
+
 def spans(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, kind number, end, kind) of a rule's leftmost non-overlapping matches, without failing ones."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    between = F.transform(F.split(text, rule.pattern, -1), F.length)
     measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    parts = F.arrays_zip(between.alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(measured, F.length).alias("kept"))
-    none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        one = F.array(F.struct(begin.alias("start"), F.lit(number).alias("number"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(x["size"].isNotNull() & (x["kept"] >= rule.least), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(parts, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    lengths = lambda strings: F.transform(strings, lambda x: F.coalesce(F.length(x), F.lit(0)))
+    size, gap = lengths(matches), lengths(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches)))
+    ends = running(F.zip_with(gap, size, lambda g, s: F.coalesce(g + s, F.lit(0))), lambda x, y: x + y)
+    parts = F.arrays_zip(ends.alias("end"), size.alias("size"), lengths(measured).alias("kept"))
+    found = F.transform(F.filter(parts, lambda x: x["kept"] >= rule.least), lambda x: F.struct((x["end"] - x["size"]).alias("start"), F.lit(number).alias("number"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+    return F.when(text.rlike(rule.pattern), found.cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
 def listed(found: Column) -> Column:
@@ -188,8 +196,7 @@ def scanned(docs: DataFrame, text_col: str, rules: Sequence[Rule], passed: Colum
     wanted = wanted_trigrams(rules)
     rows = docs.select(passed.alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("_doc", "text", F.lower("text").alias("low")).select("_doc", "text", posted(F.col("low"), wanted).alias("lists"))
-    none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
-    each = [F.when(candidate(F.col("lists"), wanted, rule), spans(F.col("text"), rule, number)).otherwise(none) for number, rule in enumerate(rules)]
+    each = [F.when(candidate(F.col("lists"), wanted, rule), spans(F.col("text"), rule, number)).otherwise(F.array().cast(SPANS)) for number, rule in enumerate(rules)]
     return rows.select("_doc", "text", F.array_sort(F.concat(*each)).alias("found"))
 
 
@@ -201,16 +208,29 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.select(F.col("_doc").alias(id_col), *map(number, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+#: A text is cut into blocks of so many characters once, so a piece of it is found without walking through the text.
+BLOCK = 512
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (exclusive) of the text that the blocks make up."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    within = F.substring(F.get(blocks, first), start % BLOCK + 1, end - start)
+    head, tail = F.substring(F.get(blocks, first), start % BLOCK + 1, F.lit(BLOCK)), F.substring(F.get(blocks, last), F.lit(1), end - last * BLOCK)
+    over = F.concat(head, F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), tail)
+    return F.when(end <= start, "").when(first == last, within).otherwise(over)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, mark: str = "[SECRET]", length_col: str | None = "n_chars") -> DataFrame:
     """The documents with each span, overlapping ones as one, replaced by ``mark``; ``length_col`` is brought up to date."""
     rows = scanned(docs, text_col, rules, F.struct("*"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    rows = rows.withColumn("_blocks", F.when(F.size("found") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    upto = running(F.transform("found", lambda s: F.coalesce(s["end"], F.lit(0))), F.greatest)
+    rows = rows.withColumn("_upto", F.when(F.size("found") > 0, upto))  # of each span: where it and those before it end
+    placed = F.arrays_zip(F.transform("found", lambda s: s["start"]).alias("start"), F.concat(F.array(F.lit(0)), F.slice("_upto", F.lit(1), F.size("found") - 1)).alias("before"))
+    apart = F.filter(placed, lambda s: s["start"] >= s["before"])
+    pieces = F.transform(apart, lambda s: F.concat(cut(F.col("_blocks"), s["before"], s["start"]), F.lit(mark)))
+    done = F.concat(F.array_join(pieces, ""), cut(F.col("_blocks"), F.element_at("_upto", -1), F.length("text")))
     clean = F.when(F.size("found") > 0, done).otherwise(F.col("_doc")[text_col])
     columns = []
     for c, kind in docs.dtypes:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import pytest
@@ -244,3 +245,27 @@ def test_urls_equal_brute_force(spark):
     assert {r["blocked"] for r in none.collect()} == {False}
     assert urls.url_verdicts(captures.limit(0), entries).count() == 0
     assert collected(none.select("page_id")) == [(i,) for i in sorted(range(len(PAGES)), key=lambda i: repr((i,)))]
+
+
+def test_many_matches_in_a_long_text(spark):
+    """Work follows the text and its matches; pieces that cross the blocks, lie in one, or touch are put together right."""
+    long = " ".join(("é🎉" * (i % 700) if i % 50 == 0 else "") + f"{i * 2654435761 % 2**32:024x}" + ("token=abcdef" if i % 9 == 0 else "") for i in range(3000))
+    rows = [(1, long), (2, "a" * 24), (3, "x" + "b" * 5000 + " password: 0123456789abcdef0123456789abcdef." + "y" * 1023), (4, "AKIA" + "A" * 16 + "0" * 24)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    report = {r["doc_id"]: r["spans"] for r in secrets.secret_report(docs).collect()}
+    for i, t in rows:
+        out, at = [], 0
+        for a, b in [tuple(map(int, s.split(":")[1:])) for s in report[i].split(",")]:
+            if a >= at:
+                out.append(t[at:a] + "[SECRET]")
+            at = max(at, b)
+        assert got[i]["text"] == "".join(out) + t[at:] and got[i]["n_chars"] == len(got[i]["text"])
+    assert report[1].count("hex") == 3000
+
+
+def test_running_totals(spark):
+    df = spark.createDataFrame([([3, 1, 4, 1, 5],), ([7],), ([],), (list(range(100)),)], "x array<int>")
+    got = df.select("x", secrets.running(F.col("x"), lambda a, b: a + b).alias("sum"), secrets.running(F.col("x"), F.greatest).alias("most")).collect()
+    for r in got:
+        assert r["sum"] == list(itertools.accumulate(r["x"])) and r["most"] == list(itertools.accumulate(r["x"], max))
