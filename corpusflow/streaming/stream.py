@@ -14,14 +14,14 @@ from ..sources.store import Collection
 
 
 def upsert_stream(pages: DataFrame, transform: Callable[[DataFrame], DataFrame], collection: Collection, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Each micro-batch is transformed and upserted. A batch that is delivered again after a failure changes nothing: its
-    reason names the stream, by its checkpoint, and the batch, and a published batch is skipped. Streams with checkpoints of
-    their own may feed one collection, one after another: a publication names the version that it came from."""
+    """Each micro-batch is transformed and upserted. A batch that is delivered again after a failure changes nothing: every
+    publication carries the last batch of each stream, named by its checkpoint, that it holds, and a batch that the current
+    one holds is skipped. After a restore it holds fewer, so what was rolled back can be delivered again."""
 
     def put(batch: DataFrame, number: int) -> None:
-        reason = f"stream {checkpoint} batch {number}"
-        if collection.manifest().where(F.col("reason") == reason).isEmpty():
-            collection.upsert(transform(batch), reason, "", order)
+        last = collection.current()
+        if last is None or (last["streams"] or {}).get(checkpoint, -1) < number:
+            collection.upsert(transform(batch), f"stream {checkpoint} batch {number}", "", order, (checkpoint, number))
 
     return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -151,6 +151,84 @@ def test_versions_roll_back(spark, tmp_path):
         Collection(spark, f"file://{tmp_path}/none").restore("t")
 
 
+def folders(c, version=None):
+    return {r["bucket"]: r["folder"] for r in c.listing(version or c.current()["version"]).collect() if r["folder"]}
+
+
+def test_upsert_rewrites_only_its_buckets(spark, tmp_path):
+    """Buckets without a key of the delta keep their folder, and the delta's plan reads no file of theirs."""
+    c = Collection(spark, f"file://{tmp_path}/c", buckets=32)
+    c.upsert(spark.range(2000).select(F.concat(F.lit("k"), "id").alias("id"), F.lit(0).alias("v")), "first", "t1")
+    before = folders(c)
+    assert len(before) == 32
+    delta = spark.createDataFrame([("k7", 1), ("k8", 1), ("new", 1)], "id string, v int")
+    c.upsert(delta, "second", "t2")
+    after = folders(c)
+    touched = {r[0] for r in delta.select(F.pmod(F.xxhash64("id"), F.lit(32)).cast("int")).collect()}
+    assert {b for b in after if after[b] != before.get(b)} == touched
+    write = {f.split("/")[1] for b, f in after.items() if b in touched}
+    assert len(write) == 1 and {p.name for p in (tmp_path / "c/data" / write.pop()).iterdir() if p.is_dir()} == {f"_bucket={b}" for b in touched}
+    assert len(list((tmp_path / "c/data").iterdir())) == 2  # what the delta was written to is gone
+    assert c.current()["rows"] == c.read().count() == 2001 and c.read().where("v = 1").count() == 3
+    c.upsert(delta.limit(0), "nothing", "t3")
+    assert folders(c) == after
+    ordered = spark.createDataFrame([("k7", 5, 1), ("k7", 6, 2)], "id string, v int, o int")
+    c.upsert(ordered, "third", "t4", "o")
+    assert [r["v"] for r in c.read().where("id = 'k7'").collect()] == [6]
+
+
+def test_change_feed(spark, tmp_path):
+    c = Collection(spark, f"file://{tmp_path}/c", buckets=8)
+    one = c.stage(spark.createDataFrame([(f"k{i}", i, {"a": "x"}) for i in range(50)], "id string, v int, m map<string,string>"))
+    c.publish(one, "first", "t1")
+    two = c.stage_upsert(spark.createDataFrame([("k3", 3, {"a": "x"}), ("k4", 99, {"a": "x"}), ("k5", 5, {"a": "y"}), ("n", 1, None)], "id string, v int, m map<string,string>"))
+    assert rows(c.changes(one, two)) == [("k4", "changed"), ("k5", "changed"), ("n", "added")]
+    assert rows(c.changes(two, one)) == [("k4", "changed"), ("k5", "changed"), ("n", "removed")]
+    assert c.changes(None, one).where("change = 'added'").count() == 50 and c.changes(two, two).count() == 0
+    same = {f.split("/")[1] for f in folders(c, one).values()} & {f.split("/")[1] for f in folders(c, two).values()}
+    read = {p.split("/data/")[1].split("/")[0] for p in c.changes(one, two).inputFiles()}
+    assert same and read  # folders in both are not read
+    assert not {p.split("/c/")[1].rsplit("/", 1)[0] for p in c.changes(one, two).inputFiles()} & (set(folders(c, one).values()) & set(folders(c, two).values()))
+
+
+def test_retention(spark, tmp_path):
+    """What the kept publications reach stays readable; the rest goes, but for what is younger than the grace period."""
+    c = Collection(spark, f"file://{tmp_path}/c", buckets=4)
+    for i in range(4):
+        c.upsert(spark.createDataFrame([(f"k{k}", i) for k in range(30)] if i == 0 else [(f"k{i}", i)], "id string, v int"), f"r{i}", "t")
+    staged, now = c.stage_upsert(spark.createDataFrame([("later", 9)], "id string, v int")), time.time()
+    expected, old = rows(c.read()), c.manifest().where("number = 3").first()["version"]
+    assert c.vacuum(2, 3600, now) == ["manifest/000000002", "manifest/000000001"]  # all folders are young
+    assert rows(c.read()) == expected and c.read(staged).count() == 31
+    gone = c.vacuum(2, 0, now + 100)
+    assert any(p.startswith("versions/") for p in gone) and any(p.startswith("data/") for p in gone) and f"versions/{staged}" in gone
+    assert rows(c.read()) == expected and c.read(old).count() == 30
+    assert c.restore("t") == 5 and [r["v"] for r in c.read().where("id = 'k3'").collect()] == [0]
+    assert c.vacuum(1, 0, now + 100) and c.read().count() == 30 and not c.has_backup()
+    with pytest.raises(LookupError):
+        c.restore("t")
+
+
+def test_restored_batches_can_come_again(spark, tmp_path):
+    """A batch that a restore took back is not skipped when it is delivered again; one that is still there is."""
+    p = pages(spark, 2)
+    c = Collection(spark, f"file://{tmp_path}/c")
+    p.where("url like '%s0%'").coalesce(1).write.parquet(f"{tmp_path}/in")
+    run = lambda check: ST.upsert_stream(spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in"), ingest.transform, c, check).awaitTermination(120)
+    run(f"{tmp_path}/check")
+    p.where("url like '%s1%'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run(f"{tmp_path}/check")
+    whole = rows(c.read().select("id", "content"))
+    assert c.current()["streams"] == {f"{tmp_path}/check": 1}
+    c.restore("t")
+    assert c.current()["streams"] == {f"{tmp_path}/check": 0} and c.read().count() < len(whole)
+    (tmp_path / "check/commits/1").unlink()  # as if the query had failed before the commit
+    for crc in (tmp_path / "check/commits").glob(".1.crc"):
+        crc.unlink()
+    run(f"{tmp_path}/check")
+    assert rows(c.read().select("id", "content")) == whole
+
+
 def test_rebuild_keeps_the_versions_before(spark, tmp_path):
     c = Collection(spark, f"file://{tmp_path}/c")
     c.upsert(spark.createDataFrame([("x", "old")], "id string, content string"), "first", "t1")
