@@ -6,13 +6,14 @@ number of documents that hold it linked.
 
 Method: minimal perfect hashing of the distinct pairs.
 
-1. ``partial_counts``: tasks encode their documents and count, for each pair, the documents that hold it.
+0. ``encoded``: documents are encoded once; their token ids, two bytes a token, are a written table that the passes read.
+1. ``partial_counts``: tasks align their documents and count, for each pair, the documents that hold it.
 2. ``perfect_hash``: the distinct pairs, in buckets, get a minimal perfect hash: on each level a pair takes the bit that
    its hash names if no other pair wants it, the others go to the next level; a pair's number is the number of set bits
    before its own.
 3. ``pair_counts``: tasks add their counts to dense vectors indexed by this number, and the vectors are summed in a tree
    of FAN_IN slices at a time. Keys stand beside the counts, so a looked-up pair is verified.
-4. ``aligned_documents``: a second pass encodes and aligns the documents again and looks the counts up.
+4. ``aligned_documents``: a second pass aligns the documents again and looks the counts up.
 
 The hash and the vectors of at most BLOCK_PAIRS pairs are sent to tasks. More pairs are dealt to blocks by hash, each with
 a hash, vectors and second pass of its own; a document's figures are sums over the blocks.
@@ -71,6 +72,35 @@ def sides(ranks_path: str, model_path: str) -> Sides:
     return Sides(a, a_lengths, b, pieces, np.array([len(p) for p in pieces], np.int64))
 
 
+def width(vocabulary: int) -> np.dtype:
+    """The type of stored token ids."""
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
+def encoded(rows: DataFrame, ranks_path: str, model_path: str) -> DataFrame:
+    """(row, key, a, b) of (key, text), as a written table: a number of the row, and the ids of both tokenizers as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = sides(ranks_path, model_path)
+        kinds = width(len(both.a_lengths)), width(len(both.b_bytes))
+        for batch in batches:
+            for part in ta.chunks(batch, "text"):
+                found: tuple[list[bytes], list[bytes]] = ([], [])
+                for text in part.column("text").to_pylist():
+                    a = b = ()
+                    if text:
+                        expected = b" " + text.encode()
+                        a, b = both.a.encode_ordinary(" " + text), both.b.encode(text, num_threads=1)
+                        if both.a.decode_bytes(a) != expected or b"".join(map(both.b_bytes.__getitem__, b)) != expected:
+                            a = b = ()
+                    for ids, kind, side in zip((a, b), kinds, found, strict=True):
+                        side.append(np.array(ids, kind).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(x, pa.binary()) for x in found)], ["key", "a", "b"])
+
+    tokens = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, a binary, b binary")
+    return written(tokens.select(F.monotonically_increasing_id().alias("row"), "key", "a", "b"), "tokens", "zstd")
+
+
 @dataclass
 class Aligned:
     """Documents of one chunk: token ids one document after the other, the group of each token (rising), the document of each group."""
@@ -161,33 +191,23 @@ def decimals(ids: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def aligned(batches: Iterator[pa.RecordBatch], both: Sides) -> Iterator[Aligned]:
-    """Encodes and aligns the documents (column text) of the batches chunk by chunk."""
-    vocabulary = len(both.b_bytes)
+    """Aligns the documents (columns a and b) of the batches chunk by chunk."""
+    a_kind, b_kind = width(len(both.a_lengths)), width(len(both.b_bytes))
     for batch in batches:
-        for part in ta.chunks(batch, "text"):
-            a_ids, b_ids, sizes = [], [], []
-            for text in part.column("text").to_pylist():
-                a = b = ()
-                if text:
-                    expected = b" " + text.encode()
-                    a, b = both.a.encode_ordinary(" " + text), both.b.encode(text, num_threads=1)
-                    if both.a.decode_bytes(a) != expected or b"".join(map(both.b_bytes.__getitem__, b)) != expected:
-                        a = b = ()
-                a_ids.append(np.array(a, np.int64))
-                b_ids.append(np.array(b, np.int64))
-                sizes.append(len(expected) if len(a) else 0)
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_ids, b_ids))
+        for part in ta.chunks(batch, "a"):
+            a_buffer, a_offsets = ta.buffers(part.column("a"))
+            a, b = a_buffer.view(a_kind).astype(np.int64), ta.buffers(part.column("b"))[0].view(b_kind).astype(np.int64)
             a_ends, b_ends = np.cumsum(both.a_lengths[a]), np.cumsum(both.b_lengths[b])
             shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-            document = np.searchsorted(np.cumsum(sizes), shared, "left")
-            yield Aligned(part, a, b, np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends), document, vocabulary)
+            closes = np.concatenate(([0], a_ends))[a_offsets[1:] // a_kind.itemsize]  # bytes up to each document's end
+            yield Aligned(part, a, b, np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends), np.searchsorted(closes, shared, "left"), len(both.b_bytes))
 
 
 COUNTED = "pair long, docs long"
 
 
-def partial_counts(rows: DataFrame, ranks_path: str, model_path: str, at_most: int = 1 << 21) -> DataFrame:
-    """(pair, docs) of (text): each task adds up the documents that hold a pair, and lets go of the sums when they are many."""
+def partial_counts(tokens: DataFrame, ranks_path: str, model_path: str, at_most: int = 1 << 21) -> DataFrame:
+    """(pair, docs) of the encoded documents: each task adds up the documents that hold a pair, and lets go of the sums when they are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(ranks_path, model_path)
@@ -212,7 +232,7 @@ def partial_counts(rows: DataFrame, ranks_path: str, model_path: str, at_most: i
             keys, docs = added()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs)], ["pair", "docs"])
 
-    return rows.select("text").mapInArrow(run, COUNTED)
+    return tokens.select("a", "b").mapInArrow(run, COUNTED)
 
 
 def hashed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -374,9 +394,9 @@ class Lookup:
 FIGURES = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def looked_up(rows: DataFrame, lookup: Lookup, ranks_path: str, model_path: str) -> DataFrame:
-    """(key, FIGURES) of (key, text); n_best and count_sum over the pairs that are in ``lookup``."""
-    sent = rows.sparkSession.sparkContext.broadcast(lookup)
+def looked_up(tokens: DataFrame, lookup: Lookup, ranks_path: str, model_path: str) -> DataFrame:
+    """(key, FIGURES) of (key, a, b); n_best and count_sum over the pairs that are in ``lookup``."""
+    sent = tokens.sparkSession.sparkContext.broadcast(lookup)
     names = ["key", *(x.split()[0] for x in FIGURES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +410,7 @@ def looked_up(rows: DataFrame, lookup: Lookup, ranks_path: str, model_path: str)
             figures = [by(chunk.document[chunk.a_group]), by(chunk.document[chunk.b_group]), by(chunk.document), by(document, links), by(document, links * best), pa.array(total), pa.array(chunk.groups_sha256(), pa.string())]
             yield pa.RecordBatch.from_arrays([chunk.part.column("key"), *figures], names)
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {FIGURES}")
+    return tokens.select("key", "a", "b").mapInArrow(run, f"key {tokens.schema['key'].dataType.simpleString()}, {FIGURES}")
 
 
 def _with_best(table: DataFrame) -> DataFrame:
@@ -400,13 +420,14 @@ def _with_best(table: DataFrame) -> DataFrame:
 
 def token_pairs(docs: DataFrame, text_col: str = "text", ranks_path: str = DEFAULT_RANKS, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """One row a pair: a, b, docs, best."""
-    return _with_best(_blocks(docs.select(docs[text_col].alias("text")), ranks_path, model_path)[1]).select("a", "b", "docs", "best")
+    tokens = encoded(docs.select(F.lit(None).cast("int").alias("key"), docs[text_col].alias("text")), ranks_path, model_path)
+    return _with_best(_blocks(tokens, ranks_path, model_path)[1]).select("a", "b", "docs", "best")
 
 
-def _blocks(rows: DataFrame, ranks_path: str, model_path: str) -> tuple[list[tuple[PerfectHash, DataFrame]], DataFrame]:
+def _blocks(tokens: DataFrame, ranks_path: str, model_path: str) -> tuple[list[tuple[PerfectHash, DataFrame]], DataFrame]:
     """The hash and counts of each block of pairs, and the counts of all."""
     b_vocabulary = len(sides(ranks_path, model_path).b_bytes)
-    partials = written(partial_counts(rows, ranks_path, model_path), "partial-counts")
+    partials = written(partial_counts(tokens, ranks_path, model_path), "partial-counts")
     pairs = written(partials.select("pair").distinct(), "pairs")
     blocks = max(1, math.ceil(pairs.count() / BLOCK_PAIRS))
     found, whole = [], None
@@ -421,13 +442,12 @@ def _blocks(rows: DataFrame, ranks_path: str, model_path: str) -> tuple[list[tup
 
 def aligned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = DEFAULT_RANKS, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """One row a document: id and FIGURES."""
-    rows = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"))
-    blocks, whole = _blocks(rows, ranks_path, model_path)
+    tokens = encoded(docs.select(docs[id_col].alias("key"), docs[text_col].alias("text")), ranks_path, model_path)
+    blocks, whole = _blocks(tokens, ranks_path, model_path)
     if len(blocks) == 1:
-        return looked_up(rows, _lookup(*blocks[0], _with_best(blocks[0][1])), ranks_path, model_path).withColumnRenamed("key", id_col)
+        return looked_up(tokens, _lookup(*blocks[0], _with_best(blocks[0][1])), ranks_path, model_path).withColumnRenamed("key", id_col)
     marked = written(_with_best(whole), "marked-pairs")
-    # Several passes meet by a number of the row, which has to be the same in each.
-    numbered = written(rows.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("key").alias("id")).alias("key"), "text"), "aligned")
+    numbered = tokens.select(F.struct("row", F.col("key").alias("id")).alias("key"), "a", "b")
     found = None
     for hash_, table in blocks:
         one = looked_up(numbered, _lookup(hash_, table, marked.join(table.select("pair"), "pair", "left_semi")), ranks_path, model_path)
