@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import first_sentences, normalise, strip_urls
-from .records import containing
+from .matching import containing
 
 #: Default pack, in order of priority within each group. Fixed values.
 PERSONAL = (r"\bpan\b", r"\baadhaar\b|\baadhar\b", r"\botp\b", r"\baccount number\b|\bbank account\b", r"\bifsc\b", r"\bemail\b|\be-mail\b", r"\bphone number\b|\bmobile number\b", r"[A-Z]{5}[0-9]{4}[A-Z]", r"\b\d{12}\b")

@@ -170,37 +170,3 @@ def shares(df: DataFrame, entity: str, group: str, value: str) -> DataFrame:
 def missing_from(expected: DataFrame, found: DataFrame, column: str) -> DataFrame:
     return expected.join(found.select(column).distinct(), column, "left_anti")
 
-
-GRAM = 3
-
-
-def grams(text: Column) -> Column:
-    """All distinct substrings of up to three characters, the empty one among them."""
-    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.lit("")), *(of(n) for n in range(1, GRAM + 1))))
-
-
-def name_grams(name: Column) -> Column:
-    """Of a name, its substrings of three characters; a shorter name is one gram itself."""
-    n = F.length(name)
-    return F.when(n < GRAM, F.array(name)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring(name, i, F.lit(GRAM)))))
-
-
-def containing(names: DataFrame, name: str, texts: DataFrame, text: str) -> DataFrame:
-    """Names and texts, with all their columns, where the text contains the name as a substring.
-
-    They meet by an equi-join on one gram of the name, the one that the fewest texts hold, which every containing text
-    holds too; then the substring test decides. Both tables keep their own columns, so their names must differ."""
-    held = texts.withColumn("_gram", F.explode(grams(F.col(text))))
-    often = held.groupBy("_gram").agg(F.count("*").alias("_often"))
-    own = names.select(F.col(name).alias("_name")).distinct().withColumn("_gram", F.explode(name_grams(F.col("_name"))))
-    best = own.join(often, "_gram").groupBy("_name").agg(F.count("*").alias("_n"), F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"), F.first(F.size(name_grams(F.col("_name")))).alias("_all"))
-    keyed = names.join(best.where("_n = _all").select("_name", "_gram"), names[name] == F.col("_name")).drop("_name")  # else no text holds some gram
-    return keyed.join(held, "_gram").where(F.contains(F.col(text), F.col(name))).drop("_gram")
-
-
-def missing_by_substring(expected: DataFrame, found: DataFrame, name: str, text: str) -> DataFrame:
-    """Expected names which no found text contains, whatever the case."""
-    names = expected.select(F.lower(name).alias("_expected")).distinct()
-    hits = containing(names, "_expected", found.select(F.lower(text).alias("_found")).distinct(), "_found").select("_expected").distinct()
-    return expected.join(hits, F.lower(expected[name]) == F.col("_expected"), "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import checks as C
 from ..functions import text as T
 from ..operators import chunks as K
+from ..operators import matching as X
 from ..operators import records as R
 from . import gate
 from .registry import query, table
@@ -154,7 +155,7 @@ def missing_by_substring(spark, d):
     p = table(spark, d, "part")
     names = p.select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("name")).union(p.select(F.lower("p_name").alias("name"))).union(p.select(F.lower(F.substring("p_brand", 7, 2)).alias("name")))
     names = names.union(p.select(F.lit("ee").alias("name"))).distinct()
-    return R.missing_by_substring(names, p.select("p_type").distinct(), "name", "p_type")
+    return X.missing_by_substring(names, p.select("p_type").distinct(), "name", "p_type")
 
 
 @query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 90 WHEN 'Brand#22' THEN 85 ELSE 50 END * CASE WHEN p_size > 25 THEN 1.0 ELSE 0.6 END AS relevance FROM part")

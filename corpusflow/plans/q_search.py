@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import embed as M
 from ..operators import guard as G
+from ..operators import matching as X
 from ..operators import records as R
 from ..operators import search as S
 from ..streaming import stream as ST
@@ -178,6 +179,15 @@ def entity_aliases(spark, d):
     return G.resolve_entities(questions, aliases, "and")
 
 
+@query("""WITH r AS (SELECT 'c' || item_id % 7 AS category, regexp_extract(lower(text), '^[a-z]+ [a-z]{2}') AS pattern, item_id AS priority FROM benchmark)
+SELECT doc_id, arg_min(category, priority) AS category FROM documents JOIN r ON pattern <> '' AND regexp_matches(lower(text), '(^|[^a-z])' || pattern || '([^a-z]|$)') GROUP BY doc_id""")
+def rule_table(spark, d):
+    """Rules as rows, one for each benchmark item that starts with two words of letters."""
+    start = F.regexp_extract(F.lower("text"), "^[a-z]+ [a-z]{2}", 0)
+    rules = table(spark, d, "benchmark").where(start != "").select(F.concat(F.lit("c"), (F.col("item_id") % 7).cast("string")).alias("category"), F.concat(F.lit("(^|[^a-z])"), start, F.lit("([^a-z]|$)")).alias("pattern"), F.col("item_id").alias("priority"))
+    return X.first_rule(table(spark, d, "documents").withColumn("low", F.lower("text")), "doc_id", "low", rules)
+
+
 @query("""WITH m AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, 'https?://\\S+', '', 'g')), '([.!?])[ \\t\\n\\r]+', '\\1' || chr(1), 'g') AS t FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(trim(t), chr(1)), lambda x: trim(x)), lambda x: x <> '')[1:3], ' ') || chr(10) || chr(10) || 'Source: https://example.org/' || conv_id || chr(10) || 'Last updated: 1998-08-02' AS answer FROM m""")
 def finished_answers(spark, d):

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import time
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 from corpusflow.operators import embed as M
 from corpusflow.operators import guard as G
+from corpusflow.operators import matching as X
 from corpusflow.operators import records as R
 from corpusflow.operators import search as S
 from corpusflow.plans import ingest
@@ -130,8 +132,53 @@ def test_substring_joins_equal_brute_force(spark):
     names = ["alpha", "beta fund", "gamma", "steel", "économie", "", "é", "ta", "zz", "Beta"]
     texts = ["the Alpha one", "betas", "beta fund ii", "stainlesssteel", "l'économie", "", None, "x"]
     n, t = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in texts], "t string")
-    assert rows(R.missing_by_substring(n, t, "name", "t")) == sorted((x,) for x in names if not any(x.lower() in (y or "").lower() for y in texts if y is not None))
-    assert rows(R.containing(n, "name", t, "t")) == sorted(((x, y) for x in names for y in texts if y is not None and x in y), key=repr)
+    assert rows(X.missing_by_substring(n, t, "name", "t")) == sorted((x,) for x in names if not any(x.lower() in (y or "").lower() for y in texts if y is not None))
+    assert rows(X.containing(n, "name", t, "t")) == sorted(((x, y) for x in names for y in texts if y is not None and x in y), key=repr)
+
+
+@pytest.mark.parametrize("block", [4 << 20, 8])
+def test_substring_joins_in_blocks(spark, monkeypatch, block):
+    """Names beyond the bound are dealt to blocks; rows, repeated names and all columns stay."""
+    monkeypatch.setattr(X, "BLOCK_CHARS", block)
+    rng = random.Random(2)
+    names = [("".join(rng.choice("abé") for _ in range(rng.randint(0, 4))), i) for i in range(40)] + [(None, 99)]
+    texts = [("".join(rng.choice("abé ") for _ in range(rng.randint(0, 30))), i) for i in range(60)] + [(None, 99)]
+    n, t = spark.createDataFrame(names, "name string, i int"), spark.createDataFrame(texts, "t string, j int").repartition(3)
+    assert rows(X.containing(n, "name", t, "t")) == sorted(((a, i, b, j) for a, i in names for b, j in texts if a is not None and b is not None and a in b), key=repr)
+    none = spark.createDataFrame([], "name string, i int")
+    assert X.containing(none, "name", t, "t").count() == 0 and rows(X.missing_by_substring(n, t.limit(0), "name", "t")) == rows(n)
+
+
+def test_substring_join_of_long_texts(spark):
+    """Texts of a megabyte are read once, whatever the number of names."""
+    names = spark.range(20_000).select(F.concat(F.lit("name "), "id").alias("name"))
+    texts = spark.range(4).select(F.concat(F.repeat(F.lit("some words of prose "), 50_000), F.lit("name 77"), "id", F.lit("x")).alias("t"))
+    began = time.time()
+    assert {r["name"] for r in X.containing(names, "name", texts, "t").select("name").distinct().collect()} == {"name 7", "name 77", *(f"name 77{i}" for i in range(4))}
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("pattern, literal", [("abc", "abc"), (r"\bNAV\b", "nav"), (r"a+bcd?e", "bc"), (r"x|yz", ""), (r"(foo|bar) baz", " baz"), (r"(?i)Exit Load", "exit load"), (r"(ab)+", "ab"), (r"(ab)*c", "c"), (r"[", ""), (r"\d{9}", ""), ("ſteel", "teel")])
+def test_required_literal(pattern, literal):
+    assert X.required_literal(pattern) == literal
+
+
+def test_rule_table_equals_branches(spark):
+    """5,000 rules as rows give what the same rules give one after the other."""
+    rng = random.Random(6)
+    syllables = ["ba", "ke", "lo", "mi", "nu", "ra", "si", "to"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    shapes = (lambda: word(3), lambda: rf"(?i)\b{word(2)}\b", lambda: rf"{word(2)} +{word(1)}", lambda: rf"({word(2)}|{word(2)})$", lambda: rf"^{word(1)}[a-m]+{word(1)}", lambda: rf"{word(4)}")
+    rules = [(f"c{i % 7}", rng.choice(shapes)(), i) for i in range(5000)]
+    texts = [(i, " ".join(word(rng.randint(1, 3)) for _ in range(rng.randint(0, 6))).upper() if i % 5 == 0 else " ".join(word(rng.randint(1, 3)) for _ in range(rng.randint(0, 6)))) for i in range(150)] + [(200, None)]
+    df = spark.createDataFrame(texts, "query_id int, text string").repartition(2)
+    compiled = [(c, re.compile(p)) for c, p, _ in rules]
+    expected = sorted(((i, next(c for c, p in compiled if p.search(t))) for i, t in texts if t is not None and any(p.search(t) for _, p in compiled)), key=repr)
+    got = X.first_rule(df, "query_id", "text", spark.createDataFrame(rules, "category string, pattern string, priority int"))
+    assert rows(got) == expected and 10 < len(expected)
+    small = rules[:60]
+    branches = df.select("query_id", G.first_match(F.col("text"), tuple((p, c) for c, p, _ in small)).alias("category")).where("category is not null")
+    assert rows(X.first_rule(df, "query_id", "text", spark.createDataFrame(small, "category string, pattern string, priority int"))) == rows(branches)
 
 
 # Stores
