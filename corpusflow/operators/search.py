@@ -78,6 +78,20 @@ def _matrix(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
     return v / np.where(length == 0, 1, length)[:, None]
 
 
+def first_of(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k least finite values of each row, by id among equals: a partition finds the k-th value, and only
+    what is not above it is sorted."""
+    if distance.shape[1] > k:
+        bound = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+        x, y = np.nonzero((distance <= bound) & np.isfinite(distance))
+    else:
+        x, y = np.nonzero(np.isfinite(distance))
+    order = np.lexsort((ids[y], distance[x, y], x))
+    x, y = x[order], y[order]
+    place = np.arange(len(x)) - np.searchsorted(x, x, "left")
+    return x[place < k], y[place < k]
+
+
 def _ids(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
     return batch.column(column)[i].values.to_numpy()
 
@@ -99,15 +113,150 @@ def nearest_dense(queries: DataFrame, corpus: DataFrame, k: int = 10, overlappin
                 distance = np.round(1 - similarity, 6) + 0.0  # no negative zero
                 if overlapping:
                     distance[similarity <= 0] = np.inf
-                place = np.lexsort((np.broadcast_to(b, distance.shape), distance), axis=1)[:, :k]
-                found = np.take_along_axis(distance, place, 1).ravel()
-                rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(a, place.shape[1])), pa.array(b[place].ravel()), pa.array(found)], ["query_id", "doc_id", "distance"])
-                yield rows.filter(pa.array(np.isfinite(found)))
+                x, y = first_of(distance, b, k)
+                yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[y]), pa.array(distance[x, y])], ["query_id", "doc_id", "distance"])
 
     pairs = met(q, d, "d0 array<long>, d1 array<array<double>>").select("q0", "q1", "d0", "d1").mapInArrow(products, "query_id long, doc_id long, distance double")
     return top_k(pairs, "query_id", k, F.col("distance"), F.col("doc_id"))
 
 
+PIVOTS = 256
+BANDS = 16
+#: (block, ids, vectors: rows of unit length one after the other, pivot: its number, low and high: angles of the rows to the
+#: pivot, most and least: largest and smallest value in each dimension)
+INDEX = "block long, ids array<long>, vectors array<double>, pivot int, low double, high double, most array<double>, least array<double>"
+SLACK = 1e-7  # of angles and products, whose last digits depend on the order of sums
+
+
+def _unit(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    values = batch.column(column)
+    v = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+    length = np.linalg.norm(v, axis=1)
+    return v / np.where(length == 0, 1, length)[:, None]
+
+
+def _angle(product: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(product, -1, 1))
+
+
+def pivots_of(corpus: DataFrame, n: int = PIVOTS) -> np.ndarray:
+    """Unit vectors of the n rows of least key hash: a bounded sample, the same at each run."""
+    some = corpus.where("embedding is not null").select(F.col("embedding").cast("array<double>").alias("v"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(n).select("v").toArrow()
+    return np.concatenate([_unit(b, "v") for b in some.to_batches()]) if some.num_rows else np.zeros((0, 0))
+
+
+def vector_index(corpus: DataFrame, pivots: np.ndarray, size: int = 1024) -> DataFrame:
+    """INDEX of (doc_id, embedding): every vector stands in one block. A block's rows are nearest to one pivot, lie in one band of
+    angles to it, and are about ``size`` at most: the rows of a full band are dealt to several blocks by a hash of the key.
+
+    Write it with the collection; searches then read blocks that are in order, whole or not at all."""
+    spark = corpus.sparkSession
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _unit(batch, "v")
+            products = v @ sent.value.T
+            pivot = products.argmax(axis=1)
+            angle = _angle(products[np.arange(len(v)), pivot])
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), vectors, pa.array(pivot, pa.int32()), pa.array(np.minimum(angle / np.pi * 2 * BANDS, 2 * BANDS - 1).astype(np.int32)), pa.array(angle)], ["id", "v", "pivot", "band", "angle"])
+
+    rows = corpus.where("embedding is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    placed = rows.mapInArrow(assigned, "id long, v array<double>, pivot int, band int, angle double")
+    sizes = placed.groupBy("pivot", "band").count()  # at most pivots times bands rows
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / size))
+    dealt_out = placed.join(F.broadcast(sizes), ["pivot", "band"]).select("id", "v", "pivot", "angle", F.xxhash64("pivot", "band", part).alias("block"))
+    held = dealt_out.groupBy("block").agg(F.collect_list(F.struct("id", "v", "angle")).alias("r"), F.first("pivot").alias("pivot"))
+    flat = held.select("block", F.col("r.id").alias("ids"), F.flatten("r.v").alias("vectors"), "pivot", F.array_min("r.angle").alias("low"), F.array_max("r.angle").alias("high"))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most, least = [], []
+            for i in range(batch.num_rows):
+                v = batch.column("vectors")[i].values.to_numpy().reshape(len(batch.column("ids")[i].values), -1)
+                most.append(v.max(axis=0))
+                least.append(v.min(axis=0))
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(most, kind), pa.array(least, kind)], [*batch.schema.names, "most", "least"])
+
+    return flat.mapInArrow(bounded, INDEX)
+
+
+def nearest_indexed(queries: DataFrame, index: DataFrame, pivots: np.ndarray, k: int = 10, overlapping: bool = False, seen: tuple | None = None) -> DataFrame:
+    """The rows of ``nearest_dense``, from an index: a query skips the blocks that cannot hold one of its k nearest.
+
+    A block's best product with a query is bounded twice: by the angles of query and rows to the block's pivot, and by the
+    largest and smallest values in each dimension. The k-th product so far starts with that among the pivots, which are rows
+    themselves, and rises in each task. Queries go to the tasks in groups of up to BROADCAST_QUERIES with BROADCAST_VALUES
+    numbers; each group reads the index once. ``seen``: two accumulators, for pairs of query and block, and for skipped ones."""
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    groups = max(1, -(-n // max(1, min(BROADCAST_QUERIES, BROADCAST_VALUES // max(size, 1)))))
+    found = None
+    for g in range(groups):
+        some = (asked if groups == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g)).toArrow().combine_chunks()
+        one = _searched(some, index, pivots, k, overlapping, seen)
+        found = one if found is None else found.union(one)
+    return top_k(found, "query_id", k, F.col("distance"), F.col("doc_id"))
+
+
+def _searched(some: pa.Table, index: DataFrame, pivots: np.ndarray, k: int, overlapping: bool, seen: tuple | None) -> DataFrame:
+    ids = some.column("id").to_numpy()
+    q = np.concatenate([_unit(b, "v") for b in some.to_batches()]) if some.num_rows else np.zeros((0, pivots.shape[1]))
+    products = q @ pivots.T if len(pivots) else np.zeros((len(q), 0))
+    # Distances are compared as they are given, in six digits, so the k-th product is lowered by one unit of them.
+    kth = np.partition(products, -k, axis=1)[:, -k] - 1.5e-6 if products.shape[1] >= k else np.full(len(q), -np.inf)
+    sent = index.sparkSession.sparkContext.broadcast((ids, q, _angle(products), kth))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, q, angles, kth = sent.value
+        least_product, held = kth.copy(), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                low, high = batch.column("low")[i].as_py() - SLACK, batch.column("high")[i].as_py() + SLACK
+                to_pivot = angles[:, batch.column("pivot")[i].as_py()]
+                most, least = (batch.column(c)[i].values.to_numpy() for c in ("most", "least"))
+                by_angle = np.cos(np.clip(np.maximum(to_pivot - high, low - to_pivot), 0, np.pi))
+                by_value = np.maximum(q, 0) @ most + np.minimum(q, 0) @ least
+                live = np.flatnonzero(np.minimum(by_angle, by_value) + SLACK >= (np.maximum(least_product, 0) if overlapping else least_product))
+                if seen:
+                    seen[0].add(len(q))
+                    seen[1].add(len(q) - len(live))
+                if not len(live):
+                    continue
+                b = batch.column("ids")[i].values.to_numpy()
+                similarity = q[live] @ batch.column("vectors")[i].values.to_numpy().reshape(len(b), -1).T
+                distance = np.round(1 - similarity, 6) + 0.0  # no negative zero
+                if overlapping:
+                    distance[similarity <= 0] = np.inf
+                x, y = first_of(distance, b, k)
+                new = (live[x], b[y], distance[x, y])
+                held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new, strict=True))
+                if len(held[0]) > 4 * k * max(1, len(q)) or len(live) * 4 > len(q):
+                    held, least_product = _kept(held, least_product, k)
+        held = held or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        held, _ = _kept(held, least_product, k)
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "doc_id", "distance"])
+
+    return index.select("ids", "vectors", "pivot", "low", "high", "most", "least").mapInArrow(run, "query_id long, doc_id long, distance double")
+
+
+def _kept(held: tuple, least_product: np.ndarray, k: int) -> tuple[tuple, np.ndarray]:
+    """The k nearest of each query so far, and the products that a better one must reach."""
+    x, ids, distance = held
+    order = np.lexsort((ids, distance, x))
+    x, ids, distance = x[order], ids[order], distance[order]
+    place = np.arange(len(x)) - np.searchsorted(x, x, "left")
+    last = place == k - 1
+    out = least_product.copy()
+    out[x[last]] = np.maximum(out[x[last]], 1 - distance[last] - 1.5e-6)
+    keep = place < k
+    return (x[keep], ids[keep], distance[keep]), out
+
+
 def fetched(candidates: DataFrame, corpus: DataFrame, most_rows: int) -> DataFrame:
     """Slim candidates with their rows of the corpus, by doc_id. ``most_rows`` is a bound on the candidates: within
     ``BROADCAST_ROWS`` they are broadcast and the corpus stays where it is."""
@@ -140,9 +289,7 @@ def lexical_overlap(queries: DataFrame, docs: DataFrame, k: int | None = None) -
                 if k is None:
                     x, y = np.nonzero(shared)
                 else:
-                    y = np.lexsort((np.broadcast_to(b, shared.shape), -shared), axis=1)[:, :k]
-                    x, y = np.repeat(np.arange(len(a)), y.shape[1]), y.ravel()
-                    x, y = x[shared[x, y] > 0], y[shared[x, y] > 0]
+                    x, y = first_of(np.where(shared > 0, -shared.astype(float), np.inf), b, k)
                 yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[y]), pa.array(shared[x, y]), pa.array(sizes[x].astype(np.int64))], ["query_id", "doc_id", "shared", "n"])
 
     pairs = met(q, d, "d0 array<long>, d1 array<array<string>>").select("q0", "q1", "d0", "d1").mapInArrow(products, "query_id long, doc_id long, shared long, n long")

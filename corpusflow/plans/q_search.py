@@ -11,6 +11,7 @@ from ..operators import guard as G
 from ..operators import matching as X
 from ..operators import records as R
 from ..operators import search as S
+from ..sources.scratch import written
 from ..streaming import stream as ST
 from .registry import query, table
 
@@ -70,6 +71,18 @@ def nearest_vectors(spark, d):
     return S.nearest_dense(e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding"), 5)
 
 
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(1 - array_inner_product(q.e, c.e) / (sqrt(array_inner_product(q.e, q.e)) * sqrt(array_inner_product(c.e, c.e))), 6) + 0 AS distance FROM n q, n c WHERE q.vec_id % 20 = 0)
+SELECT query_id, doc_id, distance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM p) WHERE rank <= 10""")
+def nearest_indexed(spark, d):
+    """Every twentieth vector against an index of all."""
+    e = table(spark, d, "embeddings")
+    corpus = e.select(F.col("vec_id").alias("doc_id"), "embedding")
+    pivots = S.pivots_of(corpus)
+    index = written(S.vector_index(corpus, pivots, 128), "vector-index")
+    return S.nearest_indexed(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), index, pivots)
+
+
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, greatest(0, round(list_inner_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6)) AS similarity FROM embeddings")
 def vector_products(spark, d):
     v = F.col("embedding")
@@ -114,13 +127,15 @@ def retrieved(queries, corpus):
     Texts stay out of the vector join: candidates carry ids, and the few that are left fetch their texts by an equi-join."""
     near = nearest(queries, corpus)
     wanted = queries.select("query_id", F.col("text").alias("query"), F.concat(F.lit("src"), F.pmod("query_id", F.lit(20)).cast("string")).alias("entity"), F.lit("en").alias("kind"))
-    rows = S.fetched(near, corpus.select("doc_id", "text", "source", "lang"), queries.count() * S.FETCHED).join(wanted, "query_id")
-    rows = S.keep_matching(rows, "query_id", F.col("source") == F.col("entity"))
+    n = queries.count()
+    rows = S.fetched(near, corpus.select("doc_id", "text", "source", "lang"), n * S.FETCHED).join(F.broadcast(wanted) if n <= S.BROADCAST_QUERIES else wanted, "query_id")
     q, t = F.array_distinct(T.query_tokens(F.col("query"))), T.query_tokens(F.col("text"))
     overlap = F.when(F.size(q) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(q, t)) / F.size(q), 6))
     boosted = S.boost(F.col("source") == F.col("entity"), F.col("lang") == F.col("kind"), F.lit("metric"), F.col("query"), F.col("text"), ("the", "and"))
-    rows = rows.withColumn("score", S.hybrid_score(F.col("distance"), overlap, boosted))
-    top = S.top_k(rows.withColumnRenamed("rank", "fetched"), "query_id", S.FINAL, F.desc("score"), F.col("fetched"))
+    # Scored where the text is; what goes on to the windows is ids and numbers.
+    scored = rows.select("query_id", "doc_id", "source", "distance", F.col("rank").alias("fetched"), (F.col("source") == F.col("entity")).alias("match"), S.hybrid_score(F.col("distance"), overlap, boosted).alias("score"))
+    scored = S.keep_matching(scored, "query_id", F.col("match"))
+    top = S.top_k(scored, "query_id", S.FINAL, F.desc("score"), F.col("fetched"))
     best = F.max("score").over(W.partitionBy("query_id"))
     return top.withColumn("enough", S.sufficient(best, F.lit(True)))
 
@@ -143,7 +158,9 @@ def retrieve(spark, d):
  'Context:' || chr(10) || string_agg('- ' || text, chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || first(query ORDER BY rank) || chr(10) || chr(10) || 'Answer in at most three sentences.' AS prompt,
  coalesce('https://' || first(source ORDER BY rank) || '.example/', 'https://example.org/') AS url FROM ret GROUP BY 1""")
 def prompts(spark, d):
-    rows = retrieved(_queries(spark, d), _corpus(spark, d))
+    queries, corpus = _queries(spark, d), _corpus(spark, d)
+    few = written(retrieved(queries, corpus).select("query_id", "doc_id", "rank", "source"), "retrieved")
+    rows = S.fetched(few, corpus.select("doc_id", "text"), queries.count() * S.FINAL).join(queries.withColumnRenamed("text", "query"), "query_id")
     first = rows.groupBy("query_id").agg(S.context(F.col("rank"), F.col("text")).alias("context"), F.min_by("query", "rank").alias("question"), F.min_by("source", "rank").alias("top"))
     url = S.source_url(F.concat(F.lit("https://"), "top", F.lit(".example/")), F.lit(None).cast("string"), F.lit(None).cast("string"), "https://example.org/")
     return first.select("query_id", "context", "question", S.prompt(F.col("question"), F.col("context")).alias("prompt"), url.alias("url"))

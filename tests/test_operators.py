@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,39 @@ def test_substring_joins_equal_brute_force(spark):
     assert rows(X.containing(n, "name", t, "t")) == sorted(((x, y) for x in names for y in texts if y is not None and x in y), key=repr)
 
 
+@pytest.mark.parametrize("kind, overlapping, k", [("clusters", False, 5), ("clusters", True, 40), ("sparse", True, 7), ("same", False, 5)])
+def test_indexed_search_equals_all_pairs(spark, kind, overlapping, k):
+    """With clusters most blocks are skipped; with equal, null and zero vectors the rows are the same all the same."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 24))
+    if kind == "clusters":
+        v = centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 24)) * 0.1
+    elif kind == "sparse":
+        v = np.maximum(rng.normal(size=(900, 24)) - 1.2, 0)
+    else:
+        v = np.repeat(centres[:2], 450, axis=0)
+    data = [(i, x) for i, x in enumerate(v.tolist())] + [(2000, [0.0] * 24), (2001, None), (2002, v[0].tolist())]
+    corpus = spark.createDataFrame(data, "doc_id long, embedding array<double>").repartition(3)
+    queries = corpus.where("doc_id % 9 = 0 or doc_id > 1999").withColumnRenamed("doc_id", "query_id")
+    pivots = S.pivots_of(corpus, 40)
+    index = S.vector_index(corpus, pivots, 32).cache()
+    assert index.select(F.max(F.size("ids"))).first()[0] < 150 and index.select(F.sum(F.size("ids"))).first()[0] == 902
+    seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    assert rows(S.nearest_indexed(queries, index, pivots, k, overlapping, seen)) == rows(S.nearest_dense(queries, corpus, k, overlapping))
+    assert seen[0].value and (kind != "clusters" or k > 5 or seen[1].value > 0.8 * seen[0].value)
+    assert S.nearest_indexed(queries.limit(0), index, pivots, k).count() == 0
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_indexed_search_in_groups_of_queries(spark, monkeypatch, groups):
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", -(-30 // groups))
+    rng = np.random.default_rng(5)
+    corpus = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(30, 8)).tolist())], "doc_id long, embedding array<double>")
+    pivots = S.pivots_of(corpus, 4)
+    queries = corpus.withColumnRenamed("doc_id", "query_id")
+    assert rows(S.nearest_indexed(queries, S.vector_index(corpus, pivots), pivots, 3)) == rows(S.nearest_dense(queries, corpus, 3))
+
+
 @pytest.mark.parametrize("block", [4 << 20, 8])
 def test_substring_joins_in_blocks(spark, monkeypatch, block):
     """Names beyond the bound are dealt to blocks; rows, repeated names and all columns stay."""
