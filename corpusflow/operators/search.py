@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise, query_tokens
+from ..sources.scratch import written
 
 #: Weights and thresholds. Fixed values.
 SIMILARITY, LEXICAL, LEXICAL_ONLY = 0.75, 0.20, 0.90
@@ -297,6 +298,43 @@ def lexical_overlap(queries: DataFrame, docs: DataFrame, k: int | None = None) -
     return found if k is None else top_k(found, "query_id", k, F.desc("overlap"), F.col("doc_id")).drop("rank")
 
 
+def token_index(docs: DataFrame) -> DataFrame:
+    """(doc_id, tokens): the distinct query tokens of each document of (doc_id, text). Write it with the collection."""
+    return docs.where("text is not null").select("doc_id", F.array_distinct(query_tokens(F.col("text"))).alias("tokens"))
+
+
+def _shared(pairs: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, doc_id, shared, n) of pairs, written: how many tokens of the query the document holds."""
+    pairs = written(pairs, "lexical-pairs")
+    held = fetched(pairs, index, pairs.count()).join(asked, "query_id")
+    return written(held.select("query_id", "doc_id", F.size(F.array_intersect("asked", "tokens")).alias("shared"), F.size("asked").alias("n")), "lexical-shared")
+
+
+def lexical_top(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The rows of ``lexical_overlap`` with a k, from a ``token_index`` that is a written table.
+
+    Postings are kept for the tokens that are asked. A query reads those of its rarest tokens until they list k rows, counts
+    what these documents share with it, and takes the k-th count s. A document that shares s of the query's m known tokens
+    holds one of its m - s + 1 rarest, so the postings of these are read as well and no others: what is frequent is left out
+    by the counts, and the result is exact."""
+    asked = queries.where("text is not null").select("query_id", F.array_distinct(query_tokens(F.col("text"))).alias("asked"))
+    wanted = asked.select("query_id", F.explode("asked").alias("token"))
+    postings = written(index.select("doc_id", F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi"), "postings")
+    often = postings.groupBy("token").agg(F.count("*").alias("often"))
+    known = wanted.join(often, "token").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("known"))  # as long as a query
+    start = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).alias("p"))
+    first = F.aggregate("known", start, lambda a, x: F.when(a["rows"] >= k, a).otherwise(F.struct((a["rows"] + x["often"]).alias("rows"), (a["p"] + 1).alias("p"))), lambda a: a["p"])
+    known = written(known.withColumn("first", first), "known-tokens")
+    listed = lambda table, tokens: table.select("query_id", F.explode(tokens).alias("x")).select("query_id", "x.token").join(postings, "token").select("query_id", "doc_id").distinct()
+    some = _shared(listed(known, F.slice("known", F.lit(1), F.col("first"))), index, asked)
+    kth = top_k(some, "query_id", k, F.desc("shared"), F.col("doc_id")).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("shared")).otherwise(F.lit(1)).alias("kth"))
+    more = known.join(kth, "query_id").withColumn("upto", F.size("known") - F.col("kth") + 1).where("upto > first")
+    rest = listed(more, F.slice("known", F.col("first") + 1, F.col("upto") - F.col("first"))).join(some.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    both = some.union(_shared(rest, index, asked))
+    found = both.select("query_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
+    return top_k(found, "query_id", k, F.desc("overlap"), F.col("doc_id")).drop("rank")
+
+
 def keep_matching(candidates: DataFrame, by: str, match: Column) -> DataFrame:
     """Rows that match, for queries with any match; all rows of the others."""
     flagged = candidates.withColumn("_match", F.coalesce(match, F.lit(False)))

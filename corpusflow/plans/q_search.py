@@ -107,15 +107,16 @@ _LEX = f"""lq AS (SELECT item_id AS query_id, len({_QTOK}) AS n, unnest({_QTOK})
 lex AS (SELECT query_id, doc_id, round(count(*) / n, 6) AS overlap FROM lq JOIN ld USING (token) GROUP BY query_id, doc_id, n)"""
 
 
-@query(f"WITH {_LEX} SELECT * FROM lex")
+@query(f"WITH {_LEX} SELECT query_id, doc_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id) AS rank FROM lex) WHERE rank <= {S.FETCHED}")
 def lexical_overlap(spark, d):
-    return S.lexical_overlap(_queries(spark, d), _corpus(spark, d))
+    return S.lexical_overlap(_queries(spark, d), _corpus(spark, d), S.FETCHED)
 
 
 @query(f"""WITH {_LEX}, r AS (SELECT *, round(overlap * 0.9 + 0.000000001, 6) AS score FROM lex), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r)
 SELECT query_id, doc_id, score, rank::INTEGER AS rank, max(score) OVER (PARTITION BY query_id) >= 0.10 AS enough FROM t WHERE rank <= 6""")
 def retrieve_lexical(spark, d):
-    rows = S.lexical_overlap(_queries(spark, d), _corpus(spark, d), S.FINAL).withColumn("score", S.hybrid_score(F.lit(None).cast("double"), F.col("overlap"), F.lit(0.0)))
+    index = written(S.token_index(_corpus(spark, d)), "token-index")
+    rows = S.lexical_top(_queries(spark, d), index, S.FINAL).withColumn("score", S.hybrid_score(F.lit(None).cast("double"), F.col("overlap"), F.lit(0.0)))
     top = S.top_k(rows, "query_id", S.FINAL, F.desc("score"), F.col("doc_id"))
     best = F.max("score").over(W.partitionBy("query_id"))
     return top.select("query_id", "doc_id", "score", "rank", S.sufficient(best, F.lit(False)).alias("enough"))

@@ -137,6 +137,19 @@ def test_substring_joins_equal_brute_force(spark):
     assert rows(X.containing(n, "name", t, "t")) == sorted(((x, y) for x in names for y in texts if y is not None and x in y), key=repr)
 
 
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_lexical_search_from_postings(spark, k):
+    """The same rows as by all products: with ties, a token in every document, tokens that no document holds, and few hits."""
+    rng = random.Random(8)
+    words = [f"w{i:03d}" for i in range(60)]
+    said = lambda n: " ".join(rng.choice(words[: rng.choice([3, 10, 60])]) for _ in range(n))
+    docs = spark.createDataFrame([(i, "all " + said(rng.randint(1, 25)) if i % 9 else None) for i in range(300)], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, said(rng.randint(1, 12)) + (" all" if i % 2 else "") + (" unknown words" if i % 3 == 0 else "")) for i in range(40)] + [(90, "none here"), (91, ""), (92, None), (93, "all")], "query_id long, text string")
+    index = S.written(S.token_index(docs), "test-index")
+    assert rows(S.lexical_top(queries, index, k)) == rows(S.lexical_overlap(queries, docs, k))
+    assert S.lexical_top(queries.limit(0), index, k).count() == 0 and S.lexical_top(queries, index.limit(0), k).count() == 0
+
+
 @pytest.mark.parametrize("kind, overlapping, k", [("clusters", False, 5), ("clusters", True, 40), ("sparse", True, 7), ("same", False, 5)])
 def test_indexed_search_equals_all_pairs(spark, kind, overlapping, k):
     """With clusters most blocks are skipped; with equal, null and zero vectors the rows are the same all the same."""
