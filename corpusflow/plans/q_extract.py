@@ -235,3 +235,15 @@ def delivered_pages(spark, d):
     sent = events.select((F.col("event_id") % n).alias("page_id"), F.col("ts").cast("timestamp").alias("at")).join(pages, "page_id").drop("page_id")
     kept = ST.deduplicated(sent.union(sent), ["url", "at"], "at").withColumn("n", F.count("*").over(W.partitionBy("url", "at")))
     return kept.select("url", F.unix_timestamp("at").alias("at"), F.col("n").alias("kept"))
+
+
+@query("""WITH l AS (SELECT s_nationkey, list(x ORDER BY s_suppkey, n) AS ls FROM (SELECT s_nationkey, s_suppkey, 1 AS n, 'S Suppkey: ' || s_suppkey AS x FROM supplier UNION ALL SELECT s_nationkey, s_suppkey, 2, 'S Name: ' || s_name FROM supplier) GROUP BY s_nationkey),
+p AS (SELECT s_nationkey, list_reduce(list_prepend({'done': []::VARCHAR[], 'cur': NULL::VARCHAR, 'x': NULL::VARCHAR}, list_transform(ls, lambda y: {'done': []::VARCHAR[], 'cur': NULL::VARCHAR, 'x': y})),
+ lambda a, b: CASE WHEN a.cur IS NOT NULL AND (length(a.cur) + 1 + length(b.x)) // 4 > 40 THEN {'done': list_append(a.done, a.cur), 'cur': b.x, 'x': NULL::VARCHAR} ELSE {'done': a.done, 'cur': concat_ws(chr(10), a.cur, b.x), 'x': NULL::VARCHAR} END) AS r FROM l),
+c AS (SELECT s_nationkey, list_append(r.done, r.cur) AS cs FROM p)
+SELECT s_nationkey, i::INTEGER AS chunk_no, cs[i] AS content, len(string_split(cs[i], chr(10)))::INTEGER AS n_lines, greatest(1, length(cs[i]) // 4)::INTEGER AS token_count FROM (SELECT s_nationkey, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)""")
+def entity_chunks(spark, d):
+    """Chunks of each nation's suppliers, by a table function called from SQL text."""
+    sql_surface.register(spark)
+    table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name").createOrReplaceTempView("corpusflow_suppliers")
+    return spark.sql("SELECT * FROM entity_chunks(TABLE(corpusflow_suppliers) PARTITION BY s_nationkey ORDER BY (s_suppkey), 's_nationkey', 40)")
