@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..sources.store import Collection
 
@@ -38,24 +39,66 @@ def decisions(times: list[float], count: int, start: float, seconds: float, most
 
 
 LIMITED = "client long, at timestamp, allowed boolean"
+MICROS = 1_000_000
+
+
+def decided(times: np.ndarray, count: int, start: int, length: int, most: int) -> tuple[np.ndarray, int, int]:
+    """``decisions`` for sorted times in microseconds, window by window instead of request by request."""
+    allowed, at = np.zeros(len(times), bool), 0
+    while at < len(times):
+        if count == 0 or times[at] - start >= length:
+            count, start = 0, int(times[at])
+        stop = int(np.searchsorted(times, start + length, "left"))
+        allowed[at : at + max(0, most - count)] = True
+        allowed[stop:] = False
+        count += stop - at
+        at = stop
+    return allowed, count, start
+
+
+class Limiter(StatefulProcessor):
+    """A client's window: how many requests it has seen, and its start in microseconds; dropped by a timer after its end."""
+
+    def __init__(self, seconds: int, most: int):
+        self.seconds, self.most = seconds, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "count long, start long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        # Of a client's rows only their times are held, eight bytes each, and put in order.
+        times = np.concatenate([frame["at"].to_numpy().astype("datetime64[us]").astype(np.int64) for frame in rows])
+        times.sort()
+        count, start = self.window.get() if self.window.exists() else (0, 0)
+        allowed, count, new_start = decided(times, int(count), int(start), self.seconds * MICROS, self.most)
+        self.window.update((count, new_start))
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer((new_start + self.seconds * MICROS) // 1000 + 1)
+        for i in range(0, len(times), CHUNK):
+            at = pd.Series(times[i : i + CHUNK].astype("datetime64[us]")).dt.tz_localize("UTC")
+            yield pd.DataFrame({"client": key[0], "at": at, "allowed": allowed[i : i + CHUNK]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+CHUNK = 10_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def limit_stream(requests: DataFrame, seconds: int = 60, most: int = 100) -> DataFrame:
-    """(client, at) -> with ``allowed``; per client one count and one window start are kept, dropped after the window."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, start = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("at")
-        seen = rows["at"].astype("int64") / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[rows["at"].dt.unit]
-        allowed, count, start = decisions(seen.tolist(), count, start, seconds, most)
-        state.update((count, start))
-        state.setTimeoutTimestamp(int((start + seconds) * 1000) + seconds * 1000)
-        yield rows.assign(allowed=allowed)
-
-    return requests.withWatermark("at", f"{seconds} seconds").groupBy("client").applyInPandasWithState(step, LIMITED, "count long, start double", "append", GroupStateTimeout.EventTimeTimeout)
+    """(client, at) -> with ``allowed``, as ``limit_batch`` gives it where batches follow one another in time; a request later
+    than the watermark, one window behind, is dropped. State is kept in RocksDB, which the session is set to: one count and
+    one window start a client, until the watermark passes the window's end, when a new request starts a new window anyway."""
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    slim = requests.select("client", "at").withWatermark("at", f"{seconds} seconds")
+    return slim.groupBy("client").transformWithStateInPandas(Limiter(seconds, most), LIMITED, "Append", "EventTime")
 
 
 def limit_batch(requests: DataFrame, seconds: int = 60, most: int = 100) -> DataFrame:

@@ -437,6 +437,33 @@ def test_limiter_batch_and_stream_equal_brute_force(spark, tmp_path):
     assert shown(spark.table("limited")) == expected
 
 
+def test_limits_survive_a_restart_and_drop_late_rows(spark, tmp_path):
+    """Files come one by one, the query is stopped and started again between them; then a request from long ago comes."""
+    rng = random.Random(9)
+    seen = sorted((1_700_000_000 + rng.randint(0, 900), c) for c in range(5) for _ in range(120))
+    parts = [seen[i : i + 100] for i in range(0, 600, 100)]
+    made = lambda part: spark.createDataFrame([(c, s) for s, c in part], "client long, s long").select("client", F.timestamp_seconds("s").alias("at"))
+    folder = f"{tmp_path}/in"
+    for part in [*parts, [(1_600_000_000, 1), (1_700_002_000, 1)]]:
+        made(part).coalesce(1).write.mode("append").parquet(folder)
+        stream = ST.limit_stream(spark.readStream.schema(made(part).schema).parquet(folder), 60, 4)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination(120)
+    shown = lambda d: sorted((r[0], r[1], r[2]) for r in d.select("client", F.unix_timestamp("at"), "allowed").collect())
+    got = shown(spark.read.parquet(f"{tmp_path}/out"))
+    assert got == sorted(shown(ST.limit_batch(made([x for p in parts for x in p]), 60, 4)) + [(1, 1_700_002_000, True)])
+    assert 0 < sum(r[2] for r in got) < len(got) - 100
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_windows_decide_as_requests_do(seed):
+    rng = random.Random(seed)
+    times = sorted(rng.randint(0, 300) for _ in range(rng.randint(0, 80)))
+    count, start = rng.choice([(0, 0), (3, -20), (9, -200)])
+    one, n, s = ST.decisions(times, count, start, 60, 4)
+    many, m, t = ST.decided(np.array(times, np.int64), count, start, 60, 4)
+    assert (one, n, s) == (many.tolist(), m, t)
+
+
 def test_window_counts_and_duplicates_stream(spark, tmp_path):
     df = spark.createDataFrame([(i % 2, i % 3, 1_700_000_000 + 20 * i) for i in range(12)], "client long, k long, s long").select("client", "k", F.timestamp_seconds("s").alias("at"))
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
