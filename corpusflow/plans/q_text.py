@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import markup as U
 from ..functions import text as T
 from .registry import query, table
 
@@ -206,3 +207,28 @@ def text_nfkc(spark, d):
 def title_words(spark, d):
     p = table(spark, d, "part")
     return p.select("p_partkey", T.title_words(F.lower("p_name"), ("red", "steel")).alias("named"), T.title_case(F.lower("p_type")).alias("title"))
+
+
+_RAW = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+_TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|''[^'']*''|[^''\">])*)>"
+_ELEMENTS = rf"""h AS (SELECT page_id, regexp_replace(html, '{_RAW}', '', 'g') AS t FROM pages),
+g AS (SELECT page_id, t, regexp_extract_all(t, '{_TAG}', 0) AS tags, string_split_regex(t, '{_TAG}') AS gaps FROM h),
+i AS (SELECT page_id, t, unnest(range(1, len(tags) + 1)) AS i, unnest(tags) AS tag, unnest(list_transform(range(1, len(tags) + 1), lambda n: list_sum(list_transform(gaps[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(tags[1:n - 1], lambda x: length(x))), 0))) AS s FROM g),
+k AS (SELECT page_id, t, i, tag, s::BIGINT AS s, (s + length(tag))::BIGINT AS e, lower(regexp_extract(tag, '{_TAG}', 2)) AS name, tag[2] = '/' AS closing FROM i),
+l AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY i) + closing::INT AS level FROM k WHERE name NOT IN ('{"', '".join(U.VOID)}') AND tag[-2] <> '/'),
+m AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY page_id, name, level ORDER BY i), length(t)) AS z FROM l),
+elements AS (SELECT page_id, name, s, e, z, tag, t[e + 1:z] AS inside FROM m WHERE NOT closing)"""
+
+
+@query(f"""WITH {_ELEMENTS},
+p AS (SELECT page_id, count(*) AS paragraphs, sum(length(inside))::BIGINT AS chars FROM elements x WHERE name = 'p' AND EXISTS (SELECT 1 FROM elements a WHERE a.page_id = x.page_id AND a.name = 'article' AND a.s < x.s AND a.z > x.s) GROUP BY page_id),
+a AS (SELECT page_id, arg_min(inside, s) AS first_link, count(*) AS links FROM elements x WHERE name = 'a' AND EXISTS (SELECT 1 FROM elements n JOIN elements i ON n.page_id = i.page_id AND n.name = 'nav' AND i.name = 'li' AND n.s < i.s AND n.z > i.s WHERE n.page_id = x.page_id AND i.s < x.s AND i.z > x.s) GROUP BY page_id),
+n AS (SELECT page_id, string_agg(regexp_extract(tag, 'href="([^"]*)"', 1), ' ' ORDER BY s) AS urls FROM elements WHERE name = 'a' AND contains(tag, 'href=') GROUP BY page_id)
+SELECT page_id, coalesce(paragraphs, 0) AS paragraphs, coalesce(chars, 0) AS chars, {COLLAPSED.format("regexp_replace(first_link, '<[^>]*>', ' ', 'g')")} AS first_link, coalesce(links, 0) AS links, coalesce(urls, '') AS urls
+FROM pages LEFT JOIN p USING (page_id) LEFT JOIN a USING (page_id) LEFT JOIN n USING (page_id)""")
+def selected_elements(spark, d):
+    """Nested elements by selectors: paragraphs of the article, links of the navigation, targets of all links."""
+    paragraphs, links = U.selected(F.col("html"), "article p"), U.selected_text(F.col("html"), "nav li a")
+    return table(spark, d, "pages").select("page_id", paragraphs.alias("p"), links.alias("a"), F.array_join(U.selected_attribute(F.col("html"), "a[href]", "href"), " ").alias("urls")).select(
+        "page_id", F.size("p").cast("long").alias("paragraphs"), F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"), F.get("a", F.lit(0)).alias("first_link"), F.size("a").cast("long").alias("links"), "urls"
+    )
