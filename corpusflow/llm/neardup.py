@@ -9,9 +9,11 @@ In each run every node is first paired with one pivot (the run's least node unde
 whose sketches agree enough connect nodes to candidate components. Runs whose nodes are then still in several components
 are searched whole: every two of their nodes of different components are compared by sketch, in blocks of ``RUN_NODES``,
 and those that agree connect their components. So two texts of a run whose sketches agree are always in one component,
-whatever the pivot is. Within a component **all** pairs are verified exactly. Components of more than ``BLOCK_WORDS``
-words or ``BLOCK_NODES`` texts are split into blocks, and each pair of blocks is a task of bounded size that returns
-counts and a spanning forest, never pairs.
+whatever the pivot is. Within a small component all pairs are verified exactly, in one task for many components. Of a
+component of more than ``BLOCK_WORDS`` words or ``BLOCK_NODES`` texts, the pairs that share a run are counted. Where they
+are few, ``CHAIN_PAIRS`` a node at most, as in a chain of versions, these pairs are listed, those whose sketches agree are
+verified, and work grows with the number of nodes. Where they are many, as in a group of near copies, the component is
+split into blocks, and each pair of blocks is a task of bounded size that returns counts and a spanning forest, no pairs.
 
 Defined cases: texts that are null or have no words are linked to nothing and are classes of their own; identical texts
 share a class and count as one node; repeated rows are copies; an empty table gives an empty table; a very long text is
@@ -39,6 +41,8 @@ TREES, DEPTH, TARGET_RECALL = 20, 8, 0.9995
 SKETCH_LEAST = 0.6
 BLOCK_WORDS, BLOCK_NODES, BIN_WORDS = 200_000, 1000, 100_000
 RUN_NODES, BIN_NODES = 2000, 20_000
+#: A large component with so many pairs in common runs for each of its nodes, at most, is verified pair by pair.
+CHAIN_PAIRS = 100
 #: Shingles that are hashed into sketches at once.
 SKETCH_AT_ONCE = 1 << 17
 
@@ -128,18 +132,19 @@ def runs(signs: DataFrame, depth: int) -> DataFrame:
     return in_run.join(written(pivots, "run-pivots"), "run").select("run", "node", "pivot")
 
 
-def pivot_pairs(signs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b): each node with the pivot of each of its runs, where their sketches agree enough."""
-    pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sketches agree enough."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, TREES * DEPTH) for c in ("sketch_a", "sketch_b"))
+        near = (x == y).mean(axis=1) >= SKETCH_LEAST
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
+
+
+def agreeing(signs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the different pairs (a, b) whose sketches agree enough."""
     of_a = signs.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     of_b = signs.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, TREES * DEPTH) for c in ("sketch_a", "sketch_b"))
-            near = (x == y).mean(axis=1) >= SKETCH_LEAST
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
-
     return pairs.join(of_a, "a").join(of_b, "b").mapInArrow(close, "a binary, b binary")
 
 
@@ -172,10 +177,10 @@ def bridges(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
 
 
-def candidates(signs: DataFrame, depth: int) -> DataFrame:
-    """(node, component): nodes connected by agreement with any other node of any of their runs."""
-    members = written(runs(signs, depth), "runs")
-    first = written(connected_components(written(pivot_pairs(signs, members), "pivots")), "first")
+def candidates(signs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, component): nodes connected by agreement with any other node of any of their ``runs``."""
+    with_pivot = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = written(connected_components(written(agreeing(signs, with_pivot), "pivots")), "first")
     named = written(members.join(first, "node", "left").select("run", "node", F.coalesce("root", "node").alias("component")), "named")
     mark = F.xxhash64("component")
     mixed = named.groupBy("run").agg(F.count("*").alias("n"), F.min(mark).alias("least"), F.max(mark).alias("most")).where("least <> most")
@@ -275,19 +280,67 @@ def verify(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array(out_node, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_root, pa.binary())], ["node", "links", "root"])
 
 
+def chain_pairs(members: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(component) of the large components (node, component) with few pairs in common runs, and these pairs (a, b)."""
+    grouped = written(members.join(large, "node").groupBy("component", "run").agg(F.count("*").alias("n")), "large-runs")
+    counted = grouped.groupBy("component").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.max("n").alias("most"))
+    chains = counted.join(large.groupBy("component").agg(F.count("*").alias("nodes")), "component").where((F.col("pairs") <= F.col("nodes") * CHAIN_PAIRS) & (F.col("most") <= RUN_NODES))
+    chains = written(chains.select("component"), "chains")
+    held = members.join(large.join(chains, "component", "left_semi"), "node").groupBy("component", "run").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
+    each = held.select("nodes", F.posexplode("nodes").alias("i", "a"))
+    pairs = each.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b"))
+    return chains, pairs.distinct()
+
+
+def verified(pairs: DataFrame, once: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) that are links; ``once`` has the text of each node."""
+    share = Fraction(str(threshold))
+    rows = pairs.join(once.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(once.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
+            for part in ta.chunks(batch.select([column]), column):
+                values, of, _ = shingles(*ta.buffers(part.column(column)))
+                cuts = np.searchsorted(of, np.arange(part.num_rows + 1))
+                for i in range(part.num_rows):
+                    yield np.unique(values[cuts[i] : cuts[i + 1]])
+
+        for batch in batches:
+            linked = []
+            for x, y in zip(sets(batch, "text_a"), sets(batch, "text_b"), strict=True):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(share.denominator * shared >= share.numerator * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+
+
 def linked_nodes(texts: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """(node, links, root) of the nodes that were candidates; root is the least node of the class."""
     signs = written(signed(texts), "sketches")
-    component = candidates(signs, prefix_depth(threshold, target))
-    sized = written(component.join(signs.select("node", "words"), "node"), "components")
-    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("words") / BLOCK_WORDS), F.ceil(F.count("*") / BLOCK_NODES)).alias("blocks"))
+    members = written(runs(signs, prefix_depth(threshold, target)), "runs")
+    sized = written(candidates(signs, members).join(signs.select("node", "words"), "node"), "components")
+    blocks = written(sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("words") / BLOCK_WORDS), F.ceil(F.count("*") / BLOCK_NODES)).alias("blocks")), "blocks")
+    once = texts.groupBy("node").agg(F.first("text").alias("text"))
+    large = blocks.where("blocks > 1").select("component")
+    if large.isEmpty():
+        return blockwise(sized, blocks, once, threshold)
+    chains, pairs = chain_pairs(members, written(sized.join(large, "component", "left_semi").select("node", "component"), "large"))
+    links = written(verified(written(agreeing(signs, pairs), "agreeing"), once, threshold), "chain-links")
+    counts = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+    along = counts.join(connected_components(links), "node").select("node", "links", "root")
+    rest = sized.join(chains, "component", "left_anti"), blocks.join(chains, "component", "left_anti")
+    return blockwise(*rest, once, threshold).union(along)
+
+
+def blockwise(sized: DataFrame, blocks: DataFrame, once: DataFrame, threshold: float) -> DataFrame:
+    """``linked_nodes`` by the pairs within each component: whole small components, and pairs of blocks of large ones."""
     some = sized.agg(F.sum("words")).first()[0] or 0
     bins = max(1, some // BIN_WORDS)
     placed = sized.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0).cast("long"))))
     placed = placed.withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     task = F.when(F.col("blocks") > 1, F.concat_ws("-", F.hex("component"), "low", "high")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string"))
-    once = texts.groupBy("node").agg(F.first("text").alias("text"))
     rows = placed.join(once, "node").select(task.alias("task"), "component", "block", "low", "high", "node", "text")
     checked = written(rows.groupBy("task").applyInArrow(lambda t: verify(t, threshold), "node binary, links long, root binary"), "links")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
