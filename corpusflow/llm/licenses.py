@@ -4,8 +4,11 @@ A text's candidate blocks are the windows of ``WINDOW`` characters around its li
 run of lines with words) and joined where they meet. Each block is compressed alone and with each template as a
 zstandard raw dictionary, which ranks the templates by the bytes saved. Every template whose own words (the license's
 name and version) occur in the block is aligned with all of its words at once: for each end the start with the fewest
-differences, for each start the best end. Notices are confirmed with their spans, those with fewer differences first,
-then by the templates' rank, then by place; one that overlaps a confirmed one is left out.
+differences, for each start the best end. A part that holds a qualifier of another license (lesser, sharealike, ...) or a
+denial is no notice. Ids in license fields (``license: MIT OR Apache-2.0``) are confirmed first, each with its own span,
+then notices with their spans, those with fewer differences first, then by the templates' rank, then by place; one that
+overlaps a confirmed one is left out. A block reaches WINDOW characters beyond its outermost cues, more than any template
+is long, so that no notice is cut.
 
 Defined cases: a null or empty text has no blocks; blocks that no template explains are counted and not confirmed;
 repeated rows give repeated results; an empty table gives an empty table; a very long text is scanned whole, in time that
@@ -66,16 +69,81 @@ WORDINGS: tuple[tuple[str, str, str], ...] = (
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "eclipse public 2.0"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "boost 1.0"),
 )
-#: License ids that files name in a tag, and the endings that the GNU ones have there.
-TAGGED = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
-TAGGED_GNU, ENDINGS = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"), ("", "-only", "-or-later")
+#: More wordings. Fixed values; those of license families are made below.
+WORDINGS += (
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License.", "bsd 2-clause"),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License.", "bsd 3-clause"),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "redistributions binary reproduce disclaimer materials distribution"),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gnu library general public 2"),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991", "gnu library general public 2"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999", "gnu lesser general public 2.1"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004", "apache 2.0"),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.", "contributor grants perpetual irrevocable derivative works sublicense object"),
+)
+#: GNU licenses: id without version, the words between GNU and General, the short name, and versions; Creative Commons ones: the
+#: short and the long name; and their versions.
+GNU = (("GPL", "", "GPL", ("2", "3")), ("LGPL", "Lesser ", "LGPL", ("2", "2.1", "3")), ("AGPL", "Affero ", "AGPL", ("3",)))
+COMMONS = (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+COMMONS_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+
+
+def dotted(version: str) -> str:
+    return version if "." in version else f"{version}.0"
+
+
+def family_wordings() -> list[tuple[str, str, str]]:
+    """Notices of the GNU licenses by long and short name, and of the Creative Commons ones, in the usual forms."""
+    found = []
+    for name, middle, short, versions in GNU:
+        for v in versions:
+            long = f"GNU {middle}General Public License"
+            which = f"{name}-{dotted(v)}"
+            found.append((which, f"This work is licensed under the {long}, version {v}.", f"gnu {middle}general public {v}"))
+            found.append((which, f"Licensed under the {long} v{v} or later", f"gnu {middle}general public v{v}"))
+            found.append((which, f"Licensed under the GNU {short} v{v}", f"gnu {short} v{v}"))
+            found.append((which, f"Licensed under the GNU {short} version {v}", f"gnu {short} {v}"))
+            found.append((which, f"Licensed under the {short}v{v}", f"{short}v{v}"))
+    for short, long in COMMONS:
+        for v in COMMONS_VERSIONS:
+            found.append((f"CC-{short}-{v}", f"Licensed under CC {short} {v}.", f"cc {short} {v}"))
+            found.append((f"CC-{short}-{v}", f"This work is licensed under a Creative Commons {long} {v} International License.", f"creative commons {long} {v}"))
+    return found
+
+
+#: License ids that files name in a field, and the endings that the GNU ones have there. Fixed values.
+NAMED = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0")
+ENDINGS = ("", "-only", "-or-later", "+")
+#: A field with an expression of such ids, as in ``SPDX-License-Identifier: MIT OR Apache-2.0`` or ``license = "MIT"``.
+FIELD = re.compile(r"""(?i)\b(?:spdx-license-identifier|licen[sc]e)["']?\s*[:=]\s*["'\[{(]*([a-z0-9][-a-z0-9.+]*(?:["')\]\s]*(?:\b(?:and|or|with)\b|[,/|])["'(\[\s]*[a-z0-9][-a-z0-9.+]*)*)""")
 
 
 def tag(name: str, shown: str) -> tuple[str, str, str]:
     return name, f"SPDX-License-Identifier: {shown}", f"spdx-license-identifier {shown}"
 
 
-TEMPLATES = WORDINGS + tuple(tag(i, i) for i in TAGGED) + tuple(tag(i, i + e) for i in TAGGED_GNU for e in ENDINGS)
+def named_ids() -> dict[str, str]:
+    """License by lower-case id as fields show it."""
+    gnu = {f"{name}-{dotted(v)}{e}": f"{name}-{dotted(v)}" for name, _, _, versions in GNU for v in versions for e in ENDINGS}
+    commons = {f"CC-{short}-{v}": f"CC-{short}-{v}" for short, _ in COMMONS for v in COMMONS_VERSIONS}
+    return {shown.lower(): name for shown, name in ({n: n for n in NAMED} | gnu | commons).items()}
+
+
+IDS = named_ids()
+_known = {(n, w) for n, w, _ in WORDINGS}
+TEMPLATES = WORDINGS + tuple(x for x in family_wordings() if x[:2] not in _known) + tuple(tag(n, shown) for shown, n in ((s.upper() if s != "unlicense" else "Unlicense", n) for s, n in IDS.items()) if n == shown or not shown.endswith("+"))
+
+#: Words that make a notice one of another license, or of none, where they stand in it and not in the template. Fixed values.
+QUALIFIERS = frozenset(
+    ["lesser", "library", "affero", "not", "never", "sharealike", "noncommercial", "noderivatives"]
+    + [short.lower() for short, _ in COMMONS[1:]] + [long.lower() for _, long in COMMONS[1:]]
+)
+DENIALS = frozenset(["not", "never"])
+DENIAL_REACH = 80  # characters before a notice
+#: Words which, anywhere in a block, tell that a template's wording is part of another license there. Fixed values.
+EXCLUDED = {"redistributions binary reproduce disclaimer materials distribution": frozenset(["neither", "endorse"])}
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -133,6 +201,30 @@ def aligned(places: dict[str, np.ndarray], n_words: int, template: list[str], te
     return [(d, a, b) for d, a, b in zip(n[best].tolist(), start[best].tolist(), end[best].tolist(), strict=True) if a < b]
 
 
+def contradicted(low: str, at: list[tuple[int, int]], said: list[str], start: int, end: int, i: int) -> bool:
+    """Whether a block denies that its words start to end are a notice of the template, or makes them one of another license.
+
+    A denial counts in the words themselves and in the part of their sentence that stands before them."""
+    wording, _ = template_words(i)
+    if not EXCLUDED.get(TEMPLATES[i][2], frozenset()).isdisjoint(said):
+        return True
+    before = re.split(r"[.;!?]\s", low[max(0, at[start][0] - DENIAL_REACH) : at[start][0]])[-1]
+    return not DENIALS.isdisjoint(words(before)) or not QUALIFIERS.intersection(said[start:end]) <= set(wording)
+
+
+def fields(block: str) -> list[tuple[str, int, int]]:
+    """(license, start, end) of the known ids in the block's license fields; that of a field's first id begins with the field."""
+    found = []
+    for m in FIELD.finditer(block):
+        start = m.start()
+        for x in re.finditer(r"(?i)[a-z0-9][-a-z0-9.+]*", m[1]):
+            if (name := IDS.get(x[0].rstrip(".").lower())) is not None:
+                at = m.start(1) + x.start()
+                found.append((name, at if start is None else start, at + len(x[0].rstrip("."))))
+                start = None
+    return found
+
+
 def notices(block: str) -> tuple[tuple[tuple[int, str, int, int], ...], int]:
     """The confirmed notices (differences, license id, start, end) of a block, by start, and the bytes that the best template saves."""
     own, with_template = compressors()
@@ -144,6 +236,7 @@ def notices(block: str) -> tuple[tuple[tuple[int, str, int, int], ...], int]:
     if len(low) != len(block):  # some letters become two; keep the offsets
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in block)
     at = [m.span() for m in _WORD.finditer(low)]
+    said = [low[a:b] for a, b in at]
     listed: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(at):
         listed.setdefault(low[a:b], []).append(i)
@@ -152,8 +245,13 @@ def notices(block: str) -> tuple[tuple[tuple[int, str, int, int], ...], int]:
     for rank, i in enumerate(ranked):
         wording, telling = template_words(i)
         if telling <= places.keys():
-            near += [(n, rank, a, b) for n, a, b in aligned(places, len(at), wording, telling)]
+            near += [(n, rank, a, b) for n, a, b in aligned(places, len(at), wording, telling) if not contradicted(low, at, said, a, b, i)]
     taken, found = np.zeros(len(at), bool), []
+    begins = [a for a, _ in at]
+    for name, start, end in fields(block):  # spelled ids, without differences
+        a, b = bisect.bisect_right(begins, start) - 1, bisect.bisect_left(begins, end)
+        taken[max(a, 0) : b] = True
+        found.append((0, name, start, end))
     for n, rank, a, b in sorted(near):
         if not taken[a:b].any():
             taken[a:b] = True

@@ -22,7 +22,20 @@ def test_templates_name_themselves(text, name):
         ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
         ("This program is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
         ("This work is licensed under the GNU General Public License, version 4.", ""),
-        ("Licensed under CC BY-ND 4.0.", ""),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY-XX 4.0.", ""),
+        ("Licensed under CC BY 9.0.", ""),
+        ("This is licensed under the GNU Lesser General Public License, version 2.", "LGPL-2.0"),
+        ("This is licensed under the GNU Library General Public License, version 3.", ""),
+        ("Licensed under the GNU GPL v2", "GPL-2.0"),
+        ("Licensed under the GPLv3 or any later version", "GPL-3.0"),
+        ("GNU General Public License v2 or later is the license here", "GPL-2.0"),
+        ("Released under the BSD 2-Clause License", "BSD-2-Clause"),
+        ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("This is NOT licensed under the GNU General Public License, version 3.", ""),
+        ("It was never released under the MIT License", ""),
+        ("We do not sell it. Released under the MIT License.", "MIT"),
         ("We have no licence to print money.", ""),
     ],
 )
@@ -64,6 +77,35 @@ modification, are permitted provided that the following conditions are met:
    specific prior written permission."""
 
 
+BSD_TWO = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("License: MIT", [("MIT", "License: MIT")]),
+        ('license = "Apache-2.0"', [("Apache-2.0", 'license = "Apache-2.0')]),
+        ('"license": "BSD-3-Clause",', [("BSD-3-Clause", 'license": "BSD-3-Clause')]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", [("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "Apache-2.0")]),
+        ("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND ISC.", [("GPL-2.0", "SPDX-License-Identifier: (GPL-2.0-only"), ("ISC", "ISC")]),
+        ("license: [LGPL-2.1+, CC-BY-NC-4.0]", [("LGPL-2.1", "license: [LGPL-2.1+"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0")]),
+        ("License: see the file", []),
+        (BSD_TWO, [("BSD-2-Clause", BSD_TWO[BSD_TWO.index("Redistributions") : -1])]),
+    ],
+)
+def test_fields_and_clauses(text, found):
+    assert scanned(text) == found
+
+
+def test_two_clauses_of_three_are_no_license_of_their_own():
+    assert [n for n, _ in scanned(BSD_TWO + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")] == ["BSD-3-Clause"]
+
+
 def scanned(text):
     return [(n, text[a + c : a + d]) for a, b in licenses.blocks(text) for _, n, c, d in licenses.notices(text[a:b])[0]]
 
@@ -134,8 +176,13 @@ def brute_notices(block):
         by_start = {}
         for b, (n, a) in by_end.items():
             by_start[-a] = min(by_start.get(-a, (most + 1, 0)), (n, b))
-        near += [(n, rank, a, b, name) for a, (n, b) in by_start.items()]
+        no_part = {"redistributions binary reproduce disclaimer materials distribution": {"neither", "endorse"}}.get(telling, set())
+        near += [(n, rank, a, b, name) for a, (n, b) in by_start.items() if not set(have[a:b]) & licenses.QUALIFIERS - set(template) and not no_part & set(have)]
     taken, found = set(), []
+    at = [m.span() for m in licenses._WORD.finditer(block.lower())]
+    for name, start, end in licenses.fields(block):
+        a, b = next(i for i, x in enumerate(at) if x[0] >= start), next(i for i, x in enumerate(at) if x[1] >= end) + 1
+        near.append((0, -1, a, b, name))
     for n, _, a, b, name in sorted(near):
         if not taken & set(range(a, b)):
             taken |= set(range(a, b))
