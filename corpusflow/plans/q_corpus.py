@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import chunks as K
 from ..operators import matching as X
 from ..operators import records as R
-from . import gate
+from . import gate, health
 from .registry import query, table
 
 
@@ -189,3 +189,18 @@ def gate_checks(spark, d):
         labels.agg(F.round(F.avg("quality") * 100, 4).alias("quality")),
     )
     return gate.checks(measures, {"stage_orders": 80, "document_count": 10, "completeness": 70, "quality": 99})
+
+
+@query("""SELECT source, count(*) AS documents, round(avg((coalesce(trim(text), '') <> '' AND coalesce(trim(source), '') <> '')::INT) * 100, 4) AS integrity, count(DISTINCT lang)::INTEGER AS types, round(avg(n_chars), 4) AS completeness, true AS near
+FROM documents GROUP BY source""")
+def merged_states(spark, d):
+    """Health by source, merged from states of the documents by language; the sketch is within 5 % of the distinct texts."""
+    docs = table(spark, d, "documents")
+    none = F.lit(None).cast("string")
+    parts = docs.groupBy("source", "lang").agg(*(c.alias(n) for n, c in health.state(F.col("text"), F.col("source"), F.col("lang"), none, F.col("n_chars"), F.lit(0.0)).items()))
+    whole = health.merged(parts.withColumnRenamed("lang", "of"), "source")
+    exact = docs.groupBy("source").agg(F.count_distinct(F.md5(F.coalesce("text", F.lit("")))).alias("exact"))
+    near = F.abs(F.hll_sketch_estimate("contents") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    return whole.join(exact, "source").select(
+        "source", "documents", F.round(F.col("complete") / F.col("documents") * 100, 4).alias("integrity"), F.size("categories").alias("types"), F.round(F.col("completeness") / F.col("documents"), 4).alias("completeness"), near.alias("near")
+    )

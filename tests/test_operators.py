@@ -16,7 +16,7 @@ from corpusflow.operators import guard as G
 from corpusflow.operators import matching as X
 from corpusflow.operators import records as R
 from corpusflow.operators import search as S
-from corpusflow.plans import ingest
+from corpusflow.plans import health, ingest
 from corpusflow.sources.store import Collection, load_arrays, newest_json, write_report
 from corpusflow.streaming import stream as ST
 
@@ -303,6 +303,30 @@ def test_retention(spark, tmp_path):
         c.restore("t")
 
 
+def test_health_after_an_upsert_equals_a_rescan(spark, tmp_path):
+    """Only the folders that an upsert wrote are read for the card, and it is that of a scan of all."""
+    made = lambda ids, text: spark.createDataFrame([(f"k{i}", f"{text} {i}" if i % 7 else None, f"u{i % 5}", f"t{i % 4}", "2024-01-02" if i % 2 else None, float(i % 90), 50.0) for i in ids], "id string, content string, url string, chunk_type string, fetched_at string, completeness double, relevance double")
+    c = Collection(spark, f"file://{tmp_path}/c", buckets=16)
+    c.upsert(made(range(3000), "text"), "first", "t1")
+    first = rows(health.health(c))
+    before = set(c.files.listed(f"{c.path}/states"))
+    c.upsert(made([3, 5, 7000, 7001], "new"), "second", "t2")
+    second = rows(health.health(c))
+    new = set(c.files.listed(f"{c.path}/states")) - before
+    assert len(new) == 1 and spark.read.parquet(*(f"{c.path}/states/{n}" for n in new)).count() <= 4
+    by_bucket = c.read().groupBy(F.pmod(F.xxhash64("id"), F.lit(16))).agg(*(x.alias(n) for n, x in health.chunk_state().items()))
+    estimates = ("distinct", "duplicates")  # of sketches, which hang a little on the order of the merge
+    scanned = health.card(health.merged(by_bucket))
+    assert rows(scanned.drop(*estimates)) == rows(health.health(c).drop(*estimates)) and second != first
+    assert abs(scanned.first()["distinct"] - health.health(c).first()["distinct"]) < 0.05 * 3002
+    r = health.health(c).first()
+    assert r["documents"] == 3002 and r["types"] == 4 and abs(r["distinct"] - c.read().select("content").distinct().count()) < 0.05 * 3002
+    assert rows(health.health(c).drop(*estimates)) == rows(scanned.drop(*estimates)) and set(c.files.listed(f"{c.path}/states")) == before | new
+    assert rows(health.health(c, version=c.manifest().where("number = 1").first()["version"]).drop(*estimates)) == [first[0][:5] + first[0][7:]]
+    c.reset("t3")
+    assert health.health(c).first()["health"] == "empty"
+
+
 def test_restored_batches_can_come_again(spark, tmp_path):
     """A batch that a restore took back is not skipped when it is delivered again; one that is still there is."""
     p = pages(spark, 2)
