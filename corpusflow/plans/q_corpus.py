@@ -85,9 +85,9 @@ def corpus_completeness(spark, d):
     return c.agg(F.round(F.avg("completeness"), 4).alias("score"), low.alias("incomplete"), F.when((low == 0) & (F.avg("completeness") >= 90), "passed").otherwise("needs_improvement").alias("status"))
 
 
-@query(f"WITH {_PROFILES}, u AS (UNPIVOT p ON COLUMNS(* EXCLUDE (c_custkey)) INTO NAME field VALUE there), a AS (SELECT field, round(avg(there::INTEGER) * 100, 4) AS availability FROM u GROUP BY 1) SELECT field, availability, CASE WHEN availability < 25 THEN 'high' ELSE 'medium' END AS severity, CASE field WHEN 'large_order' THEN 'Cannot answer questions on large orders' ELSE 'May affect query responses' END AS impact FROM a WHERE availability < 60")
+@query(f"WITH {_PROFILES}, u AS (UNPIVOT p ON COLUMNS(* EXCLUDE (c_custkey)) INTO NAME field VALUE there), a AS (SELECT field, round(avg(there::INTEGER) * 100, 4) AS availability FROM u GROUP BY 1) SELECT field, availability, CASE WHEN availability < 95 THEN 'high' ELSE 'medium' END AS severity, CASE field WHEN 'large_order' THEN 'Cannot answer questions on large orders' ELSE 'May affect query responses' END AS impact FROM a WHERE availability < 99")
 def field_gaps(spark, d):
-    gaps = R.field_gaps(_profiles(spark, d), "c_custkey", tuple(f for fs in CATEGORIES.values() for f in fs), 60, 25)
+    gaps = R.field_gaps(_profiles(spark, d), "c_custkey", tuple(f for fs in CATEGORIES.values() for f in fs), 99, 95)
     return gaps.withColumn("impact", K.lookup({"large_order": "Cannot answer questions on large orders"}, F.col("field"), "May affect query responses"))
 
 
