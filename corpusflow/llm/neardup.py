@@ -321,7 +321,8 @@ def linked_nodes(texts: DataFrame, threshold: float = THRESHOLD, target: float =
     members = written(runs(signs, prefix_depth(threshold, target)), "runs")
     sized = written(candidates(signs, members).join(signs.select("node", "words"), "node"), "components")
     blocks = written(sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("words") / BLOCK_WORDS), F.ceil(F.count("*") / BLOCK_NODES)).alias("blocks")), "blocks")
-    once = texts.groupBy("node").agg(F.first("text").alias("text"))
+    # The texts are shuffled here once; what goes on are those of candidates.
+    once = written(texts.groupBy("node").agg(F.first("text").alias("text")).join(sized.select("node"), "node", "left_semi"), "candidate-texts")
     large = blocks.where("blocks > 1").select("component")
     if large.isEmpty():
         return blockwise(sized, blocks, once, threshold)

@@ -23,4 +23,4 @@ def test_query_equals_sql(spark, name):
     assert columns == sorted(df.columns)
     expected = [dict(zip((c[0] for c in found.description), r, strict=True)) for r in found.fetchall()]
     shown = lambda rows: sorted(tuple(str(r[c]) for c in columns) for r in rows)
-    assert shown(df.collect()) == shown(expected)
+    assert shown(r.asDict(recursive=True) for r in df.collect()) == shown(expected)
