@@ -1,32 +1,5 @@
-"""Tables written to the shared scratch folder, to cut lineage or to reuse a costly result."""
+"""Tables written to the shared scratch folder: those of the library."""
 
-from __future__ import annotations
+from ..sources.scratch import shared_folder, written
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where none is set, a session of one machine gets a local one; a cluster, whose
-    machines do not share such a folder, has to name its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Later stages start from files which every executor can read, so a lost executor costs no recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "written"]
