@@ -74,23 +74,23 @@ def test_links_are_found_where_pivots_are_unlike(spark, monkeypatch, run_nodes):
     assert got == sorted([(0, 0, 1, 1), (1, 0, 1, 1)] + [(i, i, 0, 1) for i in range(2, 8002)], key=repr)
 
 
-@pytest.mark.parametrize("width", [1, 3])
-def test_chain_of_versions(spark, monkeypatch, width):
+def test_chain_of_versions(spark, monkeypatch, n=400, width=3):
     """Each version is linked to its neighbours only. A large chain is verified pair by pair, and finds what blocks find."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 100)
     rng = np.random.default_rng(12)
     w, pairs, step = [f"w{x:x}" for x in rng.integers(0, 2**40, 20_000).tolist()], [], 10 // width
-    for i in range(1500):
+    for i in range(n):
         pairs.append((i, " ".join(w[i * step : i * step + 104])))
     sets = [shingles(t) for _, t in pairs]
     linked = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
-    links = [sum(linked(i, j) for j in range(max(0, i - 12), min(1500, i + 13)) if j != i) for i in range(1500)]
+    links = [sum(linked(i, j) for j in range(max(0, i - 12), min(n, i + 13)) if j != i) for i in range(n)]
     listed = []
     verified = neardup.verified
     monkeypatch.setattr(neardup, "verified", lambda p, *a: listed.append(p.count()) or verified(p, *a))
     df = spark.createDataFrame(pairs, "doc_id long, text string")
     got = sorted(collected(neardup.near_duplicates(df)))
-    assert sum(n for *_, n, _ in got) == sum(links) and [(r[0], r[2]) for r in got] == list(enumerate(links))
-    assert {r[1] for r in got} == {0} and 1499 <= listed[0] < 12 * width * 1500
+    assert [(r[0], r[2]) for r in got] == list(enumerate(links))
+    assert {r[1] for r in got} == {0} and n - 1 <= listed[0] < 12 * width * n
     monkeypatch.setattr(neardup, "CHAIN_PAIRS", 0)
     assert sorted(collected(neardup.near_duplicates(df))) == got
 
