@@ -11,9 +11,9 @@ are searched whole: every two of their nodes of different components are compare
 and those that agree connect their components. So two texts of a run whose sketches agree are always in one component,
 whatever the pivot is. Within a small component all pairs are verified exactly, in one task for many components. Of a
 component of more than ``BLOCK_WORDS`` words or ``BLOCK_NODES`` texts, the pairs that share a run are counted. Where they
-are few, ``CHAIN_PAIRS`` a node at most, as in a chain of versions, these pairs are listed, those whose sketches agree are
-verified, and work grows with the number of nodes. Where they are many, as in a group of near copies, the component is
-split into blocks, and each pair of blocks is a task of bounded size that returns counts and a spanning forest, no pairs.
+are so few that listing them moves fewer texts than blocks would, as in a long chain of versions, they are listed, those
+whose sketches agree are verified, and work grows with the number of pairs. Else, as in a group of near copies, the component
+is split into blocks, and each pair of blocks is a task of bounded size that returns counts and a spanning forest, no pairs.
 
 Defined cases: texts that are null or have no words are linked to nothing and are classes of their own; identical texts
 share a class and count as one node; repeated rows are copies; an empty table gives an empty table; a very long text is
@@ -41,8 +41,9 @@ TREES, DEPTH, TARGET_RECALL = 20, 8, 0.9995
 SKETCH_LEAST = 0.6
 BLOCK_WORDS, BLOCK_NODES, BIN_WORDS = 200_000, 1000, 100_000
 RUN_NODES, BIN_NODES = 2000, 20_000
-#: A large component with so many pairs in common runs for each of its nodes, at most, is verified pair by pair.
-CHAIN_PAIRS = 100
+#: A component is verified pair by pair if its pairs in common runs number at most so much of its nodes times its blocks: a pair
+#: moves two texts, and blocks move each text once for each block.
+CHAIN_SHARE = 0.5
 #: Shingles that are hashed into sketches at once.
 SKETCH_AT_ONCE = 1 << 17
 
@@ -280,16 +281,19 @@ def verify(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array(out_node, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_root, pa.binary())], ["node", "links", "root"])
 
 
-def chain_pairs(members: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(component) of the large components (node, component) with few pairs in common runs, and these pairs (a, b)."""
-    grouped = written(members.join(large, "node").groupBy("component", "run").agg(F.count("*").alias("n")), "large-runs")
+def chains_of(members: DataFrame, large: DataFrame) -> DataFrame:
+    """(component) of the large components (node, component, blocks) with few pairs in common runs."""
+    grouped = members.select("run", "node").join(large, "node").groupBy("component", "run").agg(F.count("*").alias("n"))
     counted = grouped.groupBy("component").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.max("n").alias("most"))
-    chains = counted.join(large.groupBy("component").agg(F.count("*").alias("nodes")), "component").where((F.col("pairs") <= F.col("nodes") * CHAIN_PAIRS) & (F.col("most") <= RUN_NODES))
-    chains = written(chains.select("component"), "chains")
-    held = members.join(large.join(chains, "component", "left_semi"), "node").groupBy("component", "run").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
+    sizes = large.groupBy("component").agg((F.count("*") * F.first("blocks")).alias("moved"))
+    return counted.join(sizes, "component").where((F.col("pairs") <= F.col("moved") * CHAIN_SHARE) & (F.col("most") <= RUN_NODES)).select("component")
+
+
+def chain_pairs(members: DataFrame, chained: DataFrame) -> DataFrame:
+    """(a, b): the pairs of nodes (node, component) that are in one component and in a common run."""
+    held = members.select("run", "node").join(chained, "node").groupBy("component", "run").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
     each = held.select("nodes", F.posexplode("nodes").alias("i", "a"))
-    pairs = each.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b"))
-    return chains, pairs.distinct()
+    return each.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, once: DataFrame, threshold: float) -> DataFrame:
@@ -321,13 +325,18 @@ def linked_nodes(texts: DataFrame, threshold: float = THRESHOLD, target: float =
     members = written(runs(signs, prefix_depth(threshold, target)), "runs")
     sized = written(candidates(signs, members).join(signs.select("node", "words"), "node"), "components")
     blocks = written(sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("words") / BLOCK_WORDS), F.ceil(F.count("*") / BLOCK_NODES)).alias("blocks")), "blocks")
-    # The texts are shuffled here once; what goes on are those of candidates.
-    once = written(texts.groupBy("node").agg(F.first("text").alias("text")).join(sized.select("node"), "node", "left_semi"), "candidate-texts")
-    large = blocks.where("blocks > 1").select("component")
+    once = texts.groupBy("node").agg(F.first("text").alias("text"))
+    large = blocks.where("blocks > 1")
     if large.isEmpty():
         return blockwise(sized, blocks, once, threshold)
-    chains, pairs = chain_pairs(members, written(sized.join(large, "component", "left_semi").select("node", "component"), "large"))
-    links = written(verified(written(agreeing(signs, pairs), "agreeing"), once, threshold), "chain-links")
+    in_large = written(sized.join(large, "component").select("node", "component", "blocks"), "large")
+    chains = written(chains_of(members, in_large), "chains")
+    if chains.isEmpty():
+        return blockwise(sized, blocks, once, threshold)
+    chained = written(in_large.join(chains, "component", "left_semi").select("node", "component"), "chained")
+    pairs = written(agreeing(signs, chain_pairs(members, chained)), "agreeing")
+    held = written(once.join(chained.select("node"), "node", "left_semi"), "chained-texts")
+    links = written(verified(pairs, held, threshold), "chain-links")
     counts = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     along = counts.join(connected_components(links), "node").select("node", "links", "root")
     rest = sized.join(chains, "component", "left_anti"), blocks.join(chains, "component", "left_anti")

@@ -74,9 +74,9 @@ def test_links_are_found_where_pivots_are_unlike(spark, monkeypatch, run_nodes):
     assert got == sorted([(0, 0, 1, 1), (1, 0, 1, 1)] + [(i, i, 0, 1) for i in range(2, 8002)], key=repr)
 
 
-def test_chain_of_versions(spark, monkeypatch, n=400, width=3):
+def test_chain_of_versions(spark, monkeypatch, n=400, width=1):
     """Each version is linked to its neighbours only. A large chain is verified pair by pair, and finds what blocks find."""
-    monkeypatch.setattr(neardup, "BLOCK_NODES", 100)
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 10)
     rng = np.random.default_rng(12)
     w, pairs, step = [f"w{x:x}" for x in rng.integers(0, 2**40, 20_000).tolist()], [], 10 // width
     for i in range(n):
@@ -91,7 +91,7 @@ def test_chain_of_versions(spark, monkeypatch, n=400, width=3):
     got = sorted(collected(neardup.near_duplicates(df)))
     assert [(r[0], r[2]) for r in got] == list(enumerate(links))
     assert {r[1] for r in got} == {0} and n - 1 <= listed[0] < 12 * width * n
-    monkeypatch.setattr(neardup, "CHAIN_PAIRS", 0)
+    monkeypatch.setattr(neardup, "CHAIN_SHARE", 0)
     assert sorted(collected(neardup.near_duplicates(df))) == got
 
 
