@@ -1,13 +1,15 @@
 """Deterministic hashed bag-of-words vectors, in sparse long form and dense, and their quality.
 
 A text's tokens stand in its row, so counting them, folding them into dimensions and scaling take no shuffle: one Arrow
-pass over the texts, with one md5 for each distinct token of a batch. Each row is a text of its own.
+pass over the texts, with one md5 for each distinct token of a slice. Each row is a text of its own. Slices are bounded in
+bytes and rows, so what a task holds follows neither the table nor the rows of a batch.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,33 @@ for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
     _PLAIN[[_c, ord(chr(_c).upper())]] = _c
 
 
+#: So many bytes of text and rows at most are worked on at once; a longer text is a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1024
+
+
+def sliced(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch of texts in consecutive slices of bounded size."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        most = (ends[at - 1] if at else 0) + SLICE_BYTES
+        to = min(max(at + 1, int(np.searchsorted(ends, most, "right"))), at + SLICE_ROWS)
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def by_slices(f: Callable[[pa.Array], pa.Array], kind: str):
+    """A column function of texts that hands on each slice's values as soon as they are made."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in sliced(texts):
+                yield f(part)
+
+    return run
+
+
 def plain(texts: pa.Array) -> pa.Array:
     """Texts as ``functions.text.plain_tokens`` sees them. Two characters outside ASCII have an ASCII letter as lower case."""
     for c, low in (("\u0130", "i "), ("\u212a", "k")):
@@ -71,35 +100,32 @@ def folded(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 @functools.cache
 def _term_counts():
-    @F.arrow_udf("array<struct<term:string,tf:bigint>>")
     def term_counts(texts: pa.Array) -> pa.Array:
         row, code, tf, terms = counted(texts)
         pairs = pa.StructArray.from_arrays([terms.take(pa.array(code)), pa.array(tf.astype(np.int64))], ["term", "tf"])
         return lists(row, len(texts), pairs, texts.is_null())
 
-    return term_counts
+    return by_slices(term_counts, "array<struct<term:string,tf:bigint>>")
 
 
 @functools.cache
 def _sparse(n: int):
-    @F.arrow_udf("array<struct<dim:bigint,value:double>>")
     def sparse(texts: pa.Array) -> pa.Array:
         row, dim, value = folded(texts, n)
         return lists(row, len(texts), pa.StructArray.from_arrays([pa.array(dim), pa.array(value)], ["dim", "value"]), texts.is_null())
 
-    return sparse
+    return by_slices(sparse, "array<struct<dim:bigint,value:double>>")
 
 
 @functools.cache
 def _dense(n: int):
-    @F.arrow_udf("array<double>")
     def dense(texts: pa.Array) -> pa.Array:
         row, dim, value = folded(texts, n)
         whole = np.zeros((len(texts), n))
         whole[row, dim] = value
         return lists(np.repeat(np.arange(len(texts)), n), len(texts), pa.array(whole.ravel()), texts.is_null())
 
-    return dense
+    return by_slices(dense, "array<double>")
 
 
 def sparse_vector(text: Column, n: int = DIMENSIONS) -> Column:

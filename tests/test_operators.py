@@ -7,6 +7,8 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,20 @@ def test_terms_are_those_of_the_token_rule(spark):
     assert rows(M.term_frequencies(docs, "id", "t")) == rows(expected)
 
 
+def test_texts_are_counted_in_bounded_slices(spark):
+    """A batch is worked on in slices of bounded bytes and rows, each handed on by itself, with the rows of the whole."""
+    texts = pa.array(["a b", "b \u0130", None, ""] * 800 + ["w " * 600_000] + ["c d e " * 4000] * 90)
+    parts = list(M.sliced(texts))
+    assert pa.concat_arrays(parts).equals(texts) and max(map(len, parts)) <= M.SLICE_ROWS
+    assert all(len(p) == 1 or pc.sum(pc.binary_length(p)).as_py() <= M.SLICE_BYTES for p in parts)
+    for udf in (M._term_counts(), M._sparse(384), M._dense(384)):
+        made = list(udf.func(iter([texts])))
+        assert [len(m) for m in made] == [len(p) for p in parts] and max(m.nbytes for m in made) < 8 << 20
+    docs = spark.createDataFrame(list(enumerate(texts.to_pylist())), "id int, t string").coalesce(1)
+    got = {r["term"]: (r["n"], r["tf"]) for r in M.term_frequencies(docs, "id", "t").groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).collect()}
+    assert got == {"a": (800, 800), "b": (1600, 1600), "i": (800, 800), "w": (1, 600_000), **{t: (90, 360_000) for t in "cde"}}
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_lexical_overlap_equals_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(S, "BROADCAST_QUERIES", 4096 if broadcast else 0)
