@@ -26,9 +26,9 @@ def dimension(token: Column, n: int = DIMENSIONS) -> Column:
 
 
 #: Each byte as the token rule has it: lower case of A-Z, a-z and 0-9 as they are, a blank for all others.
-_PLAIN = np.full(256, 0x20, np.uint8)
+PLAIN = np.full(256, 0x20, np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
-    _PLAIN[[_c, ord(chr(_c).upper())]] = _c
+    PLAIN[[_c, ord(chr(_c).upper())]] = _c
 
 
 #: So many bytes of text and rows at most are worked on at once; a longer text is a slice of its own.
@@ -58,12 +58,12 @@ def by_slices(f: Callable[[pa.Array], pa.Array], kind: str):
     return run
 
 
-def plain(texts: pa.Array) -> pa.Array:
-    """Texts as ``functions.text.plain_tokens`` sees them. Two characters outside ASCII have an ASCII letter as lower case."""
+def plain(texts: pa.Array, table: np.ndarray = PLAIN) -> pa.Array:
+    """Texts as ``functions.text.plain_tokens`` sees them, or with bytes by another table. Two characters outside ASCII have an ASCII letter as lower case."""
     for c, low in (("\u0130", "i "), ("\u212a", "k")):
         texts = pc.replace_substring(texts, c, low)
     valid, offsets, data = texts.buffers()
-    mapped = pa.py_buffer(_PLAIN[np.frombuffer(data, np.uint8)]) if data is not None else data
+    mapped = pa.py_buffer(table[np.frombuffer(data, np.uint8)]) if data is not None else data
     return pa.Array.from_buffers(texts.type, len(texts), [valid, offsets, mapped], texts.null_count, texts.offset)
 
 
@@ -98,6 +98,14 @@ def folded(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row, place % n, weight / np.where(length == 0, 1, length)[row]
 
 
+def matrix(texts: pa.Array, n: int = DIMENSIONS) -> np.ndarray:
+    """The rows' vectors."""
+    row, dim, value = folded(texts, n)
+    whole = np.zeros((len(texts), n))
+    whole[row, dim] = value
+    return whole
+
+
 @functools.cache
 def _term_counts():
     def term_counts(texts: pa.Array) -> pa.Array:
@@ -120,10 +128,7 @@ def _sparse(n: int):
 @functools.cache
 def _dense(n: int):
     def dense(texts: pa.Array) -> pa.Array:
-        row, dim, value = folded(texts, n)
-        whole = np.zeros((len(texts), n))
-        whole[row, dim] = value
-        return lists(np.repeat(np.arange(len(texts)), n), len(texts), pa.array(whole.ravel()), texts.is_null())
+        return lists(np.repeat(np.arange(len(texts)), n), len(texts), pa.array(matrix(texts, n).ravel()), texts.is_null())
 
     return by_slices(dense, "array<double>")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise, query_tokens
 from ..sources.scratch import written
+from .embed import PLAIN, dense_vectors, matrix, plain, sliced
 
 #: Weights and thresholds. Fixed values.
 SIMILARITY, LEXICAL, LEXICAL_ONLY = 0.75, 0.20, 0.90
@@ -31,52 +33,34 @@ def top_k(pairs: DataFrame, by: str, k: int, *order: Column, rank: str = "rank")
 BROADCAST_QUERIES, BROADCAST_VALUES = 4096, 1 << 22
 #: So many rows of slim candidates (ids and numbers) at most are broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of the blocks that are multiplied, and of a group of queries or corpus that a cell holds, with so many values or characters.
 QUERY_BLOCK, CORPUS_BLOCK = 256, 4096
+GROUP_ROWS, GROUP_VALUES = 1 << 15, 1 << 21
 
 
-def packed(rows: DataFrame, kinds: str, size: int = CORPUS_BLOCK) -> DataFrame:
-    """Rows of up to ``size`` rows each, every column as an array, made where the rows are: no shuffle."""
-    names = rows.columns
+def held_values(rows: DataFrame, column: str) -> tuple[int, int]:
+    """Number of rows, and of the numbers or characters in a column of vectors, tokens or texts."""
+    kind = dict(rows.dtypes)[column]
+    values = F.length(column) if kind == "string" else F.length(F.array_join(column, " ")) if "string" in kind else F.size(column)
+    return tuple(rows.agg(F.count("*"), F.coalesce(F.sum(values), F.lit(0))).first())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, size):
-                part = batch.slice(i, size)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in part.columns], names)
-
-    return rows.mapInArrow(run, kinds)
-
-
-def dealt(rows: DataFrame, key: str, size: int, blocks: int) -> DataFrame:
-    """(block, columns as arrays): rows of about ``size`` rows, dealt out by a hash of the key."""
-    held = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.struct("*").alias("r"))
-    return held.groupBy("block").agg(F.collect_list("r").alias("r")).select("block", *(F.col("r")[c].alias(c) for c in rows.columns))
 
+def celled(queries: DataFrame, corpus: DataFrame, pair: Callable[[pa.Table, pa.Table], pa.Table], kinds: str, most: tuple[int, int] = (GROUP_ROWS, GROUP_ROWS)) -> DataFrame:
+    """``pair`` of every group of queries (q0, q1) and every group of the corpus (d0, d1), both dealt out by a hash of the key.
 
-def met(queries: DataFrame, corpus: DataFrame, kinds: str) -> DataFrame:
-    """Each block of queries (columns q0, q1, ...) with each block of the corpus (d0, d1, ...), key columns first.
+    A cell is the pair of two groups and is one group of a cogroup. Groups are bounded in rows and values, so a task's
+    memory does not grow with the tables; each row is sent once for every group of the other side."""
 
-    Up to ``BROADCAST_QUERIES`` queries of ``BROADCAST_VALUES`` numbers or characters are broadcast to corpus blocks that are
-    packed where they lie. Beyond it both sides are dealt out in blocks, and every block of queries is sent to each block of
-    the corpus by an equi-join."""
-    held = queries.columns[1]
-    values = F.length(F.array_join(held, " ")) if "string" in dict(queries.dtypes)[held] else F.size(held)
-    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(values), F.lit(0))).first()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    q = dealt(queries, queries.columns[0], QUERY_BLOCK, blocks)
-    if n <= BROADCAST_QUERIES and size <= BROADCAST_VALUES:
-        everywhere = packed(corpus, kinds).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        return everywhere.join(F.broadcast(q), "block")
-    parts = max(1, -(-corpus.count() // CORPUS_BLOCK))
-    sent = q.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    return sent.join(dealt(corpus, corpus.columns[0], CORPUS_BLOCK, parts), "block")
+    def groups(rows: DataFrame, column: str, size: int) -> int:
+        n, values = held_values(rows, column)
+        spread = min(-(-n // CORPUS_BLOCK), math.isqrt(3 * rows.sparkSession.sparkContext.defaultParallelism) + 1)
+        return max(1, -(-n // size), -(-values // GROUP_VALUES), spread)
 
-
-def _matrix(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
-    rows = batch.column(column)[i].values
-    v = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-    length = np.linalg.norm(v, axis=1)
-    return v / np.where(length == 0, 1, length)[:, None]
+    of = {"q": groups(queries, "q1", most[0]), "d": groups(corpus, "d1", most[1])}
+    number = lambda side: F.pmod(F.xxhash64(f"{side}0"), F.lit(of[side])).alias(f"{side}_group")
+    every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of[side] - 1).cast("long"))).alias(f"{side}_group")
+    q = queries.select("q0", "q1", number("q"), every("d")).groupBy("q_group", "d_group")
+    return q.cogroup(corpus.select("d0", "d1", every("q"), number("d")).groupBy("q_group", "d_group")).applyInArrow(pair, kinds)
 
 
 def first_of(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,32 +77,131 @@ def first_of(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return x[place < k], y[place < k]
 
 
-def _ids(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
-    return batch.column(column)[i].values.to_numpy()
+def _unit(values: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as a matrix of rows of unit length."""
+    if not len(values):
+        return np.zeros((0, 0))
+    return _scaled(values.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(values), -1))
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(v, axis=1)
+    return v / np.where(length == 0, 1, length)[:, None]
+
+
+class Nearest:
+    """The k nearest rows of each query among those that were added, by id among equals.
+
+    Distances are compared as they are given, in six digits. Once a query has k rows, only products that may reach the k-th
+    are looked at, so most of a block costs its product and one comparison."""
+
+    def __init__(self, q: np.ndarray, k: int, overlapping: bool):
+        self.q, self.k, self.overlapping = q, k, overlapping
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(q), QUERY_BLOCK)]
+        self.last, self.last_id = np.full(len(q), np.inf), np.full(len(q), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, d: np.ndarray) -> None:
+        for n, start in enumerate(range(0, len(self.q), QUERY_BLOCK)):
+            block = slice(start, start + QUERY_BLOCK)
+            last, last_id = self.last[block], self.last_id[block]
+            similarity = self.q[block] @ d.T
+            least = 1 - last - 1.5e-6  # one unit of the sixth digit, and more
+            at = np.flatnonzero(similarity >= (np.maximum(least, 0) if self.overlapping else least)[:, None])
+            if len(at) <= 8 * self.k * len(last):
+                x, y = np.divmod(at, similarity.shape[1])
+                product = similarity[x, y]
+                distance = np.round(1 - product, 6) + 0.0  # no negative zero
+                good = (distance < last[x]) | ((distance == last[x]) & (ids[y] < last_id[x]))
+                if self.overlapping:
+                    good &= product > 0
+                x, y, distance = x[good], y[good], distance[good]
+            else:  # the first rows, or many at one distance
+                whole = np.round(1 - similarity, 6) + 0.0
+                good = (whole < last[:, None]) | ((whole == last[:, None]) & (ids < last_id[:, None]))
+                if self.overlapping:
+                    good &= similarity > 0
+                whole[~good] = np.inf
+                x, y = first_of(whole, ids, self.k)
+                distance = whole[x, y]
+            if len(x):
+                self._keep(n, block, x, ids[y], distance)
+
+    def _keep(self, n: int, block: slice, *new: np.ndarray) -> None:
+        x, ids, distance = (np.concatenate(p) for p in zip(self.held[n], new, strict=True))
+        order = np.lexsort((ids, distance, x))
+        x, ids, distance = x[order], ids[order], distance[order]
+        place = np.arange(len(x)) - np.searchsorted(x, x, "left")
+        full, keep = place == self.k - 1, place < self.k
+        self.last[block][x[full]], self.last_id[block][x[full]] = distance[full], ids[full]
+        self.held[n] = x[keep], ids[keep], distance[keep]
+
+    def rows(self, query_ids: np.ndarray) -> list[pa.Array]:
+        """Columns query_id, doc_id and distance."""
+        parts = [(query_ids[i * QUERY_BLOCK + x], ids, distance) for i, (x, ids, distance) in enumerate(self.held)] or [(query_ids[:0], query_ids[:0], np.zeros(0))]
+        return [pa.array(np.concatenate(p)) for p in zip(*parts, strict=True)]
+
+
+NEAR = ["query_id", "doc_id", "distance"]
+_NEAR = "query_id long, doc_id long, distance double"
+
+
+def _searched_blocks(found: Nearest, query_ids: np.ndarray, batches: Iterator[pa.RecordBatch]) -> list[pa.Array]:
+    """Rows of the nearest in batches of d0 and d1, which holds vectors, or texts that get theirs here."""
+    for batch in batches:
+        at, texts = 0, pa.types.is_string(batch.column("d1").type) or pa.types.is_large_string(batch.column("d1").type)
+        for part in sliced(batch.column("d1")) if texts else (batch.column("d1").slice(i, CORPUS_BLOCK) for i in range(0, batch.num_rows, CORPUS_BLOCK)):
+            found.add(batch.column("d0").slice(at, len(part)).to_numpy(), _scaled(matrix(part)) if texts else _unit(part))
+            at += len(part)
+    return found.rows(query_ids)
+
+
+def _nearest(q: DataFrame, d: DataFrame, k: int, overlapping: bool) -> DataFrame:
+    """``nearest_dense`` of few queries (q0, q1), which are broadcast: each task yields at most k rows a query."""
+    some = q.toArrow()
+    sent = q.sparkSession.sparkContext.broadcast((some.column("q0").to_numpy(), _unit(some.column("q1").combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, vectors = sent.value
+        yield pa.RecordBatch.from_arrays(_searched_blocks(Nearest(vectors, k, overlapping), query_ids, batches), NEAR)
+
+    return top_k(d.mapInArrow(run, _NEAR), "query_id", k, F.col("distance"), F.col("doc_id"))
+
+
+def few(q: DataFrame) -> bool:
+    """Whether queries (q0, q1) are broadcast."""
+    n, values = held_values(q, "q1")
+    return n <= BROADCAST_QUERIES and values <= BROADCAST_VALUES
+
+
+def _keyed(rows: DataFrame, key: str, held: str, side: str) -> DataFrame:
+    return rows.where(F.col(held).isNotNull()).select(F.col(key).cast("long").alias(f"{side}0"), F.col(held).alias(f"{side}1"))
 
 
 def nearest_dense(queries: DataFrame, corpus: DataFrame, k: int = 10, overlapping: bool = False) -> DataFrame:
     """Exact nearest neighbours of dense vectors of one length: (query_id, embedding) against (doc_id, embedding), as
     (query_id, doc_id, distance, rank); ``overlapping`` leaves out pairs whose product is not positive.
 
-    One matrix product for each two blocks yields at most k rows a query, and the rest is a top-k. Only counts come to the
-    driver. Null vectors are left out."""
-    q = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("q0"), F.col("embedding").cast("array<double>").alias("q1"))
-    d = corpus.where("embedding is not null").select(F.col("doc_id").cast("long").alias("d0"), F.col("embedding").cast("array<double>").alias("d1"))
+    Up to ``BROADCAST_QUERIES`` queries of ``BROADCAST_VALUES`` numbers are broadcast; more meet the corpus in cells. Each
+    task or cell yields at most k rows a query, and the rest is a top-k. Null vectors are left out."""
+    q, d = _keyed(queries, "query_id", "embedding", "q"), _keyed(corpus, "doc_id", "embedding", "d")
+    if few(q):
+        return _nearest(q, d, k, overlapping)
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = _ids(batch, "q0", i), _ids(batch, "d0", i)
-                similarity = _matrix(batch, "q1", i) @ _matrix(batch, "d1", i).T
-                distance = np.round(1 - similarity, 6) + 0.0  # no negative zero
-                if overlapping:
-                    distance[similarity <= 0] = np.inf
-                x, y = first_of(distance, b, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[y]), pa.array(distance[x, y])], ["query_id", "doc_id", "distance"])
+    def cell(q: pa.Table, d: pa.Table) -> pa.Table:
+        found = Nearest(_unit(q.column("q1").combine_chunks()), k, overlapping)
+        return pa.Table.from_arrays(_searched_blocks(found, q.column("q0").to_numpy(), d.combine_chunks().to_batches()), NEAR)
+
+    return top_k(celled(q, d, cell, _NEAR), "query_id", k, F.col("distance"), F.col("doc_id"))
 
-    pairs = met(q, d, "d0 array<long>, d1 array<array<double>>").select("q0", "q1", "d0", "d1").mapInArrow(products, "query_id long, doc_id long, distance double")
-    return top_k(pairs, "query_id", k, F.col("distance"), F.col("doc_id"))
+
+def nearest_texts(queries: DataFrame, corpus: DataFrame, k: int = 10, overlapping: bool = False) -> DataFrame:
+    """``nearest_dense`` of the hashed vectors of (query_id, text) and (doc_id, text). Where the queries are broadcast, the
+    corpus' vectors are made in the task that multiplies them, slice by slice, and stand in no row."""
+    asked = dense_vectors(queries, "query_id", "text")
+    q = _keyed(asked, "query_id", "embedding", "q")
+    if few(q):
+        return _nearest(q, _keyed(corpus, "doc_id", "text", "d"), k, overlapping)
+    return nearest_dense(asked, dense_vectors(corpus, "doc_id", "text"), k, overlapping)
 
 
 PIVOTS = 256
@@ -129,13 +212,6 @@ INDEX = "block long, ids array<long>, vectors array<double>, pivot int, low doub
 SLACK = 1e-7  # of angles and products, whose last digits depend on the order of sums
 
 
-def _unit(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    values = batch.column(column)
-    v = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
-    length = np.linalg.norm(v, axis=1)
-    return v / np.where(length == 0, 1, length)[:, None]
-
-
 def _angle(product: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(product, -1, 1))
 
@@ -143,7 +219,7 @@ def _angle(product: np.ndarray) -> np.ndarray:
 def pivots_of(corpus: DataFrame, n: int = PIVOTS) -> np.ndarray:
     """Unit vectors of the n rows of least key hash: a bounded sample, the same at each run."""
     some = corpus.where("embedding is not null").select(F.col("embedding").cast("array<double>").alias("v"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(n).select("v").toArrow()
-    return np.concatenate([_unit(b, "v") for b in some.to_batches()]) if some.num_rows else np.zeros((0, 0))
+    return np.concatenate([_unit(b.column("v")) for b in some.to_batches()]) if some.num_rows else np.zeros((0, 0))
 
 
 def vector_index(corpus: DataFrame, pivots: np.ndarray, size: int = 1024) -> DataFrame:
@@ -158,7 +234,7 @@ def vector_index(corpus: DataFrame, pivots: np.ndarray, size: int = 1024) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _unit(batch, "v")
+            v = _unit(batch.column("v"))
             products = v @ sent.value.T
             pivot = products.argmax(axis=1)
             angle = _angle(products[np.arange(len(v)), pivot])
@@ -206,7 +282,7 @@ def nearest_indexed(queries: DataFrame, index: DataFrame, pivots: np.ndarray, k:
 
 def _searched(some: pa.Table, index: DataFrame, pivots: np.ndarray, k: int, overlapping: bool, seen: tuple | None) -> DataFrame:
     ids = some.column("id").to_numpy()
-    q = np.concatenate([_unit(b, "v") for b in some.to_batches()]) if some.num_rows else np.zeros((0, pivots.shape[1]))
+    q = np.concatenate([_unit(b.column("v")) for b in some.to_batches()]) if some.num_rows else np.zeros((0, pivots.shape[1]))
     products = q @ pivots.T if len(pivots) else np.zeros((len(q), 0))
     # Distances are compared as they are given, in six digits, so the k-th product is lowered by one unit of them.
     kth = np.partition(products, -k, axis=1)[:, -k] - 1.5e-6 if products.shape[1] >= k else np.full(len(q), -np.inf)
@@ -264,36 +340,88 @@ def fetched(candidates: DataFrame, corpus: DataFrame, most_rows: int) -> DataFra
     return corpus.join(F.broadcast(candidates) if most_rows <= BROADCAST_ROWS else candidates, "doc_id")
 
 
+#: Bytes as ``functions.text.query_tokens`` sees them.
+_KEPT = PLAIN.copy()
+_KEPT[list(b"%.-")] = list(b"%.-")
+#: So many pairs of query and document, and of their common tokens, are counted at once.
+COUNTED, COMMON = 1 << 18, 1 << 20
+
+
+class Postings:
+    """For each token of the queries the queries that hold it."""
+
+    def __init__(self, query_ids: np.ndarray, tokens: pa.ListArray):
+        flat = tokens.flatten()
+        self.ids, self.sizes = query_ids, tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = pc.unique(flat)
+        code = pc.index_in(flat, self.words).to_numpy(zero_copy_only=False)
+        self.of = np.repeat(np.arange(len(tokens)), self.sizes)[np.argsort(code, kind="stable")]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(self.words))))).astype(np.int64)
+
+    def shared(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """First row, and how many tokens each query and some rows from there share: (rows, queries)."""
+        tokens = pc.ascii_split_whitespace(plain(texts, _KEPT))
+        code = pc.index_in(tokens.flatten(), self.words)
+        known = np.asarray(code.is_valid())
+        row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))[known]
+        width = max(1, len(self.words))
+        row, code = np.divmod(np.unique(row * width + code.drop_null().to_numpy().astype(np.int64)), width)
+        rows = max(1, COUNTED // len(self.ids))
+        for i in range(0, len(tokens), rows):
+            held = slice(*np.searchsorted(row, (i, i + rows)))
+            yield i, self._counts(row[held] - i, code[held], min(rows, len(tokens) - i))
+
+    def _counts(self, row: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
+        n = len(self.ids)
+        total = np.zeros(rows * n, np.int64)
+        often = self.start[code + 1] - self.start[code]
+        ends = np.cumsum(often)
+        at = 0
+        while at < len(code):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMMON, "right")))
+            much = often[at:to]
+            inner = np.arange(much.sum()) - np.repeat(np.cumsum(much) - much, much)
+            total += np.bincount(np.repeat(row[at:to] * n, much) + self.of[np.repeat(self.start[code[at:to]], much) + inner], minlength=rows * n)
+            at = to
+        return total.reshape(rows, n)
+
+
 def lexical_overlap(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, doc_id, overlap): share of the query's distinct tokens that the document holds, over 0; the k largest of
-    each query, by doc_id among equals, or all.
+    """(query_id, doc_id, overlap): share of the query's distinct tokens that the document holds, over 0; all pairs, or the k
+    largest of each query, by doc_id among equals.
 
-    Blocks meet as dense vectors do: a product of token incidences gives the counts, so no frequent token is a join key."""
-    tokens = lambda: F.array_distinct(query_tokens(F.col("text")))
-    q = queries.where("text is not null").select(F.col("query_id").cast("long").alias("q0"), tokens().alias("q1"))
-    d = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("d0"), tokens().alias("d1"))
+    Queries are broadcast or meet the documents in cells, as dense vectors do, as postings of their tokens; documents are read
+    in slices, so no frequent token is a join key and a task holds the counts of some rows only."""
+    q = queries.where("text is not null").select(F.col("query_id").cast("long").alias("q0"), F.array_distinct(query_tokens(F.col("text"))).alias("q1"))
+    q = q.where(F.size("q1") > 0)
+    d = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("d0"), F.col("text").alias("d1"))
+    names = ["query_id", "doc_id", "shared", "n"]
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def searched(postings: Postings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = _ids(batch, "q0", i), _ids(batch, "d0", i)
-                asked, held = batch.column("q1")[i].values, batch.column("d1")[i].values
-                words = pc.unique(asked.flatten())
-                sizes = asked.value_lengths().to_numpy()
-                left = np.zeros((len(a), len(words)), np.float32)
-                left[np.repeat(np.arange(len(a)), sizes), pc.index_in(asked.flatten(), words).to_numpy()] = 1
-                at = pc.index_in(held.flatten(), words)
-                of = np.repeat(np.arange(len(b)), held.value_lengths().to_numpy())[np.asarray(at.is_valid())]
-                right = np.zeros((len(b), len(words)), np.float32)
-                right[of, at.drop_null().to_numpy()] = 1
-                shared = (left @ right.T).astype(np.int64)
-                if k is None:
-                    x, y = np.nonzero(shared)
-                else:
-                    x, y = first_of(np.where(shared > 0, -shared.astype(float), np.inf), b, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[y]), pa.array(shared[x, y]), pa.array(sizes[x].astype(np.int64))], ["query_id", "doc_id", "shared", "n"])
-
-    pairs = met(q, d, "d0 array<long>, d1 array<array<string>>").select("q0", "q1", "d0", "d1").mapInArrow(products, "query_id long, doc_id long, shared long, n long")
+            at = 0
+            for texts in sliced(batch.column("d1")):
+                for first, shared in postings.shared(texts) if len(postings.ids) else ():
+                    b = batch.column("d0").slice(at + first, len(shared)).to_numpy()
+                    if k is None:
+                        y, x = np.nonzero(shared)
+                    else:
+                        x, y = first_of(np.where(shared > 0, -shared.astype(float), np.inf).T, b, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (postings.ids[x], b[y], shared[y, x], postings.sizes[x])], names)
+                at += len(texts)
+
+    kinds = "query_id long, doc_id long, shared long, n long"
+    kind = pa.schema([(c, pa.int64()) for c in names])
+
+    def cell(q: pa.Table, d: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(searched(Postings(q.column("q0").to_numpy(), q.column("q1").combine_chunks()), d.to_batches()), kind)
+
+    if few(q):
+        some = q.toArrow()
+        sent = q.sparkSession.sparkContext.broadcast((some.column("q0").to_numpy(), some.column("q1").combine_chunks()))
+        pairs = d.mapInArrow(lambda batches: searched(Postings(*sent.value), batches), kinds)
+    else:
+        pairs = celled(q, d, cell, kinds, (1024, 2048))
     found = pairs.select("query_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
     return found if k is None else top_k(found, "query_id", k, F.desc("overlap"), F.col("doc_id")).drop("rank")
 

@@ -55,7 +55,7 @@ near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 def nearest(queries, corpus):
     """The 30 nearest documents of each query that share a dimension with it."""
-    return S.nearest_dense(M.dense_vectors(queries, "query_id", "text"), M.dense_vectors(corpus, "doc_id", "text"), S.FETCHED, overlapping=True)
+    return S.nearest_texts(queries, corpus, S.FETCHED, overlapping=True)
 
 
 @query(f"WITH {_NEAREST} SELECT query_id, doc_id, distance, rank::INTEGER AS rank FROM near")

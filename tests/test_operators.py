@@ -120,6 +120,61 @@ def test_dense_neighbours_equal_brute_force(spark, monkeypatch, broadcast):
     assert rows(got.select("query_id", "doc_id", "distance", "rank")) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("overlapping", [True, False])
+def test_nearest_are_kept_block_by_block(overlapping):
+    """Rows come in blocks in any order, with large groups of copies; ties go to the least id, and what is held stays small."""
+    rng = np.random.default_rng(3)
+    d = np.maximum(rng.normal(size=(5000, 6)) - 0.5, 0)
+    d[rng.integers(0, 5000, 3000)] = d[7]
+    d = S._scaled(d)
+    q, ids = d[rng.integers(0, 5000, 600)], rng.permutation(5000)
+    found = S.Nearest(q, 4, overlapping)
+    for at in range(0, 5000, 1000):
+        found.add(ids[at : at + 1000], d[at : at + 1000])
+        assert sum(len(x) for x, _, _ in found.held) <= 4 * len(q)
+    product = q @ d.T
+    distance = np.round(1 - product, 6) + 0.0
+    if overlapping:
+        distance[product <= 0] = np.inf
+    x, y = S.first_of(distance, ids, 4)
+    got = sorted(zip(*(c.to_pylist() for c in found.rows(np.arange(600))), strict=True))
+    assert got == sorted(zip(x.tolist(), ids[y].tolist(), distance[x, y].tolist(), strict=True))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_texts_meet_as_their_vectors_do(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 4096 if broadcast else 0)
+    monkeypatch.setattr(S, "CORPUS_BLOCK", 50)
+    rng = random.Random(6)
+    said = lambda n: " ".join(f"w{rng.randint(0, 40)}" for _ in range(n))
+    docs = spark.createDataFrame([(i, said(rng.randint(0, 9)) if i % 11 else None) for i in range(300)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, said(3)) for i in range(20)] + [(50, ""), (51, None)], "query_id long, text string")
+    got = S.nearest_texts(asked, docs, 7, overlapping=True)
+    vectors = lambda t, key: M.dense_vectors(t, key, "text")
+    assert rows(got) == rows(S.nearest_dense(vectors(asked, "query_id"), vectors(docs, "doc_id"), 7, overlapping=True))
+    assert S.nearest_texts(asked.limit(0), docs, 7).count() == 0 and S.nearest_texts(asked, docs.limit(0), 7).count() == 0
+    # The corpus' vectors stand in no row where the queries are broadcast.
+    assert ("ArrowEvalPython" in got._jdf.queryExecution().toString()) != broadcast
+
+
+def test_shared_tokens_are_counted_in_bounded_parts(spark, monkeypatch):
+    """Texts of odd characters have the tokens of the query rule, and counts are made for some rows at a time."""
+    some = ["A-b%c 9.5% x", "  İst \u212aelvin é漢xyz abc\x0bdef ", "", "ſtraße\tTAB\r\nthe", "the " * 300, "abc def the elvin kelvin ist tab"] * 40
+    asked = spark.createDataFrame(list(enumerate(some[:6])), "query_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(2)
+    tokens = lambda t, key: t.select(key, F.explode(F.array_distinct(T.query_tokens(F.col("text")))).alias("token"))
+    sizes = tokens(asked, "query_id").groupBy("query_id").agg(F.count("*").alias("n"))
+    expected = tokens(asked, "query_id").join(tokens(docs, "doc_id"), "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("c")).join(sizes, "query_id").select("query_id", "doc_id", F.round(F.col("c") / F.col("n"), 6))
+    assert rows(S.lexical_overlap(asked, docs)) == rows(expected)
+    assert S.lexical_overlap(asked.limit(0), docs).count() == 0
+    monkeypatch.setattr(S, "COUNTED", 60)
+    monkeypatch.setattr(S, "COMMON", 5)
+    postings = S.Postings(np.arange(3), pa.array([["the", "tab"], ["abc", "the"], ["the"]]))
+    parts = list(postings.shared(pa.array(some[:6] * 40)))
+    assert all(c.size <= 60 for _, c in parts) and [i for i, _ in parts] == list(range(0, 240, 20))
+    assert np.concatenate([c for _, c in parts]).tolist() == [[0, 0, 0], [0, 1, 0], [0, 0, 0], [2, 1, 1], [1, 1, 1], [2, 2, 1]] * 40
+
+
 def test_keep_matching_falls_back(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None)], "q int, s string")
     assert rows(S.keep_matching(df, "q", F.col("s") == "a")) == [(1, "a"), (2, "c"), (3, None)]
