@@ -39,6 +39,12 @@ def test_query(spark, db, name):
         assert shown(rows, [df.columns.index(c) for c in by]) == shown(expected, [columns.index(c) for c in by])
 
 
+def test_lexical_overlap_lists_every_pair(spark, db):
+    """All pairs with a common token, also of queries that have more than a search would fetch."""
+    pairs = QUERIES["lexical_overlap"](spark, SF).groupBy("query_id").count().agg({"count": "max"}).first()[0]
+    assert pairs == db.execute(f"SELECT max(n) FROM (SELECT count(*) AS n FROM ({ORACLE_SQL['lexical_overlap']}) GROUP BY query_id)").fetchone()[0] and pairs > 30
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
