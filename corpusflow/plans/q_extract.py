@@ -17,7 +17,7 @@ from ..operators import search as S
 from ..streaming import stream as ST
 from . import sql_surface
 from .q_search import _DIM, DOCS, QUESTIONS
-from .registry import query, table
+from .registry import query, spread, table
 
 # Rule-driven extraction: a text is made of each part's columns and read back.
 
@@ -28,7 +28,7 @@ _TEXT = """'<h1>' || p_name || '</h1> ' || CASE p_size % 3 WHEN 0 THEN 'direct g
 
 
 def _rule_text(spark, d):
-    p, n, s = table(spark, d, "part"), F.col("p_size"), lambda *parts: F.concat(*(x if hasattr(x, "alias") else F.lit(x) for x in parts))
+    p, n, s = spread(table(spark, d, "part"), "p_partkey"), F.col("p_size"), lambda *parts: F.concat(*(x if hasattr(x, "alias") else F.lit(x) for x in parts))
     kind = F.when(n % 3 == 0, "direct growth equity fund ").when(n % 3 == 1, "a hybrid fund ").otherwise("large cap ")
     ratio, load = F.when(n % 4 == 0, "").otherwise(s("expense ratio: ", n, ".25 % ")), F.when(n % 5 == 0, "no exit load ").otherwise("exit load: 1% ")
     risk = F.element_at(F.array(F.lit("very high"), F.lit("low"), F.lit("odd")), n % 3 + 1)

@@ -10,7 +10,7 @@ from ..functions import extract as E
 from ..functions import text as T
 from ..operators import chunks as K
 from ..operators import records as R
-from .registry import query, table
+from .registry import query, spread, table
 
 
 
@@ -66,7 +66,7 @@ def overlay_merge(spark, d):
 
 def record_text(spark, d):
     """Each part as labelled lines, some fields missing."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"), "p_partkey")
     ratio = F.concat((F.col("p_size") % 3).cast("string"), F.lit("."), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("%"))
     nav = F.concat(F.lit("₹"), F.col("p_partkey").cast("string"), F.lit(".5"))
     load = F.when(F.col("p_size") % 4 == 0, "Nil").when(F.col("p_size") % 4 == 1, F.concat((F.col("p_size") % 7).cast("string"), F.lit("%"))).otherwise(T.SENTINEL)

@@ -25,3 +25,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to four tasks a core by a hash of their key. A small file is one or few splits, however many narrow rows it
+    holds; where the work is in the columns that are made of them, it has to be spread before."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)

@@ -39,6 +39,14 @@ def test_query(spark, db, name):
         assert shown(rows, [df.columns.index(c) for c in by]) == shown(expected, [columns.index(c) for c in by])
 
 
+@pytest.mark.parametrize("name", ["page_extraction", "text_extraction"])
+def test_extraction_is_spread_over_the_cores(spark, name):
+    """A file of one row group is one split; its rows are extracted in several tasks all the same."""
+    assert spark.read.parquet(f"{SF}/part.parquet").rdd.getNumPartitions() == 1
+    sizes = QUERIES[name](spark, SF).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) > 4 and max(sizes) * 4 < sum(sizes)
+
+
 def test_lexical_overlap_lists_every_pair(spark, db):
     """All pairs with a common token, also of queries that have more than a search would fetch."""
     pairs = QUERIES["lexical_overlap"](spark, SF).groupBy("query_id").count().agg({"count": "max"}).first()[0]
